@@ -38,42 +38,53 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How the byte-level splitter cuts a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes, equal to the tokenizer's own.
 
-    The byte-level splitter starts a new pre-token at a space between two
-    non-spaces, so a text may be cut there and each cut's ids kept: a common
-    word is looked up instead of merged again.  Texts in which white space
-    touches a space are given to the tokenizer whole.
+    Where the file is a plain byte-level merge list in order of id, a second
+    library that merges several times as fast encodes with the same ranks;
+    otherwise, and where a text holds an added token, the file's own library does.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import re
+    def __init__(self, path: str):
+        import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
-        self.odd = re.compile(r"\s[ ]|[ ]\s").search
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = self._ranked(spec)
+
+    @staticmethod
+    def _ranked(spec: dict):
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
+        if not plain:
+            return None
+        vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [vocabulary.get(a + b) for a, b in merges]
+        if None in ids or any(x >= y for x, y in zip(ids, ids[1:])):
+            return None
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        added = {t["content"] for t in spec.get("added_tokens") or []}
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in added}
+        if sum(len(w) == 1 for w in ranks) != 256 or (ids and max(i for w, i in ranks.items() if len(w) == 1) >= ids[0]):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._ids([text])[0]
-        head, *rest = text.split(" ")
-        known = self.known
-        try:
-            tail = b"".join([known[w] for w in rest])
-        except KeyError:
-            new = list({w for w in rest if w not in known})
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], self._ids([" " + w for w in new[i : i + 4096]])))
-            tail = b"".join([known[w] for w in rest])
-            if len(known) > self.most:
-                known.clear()
-        return (self._ids([head])[0] if head else b"") + tail
+        if self.fast is None or any(t in text for t in self.added):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
