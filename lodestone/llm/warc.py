@@ -44,21 +44,21 @@ def _filesystem(uri: str):
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, key: str = "page_id", payload: str = "html", url: str = "url", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """key, url, html, payload_bytes, payload_digest, refers_to of each row (without html: no payload of its own).
+    """Rows to write (kind 1) and, as rows of kind 0, which of them are revisits and of what.
 
-    ``refers_to`` is the largest key among rows of equal payload, null for that
-    row and for payloads below ``revisit_bytes``; of repeated rows with that
-    key each is a response of its own.
+    ``refers_to`` is the largest key among rows of equal payload; rows with that
+    key, and payloads below ``revisit_bytes``, are responses.  The two kinds meet
+    at the writer, so that payloads are moved once.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    light = pages.select(F.col(key).alias("page_id"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes")).where(F.col("payload_bytes") >= revisit_bytes)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    light = scratch.save(rows.select("page_id", "payload_digest", "payload_bytes"), "digests").where(F.col("payload_bytes") >= revisit_bytes)
     groups = light.groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     # from a table, both sides of the join below are plain exchanges, whose hot keys Spark can split
     groups = scratch.save(groups, "groups")
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    # the heavy column waits until the revisits, which need no payload, are known
-    revisits = light.join(groups, "payload_digest").where(F.col("page_id") < F.col("_last")).groupBy("page_id", "payload_digest").agg(F.max("_last").alias("refers_to"))
-    return rows.join(revisits, ["page_id", "payload_digest"], "left").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    revisits = light.join(groups, "payload_digest").where(F.col("page_id") < F.col("_last"))
+    revisits = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", "payload_bytes", F.col("_last").alias("refers_to"), F.lit(0).alias("kind"))
+    return rows.unionByName(revisits)
 
 
 def _shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, np.ndarray]:
@@ -151,19 +151,26 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
     Rerun tasks write other temporary files with the same bytes; only files in
     the committed manifest are renamed, and the rest of tmp/ is then deleted.
     """
-    light = records.select("page_id", "payload_bytes")
+    light = scratch.spark.read.parquet(scratch.path("digests"))
     low, width, bounds = _shards(light, shard_bytes)
     bucket = F.floor((F.coalesce(F.col("page_id"), F.lit(low)) - low) / width).cast("int")
     # the bounds are at most one a shard: a binary search on a literal array
     shard = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("_bucket"))) - 1
     dealt = records.withColumn("_bucket", bucket).withColumn("shard", shard.cast("int")).drop("_bucket")
-    dealt = dealt.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "payload_digest")
+    dealt = dealt.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload_digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done = None, []
+        roller, done, revisits = None, [], (None, {})
         for batch in batches:
-            for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("shard", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"))):
-                s, page_id, url, html, size, digest, refers = (x.as_py() for x in r)
+            for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "shard", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"))):
+                kind, s, page_id, url, html, size, digest, refers = (x.as_py() for x in r)
+                if revisits[0] != page_id:
+                    revisits = (page_id, {})
+                if kind == 0:
+                    revisits[1][digest] = refers
+                    continue
+                refers = revisits[1].get(digest)
+                html = html if refers is None else None
                 if roller is None or roller.shard != s:
                     done += [roller and roller.close()]
                     roller = _Roller(folder, s, roll_bytes)
@@ -245,8 +252,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    # one file a task: the manifest is spread before it is read
-    spread = manifest.select("file", "shard").repartition(F.col("file")).drop("shard")
+    # about one file a task: the manifest is spread before it is read
+    spread = manifest.select("file").repartition(max(1, min(10_000, manifest.count())))
     return spread.mapInArrow(run, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
