@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, warc
+from . import chat, lm, mixing, packing, rules, vptree, warc
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest_of_hundredth(table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -26,6 +38,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op8_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op6_cross_entropy_difference, op8_mix_sources, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op8_mix_sources": mixing.MIX_SQL}
+SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op4_chat_prefix_tree": chat.CHAT_SQL, "op8_mix_sources": mixing.MIX_SQL}
