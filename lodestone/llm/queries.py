@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lm, mixing, packing, rules, vptree, warc
+from . import chat, html, lm, mixing, packing, rules, vptree, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -38,6 +42,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op6_cross_entropy_difference, op8_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op6_cross_entropy_difference, op7_wrapper_induction, op8_mix_sources, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op4_chat_prefix_tree": chat.CHAT_SQL, "op8_mix_sources": mixing.MIX_SQL}
