@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, jaccard, lm, mixing, packing, rules, vptree, warc
+from . import chat, html, jaccard, lm, mixing, packing, passages, rules, vptree, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op5_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op6_cross_entropy_difference, op7_wrapper_induction, op8_mix_sources, op9_jaccard_token_groups, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op5_collinear_chaining, op6_cross_entropy_difference, op7_wrapper_induction, op8_mix_sources, op9_jaccard_token_groups, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op4_chat_prefix_tree": chat.CHAT_SQL, "op8_mix_sources": mixing.MIX_SQL}
