@@ -7,6 +7,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words, as every operator of this subpackage cuts them (Java and Python regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +60,34 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dense_bytes(cells: DataFrame, count: int):
+    """cell (int), value (0 to 255) -> a NumPy array of ``count`` bytes; cells not named are 0.
+
+    Executors fill blocks of bytes, so that what reaches the driver is at most
+    ``count`` bytes in a few rows, however many cells there are.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    bits = 13
+
+    def run(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            order = np.argsort(cell, kind="stable")
+            cell, value = cell[order].astype(np.int64), value[order].astype(np.uint8)
+            edges = np.flatnonzero(np.diff(cell >> bits)) + 1
+            for c, v in zip(np.split(cell, edges), np.split(value, edges)):
+                if len(c):
+                    blocks.setdefault(int(c[0] >> bits), np.zeros(1 << bits, np.uint8))[c & ((1 << bits) - 1)] = v
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "data"])
+
+    blocks = cells.select("cell", "value").repartition(F.shiftright("cell", bits)).mapInArrow(run, "block int, data binary")
+    out = np.zeros(max(count, 1 << bits), np.uint8)
+    for r in blocks.collect():
+        out[r["block"] << bits : (r["block"] + 1) << bits] = np.frombuffer(r["data"], np.uint8)
+    return out[:count]

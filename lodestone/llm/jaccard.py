@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, dense_bytes
 from .components import components
 from .textvec import Words, mix, runs
 
@@ -124,11 +124,9 @@ def _light(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sketch(light: DataFrame) -> np.ndarray:
-    """By cell, the logarithm of how often its tokens were seen to repeat (at most SKETCH_CELLS rows come here)."""
-    cells = light.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).select(F.col("doc_id").cast("int").alias("cell"), F.ceil(F.log2("n")).cast("int").alias("level")).toPandas()
-    out = np.zeros(SKETCH_CELLS, np.uint8)
-    out[cells["cell"].to_numpy()] = np.minimum(cells["level"].to_numpy(), 63)
-    return out
+    """By cell, the logarithm of how often its tokens were seen to repeat (SKETCH_CELLS bytes)."""
+    cells = light.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return dense_bytes(cells.select(F.col("doc_id").cast("int").alias("cell"), F.least(F.ceil(F.log2("n")), F.lit(63)).cast("int").alias("value")), SKETCH_CELLS)
 
 
 def _prefixes(docs: DataFrame, k: int, sketch) -> DataFrame:
@@ -166,10 +164,8 @@ def _prefixes(docs: DataFrame, k: int, sketch) -> DataFrame:
 
 def _needed(ids: DataFrame) -> np.ndarray:
     """Which slots the ids hash to: FILTER_SLOTS bits, of which a full filter only saves nothing."""
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    out = np.zeros(FILTER_SLOTS, bool)
-    out[slots] = True
-    return np.packbits(out)
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).cast("int").alias("cell"), F.lit(1).alias("value"))
+    return np.packbits(dense_bytes(slots, FILTER_SLOTS))
 
 
 def _whole_sets(docs: DataFrame, k: int, needed) -> DataFrame:
