@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, dense_bytes
@@ -77,6 +77,24 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-SHARE * n // OVER) + 1
 
 
+def least_shown(n: Column, m: Column) -> Column:
+    """Prefix tokens that linked sets of sizes n and m have in common, at least.
+
+    What they share beyond the prefix that ends first in the order is at most
+    what that set holds beyond its prefix.
+    """
+    need = F.ceil(SHARE * (n + m) / F.lit(OVER + SHARE))
+    rest = F.ceil(SHARE * F.greatest(n, m) / F.lit(OVER)) - 1
+    return need - rest
+
+
+def least_shown_between(n: Column, lo: Column, hi: Column) -> Column:
+    """The same for the sizes from lo to hi that can link with n: it is least at an end."""
+    lo = F.greatest(lo, F.ceil(SHARE * n / F.lit(OVER)))
+    hi = F.least(hi, F.floor(OVER * n / F.lit(SHARE)))
+    return F.least(least_shown(n, lo), least_shown(n, hi))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     common = overlap(a, b)
     return OVER * common >= SHARE * (len(a) + len(b) - common)
@@ -172,9 +190,14 @@ def _whole_sets(docs: DataFrame, k: int, needed) -> DataFrame:
     """doc_id, tokens (ascending 64-bit hashes) of the documents in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(needed.value).astype(bool)
+        wanted, seen = np.unpackbits(needed.value).astype(bool), set()
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy(zero_copy_only=False)]))
+            use = wanted[batch.column(2).to_numpy(zero_copy_only=False)]
+            for t in np.flatnonzero(use):  # of rows of one id a task gives the first
+                doc = batch.column(0)[t].as_py()
+                use[t] = doc not in seen
+                seen.add(doc)
+            batch = batch.filter(pa.array(use))
             for i, j, data, offsets in runs(batch.column(1)):
                 sets = Sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([sets.token[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])], pa.binary())], names=["doc_id", "tokens"])
@@ -183,6 +206,10 @@ def _whole_sets(docs: DataFrame, k: int, needed) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot).mapInArrow(run, "doc_id long, tokens binary")
 
 
+def _needed_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    return _whole_sets(docs, k, docs.sparkSession.sparkContext.broadcast(_needed(ids)))
+
+
 def open_groups(members: DataFrame, asked: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between queries and members of the groups asked.
 
@@ -246,7 +273,6 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     classes = scratch.save(sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")), "classes")
     copies = classes.where("_n > 1").drop("_n")
     same = scratch.save(sets.join(copies, ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "same")
-    reps = classes.select(F.col("rep").alias("doc_id"))
 
     # tokens of prefixes that several representatives show
     sketch = spark.sparkContext.broadcast(_sketch(light))
@@ -258,13 +284,15 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     scratch.drop("prefixes", "shared")
 
     # families: each representative asks the group of one hub, that with which it shares most
-    near = posts.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("c"))
-    best = scratch.save(near.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", (-F.col("m.h")).alias("group")), "best")
-    involved = scratch.save(posts.select("doc_id").unionByName(posts.select(F.col("hub").alias("doc_id"))).distinct(), "involved")
-    needed = spark.sparkContext.broadcast(_needed(involved))
-    whole = scratch.save(_whole_sets(docs, k, needed).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-    hubs = best.select("group").distinct().select(F.col("group").alias("doc_id"), "group")
+    near = posts.where("doc_id <> hub").groupBy("doc_id", "hub", "n").agg(F.count("*").alias("c"))
+    best = near.groupBy("doc_id", "n").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", "n", "m.c", (-F.col("m.h")).alias("group"))
+    hub_sizes = classes.select(F.col("rep").alias("group"), F.col("n").alias("m"))
+    best = best.join(hub_sizes, "group").where((F.col("c") >= least_shown(F.col("n"), F.col("m"))) & (OVER * F.least("n", "m") >= SHARE * F.greatest("n", "m")))
+    best = scratch.save(best.select("doc_id", "group"), "best")
+    hubs = scratch.save(best.select("group").distinct().select(F.col("group").alias("doc_id"), "group"), "hubs")
+    whole = scratch.save(_needed_sets(docs, k, best.select("doc_id").unionByName(hubs.select("doc_id"))), "sets")
     stars = scratch.save(open_groups(hubs, best, whole, scratch), "stars")
+    scratch.drop("sets")
     families = scratch.save(components(stars, scratch, "families"), "families")
 
     # between families: tokens that meet in different ones
@@ -284,10 +312,13 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     shows = spots.groupBy("token", "group", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("component", "other")
     shows = scratch.save(shows, "shows")
     asks = spots.drop("group").join(shows, "token").where((F.col("component") < F.col("other")) & (OVER * F.col("n") >= SHARE * F.col("lo")) & (OVER * F.col("hi") >= SHARE * F.col("n")))
-    asks = scratch.save(asks.select("doc_id", "group").distinct(), "asks")
-    members = placed.select("doc_id", "group").join(asks.select("group").distinct(), "group", "left_semi")
+    asks = asks.groupBy("doc_id", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asks = scratch.save(asks.where(F.col("c") >= least_shown_between(F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "group"), "asks")
+    scratch.drop("spots", "shows", "meeting")
+    members = scratch.save(placed.select("doc_id", "group").join(asks.select("group").distinct(), "group", "left_semi"), "members")
+    whole = scratch.save(_needed_sets(docs, k, asks.select("doc_id").unionByName(members.select("doc_id"))), "sets")
     bridges = scratch.save(open_groups(members, asks, whole, scratch), "bridges")
-    scratch.drop("sets", "spots", "shows", "meeting", "asks")
+    scratch.drop("sets", "asks", "members")
 
     links = stars.unionByName(bridges).unionByName(same)
     found = scratch.save(components(links, scratch, "all").withColumnRenamed("node", "doc_id"), "found")
