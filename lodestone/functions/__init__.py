@@ -1 +1,6 @@
+"""Column helpers shared by the operators."""
 
+from .hashing import md5_mod, sha256_mod, stable_fraction
+from .values import dataset_name, falsy_default, py_strip, ratio, signature
+
+__all__ = ["dataset_name", "falsy_default", "md5_mod", "py_strip", "ratio", "sha256_mod", "signature", "stable_fraction"]

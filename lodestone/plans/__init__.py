@@ -1 +1,7 @@
+"""Named queries over the driver tables, with their SQL."""
 
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+from . import curation_queries, message_queries, routing_queries, skill_queries, trace_queries  # noqa: E402, F401
