@@ -88,16 +88,13 @@ def least_shown(n: Column, m: Column) -> Column:
     return need - rest
 
 
-def least_shown_between(n: Column, lo: Column, hi: Column) -> Column:
-    """The same for the sizes from lo to hi that can link with n: it is least at an end."""
-    lo = F.greatest(lo, F.ceil(SHARE * n / F.lit(OVER)))
-    hi = F.least(hi, F.floor(OVER * n / F.lit(SHARE)))
-    return F.least(least_shown(n, lo), least_shown(n, hi))
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    common = overlap(a, b)
-    return OVER * common >= SHARE * (len(a) + len(b) - common)
+def least_shown_in(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
+    """The same for sizes in two ranges: it is least where a size meets the furthest one that it can link with."""
+    down, up = (lambda c: F.ceil(SHARE * c / F.lit(OVER))), (lambda c: F.floor(OVER * c / F.lit(SHARE)))
+    ends = []
+    for a0, a1, b0, b1 in ((lo, hi, other_lo, other_hi), (other_lo, other_hi, lo, hi)):
+        ends += [least_shown(a0, F.greatest(a0, F.least(b1, up(a0)))), least_shown(a1, F.least(a1, F.greatest(b0, down(a1))))]
+    return F.least(*ends)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,10 +145,12 @@ def _sketch(light: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, sketch) -> DataFrame:
-    """token, doc_id, n: each set's prefix in the order of (how often tokens repeat, hash).
+    """token, doc_id, n, score: each set's prefix in the order of (how often tokens repeat, hash).
 
     Any one order of all tokens makes the prefix exact; putting repeated ones
-    last keeps the lists of documents with one token short.
+    last keeps the lists of documents with one token short.  ``score`` is how
+    much a set's tokens repeat on average, with bits of its digest to part
+    equals: among near copies it is highest for the one that the others vary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,15 +168,18 @@ def _prefixes(docs: DataFrame, k: int, sketch) -> DataFrame:
                     if sets.size[t] and here[t] is not None and here[t] < seen.get(key, 1 << 63):
                         seen[key], use[t] = here[t], True
                 token, text = sets.token, sets.text
+                total = np.bincount(text, weights=(level[token & np.uint64(SKETCH_CELLS - 1)] >> np.uint64(58)).astype(float), minlength=j - i)
+                mean = np.minimum(64 * total / np.maximum(sets.size, 1), 2047).astype(np.int64)
+                score = (mean << 20) | (d1.view(np.uint64) >> np.uint64(44)).astype(np.int64)
                 rank = level[token & np.uint64(SKETCH_CELLS - 1)] | (token >> np.uint64(6))
                 order = np.lexsort((rank, text))
                 place = np.arange(len(token)) - sets.first[text]
                 some = order[(place < prefix_size(sets.size)[text]) & use[text]]
                 if len(some):
                     at = text[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), ids.take(pa.array(at)), pa.array(sets.size[at].astype(np.int32))], names=["token", "doc_id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), ids.take(pa.array(at)), pa.array(sets.size[at].astype(np.int32)), pa.array(score[at].astype(np.int32))], names=["token", "doc_id", "n", "score"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int")
+    return docs.mapInArrow(run, "token long, doc_id long, n int, score int")
 
 
 def _needed(ids: DataFrame) -> np.ndarray:
@@ -211,46 +213,62 @@ def _needed_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
 
 
 def open_groups(members: DataFrame, asked: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between queries and members of the groups asked.
+    """Links (a, b) between queries and members of the groups asked, as many as join their components.
 
-    members: doc_id, group; asked: doc_id, group (different documents).  In each
-    task a group's members come first; their union is built once, and a query
-    opens the group only if enough of its tokens are in the union.
+    members and asked: doc_id, component, group.  In each task a group's members
+    come first; their union is built once, and a query opens the group only if
+    enough of its tokens are in the union.  A member whose component the query
+    has joined already is passed over.
     """
-    rows = members.select("group", F.lit(0).alias("kind"), "doc_id").unionByName(asked.select("group", F.lit(1).alias("kind"), "doc_id"))
-    rows = rows.join(sets, "doc_id").select("group", "kind", "doc_id", "tokens")
+    rows = members.select("group", F.lit(0).alias("kind"), "doc_id", "component").unionByName(asked.select("group", F.lit(1).alias("kind"), "doc_id", "component"))
     # a group with very many queries is dealt to several tasks, each of which gets its members
-    per = 4096
-    many = asked.groupBy("group").agg(F.count("*").alias("_q")).select("group", F.ceil(F.col("_q") / per).cast("int").alias("_parts"))
-    many = scratch.save(many.where("_parts > 1"), "many")
+    per = 1024
+    many = asked.groupBy("group").agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
+    many = scratch.save(many, "many")
     rows = rows.join(many, "group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     mine = F.sequence(F.lit(0), F.col("_parts") - 1)
     one = F.array(F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("part", F.explode(F.when(F.col("kind") == 0, mine).otherwise(one)))
+    rows = rows.join(sets, "doc_id").select("group", "part", "kind", "doc_id", "component", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, union = None, [], None
+        at, members, matrix = None, [], None
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for group, part, kind, doc, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+            for group, part, kind, doc, component, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
                 if at != (group, part):
-                    at, members, union = (group, part), [], None
+                    at, members, matrix = (group, part), [], None
+                    root.clear()
                 tokens = np.frombuffer(tokens.as_buffer(), np.uint64)
                 if kind == 0:
-                    members.append((doc, tokens.copy()))
+                    members.append((doc, component, tokens.copy()))
                     continue
-                if union is None:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members]))
+                if matrix is None:
+                    every = np.concatenate([m[2] for m in members])
+                    size = np.array([len(m[2]) for m in members])
+                    matrix = np.unique(every), every, np.repeat(np.arange(len(members)), size), size
+                union, every, owner, size = matrix
                 if OVER * overlap(tokens, union) < SHARE * len(tokens):
                     continue
-                for other, theirs in members:
-                    if other != doc and OVER * min(len(tokens), len(theirs)) >= SHARE * max(len(tokens), len(theirs)) and linked(tokens, theirs):
+                place = np.searchsorted(tokens, every)
+                common = np.bincount(owner[tokens[np.minimum(place, len(tokens) - 1)] == every], minlength=len(members))
+                for m in np.flatnonzero(OVER * common >= SHARE * (len(tokens) + size - common)):
+                    other, theirs = members[m][:2]
+                    a, b = find(component), find(theirs)
+                    if other != doc and a != b:
+                        root[max(a, b)] = min(a, b)
                         found.append((doc, other))
-                        break  # one link joins the query to the whole group
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "kind").select("group", "part", "kind", "doc_id", "tokens").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "kind").mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
@@ -277,19 +295,23 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     # tokens of prefixes that several representatives show
     sketch = spark.sparkContext.broadcast(_sketch(light))
     prefixes = scratch.save(_prefixes(docs, k, sketch), "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).where("hub < _last").select("token", "hub")
+    shared = prefixes.groupBy("token").agg(F.max_by("doc_id", "score").alias("hub"), F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("token", "hub")
+    # a copy stands for its class's smallest id
+    shared = shared.join(same.select(F.col("a").alias("hub"), F.col("b").alias("_rep")), "hub", "left").select("token", F.coalesce("_rep", "hub").alias("hub"))
     shared = scratch.save(shared, "shared")
     posts = prefixes.join(shared, "token").join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     posts = scratch.save(posts.select("token", "doc_id", "n", "hub"), "posts")
     scratch.drop("prefixes", "shared")
 
-    # families: each representative asks the group of one hub, that with which it shares most
+    # families: each representative asks the group of one hub, that with which it shares most;
+    # a token's hub is the most typical of its documents
     near = posts.where("doc_id <> hub").groupBy("doc_id", "hub", "n").agg(F.count("*").alias("c"))
-    best = near.groupBy("doc_id", "n").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", "n", "m.c", (-F.col("m.h")).alias("group"))
+    near = near.groupBy("doc_id", "n").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", "n", "m.c", (-F.col("m.h")).alias("group"))
+    near = scratch.save(near, "near")
     hub_sizes = classes.select(F.col("rep").alias("group"), F.col("n").alias("m"))
-    best = best.join(hub_sizes, "group").where((F.col("c") >= least_shown(F.col("n"), F.col("m"))) & (OVER * F.least("n", "m") >= SHARE * F.greatest("n", "m")))
-    best = scratch.save(best.select("doc_id", "group"), "best")
-    hubs = scratch.save(best.select("group").distinct().select(F.col("group").alias("doc_id"), "group"), "hubs")
+    best = near.join(hub_sizes, "group").where((F.col("c") >= least_shown(F.col("n"), F.col("m"))) & (OVER * F.least("n", "m") >= SHARE * F.greatest("n", "m")))
+    best = scratch.save(best.select("doc_id", F.col("doc_id").alias("component"), "group"), "best")
+    hubs = scratch.save(best.select("group").distinct().select(F.col("group").alias("doc_id"), F.col("group").alias("component"), "group"), "hubs")
     whole = scratch.save(_needed_sets(docs, k, best.select("doc_id").unionByName(hubs.select("doc_id"))), "sets")
     stars = scratch.save(open_groups(hubs, best, whole, scratch), "stars")
     scratch.drop("sets")
@@ -303,22 +325,25 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     mixed = scratch.save(mixed, "mixed")
     rows = scratch.save(rows.join(mixed, "token"), "meeting")
     scratch.drop("labelled", "mixed", "posts")
-    # families are cut into groups of a bounded number of members
-    docs_in = rows.select("doc_id", "component", "n").distinct()
-    count = docs_in.groupBy("component").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts"))
-    placed = scratch.save(docs_in.join(count, "component").select("doc_id", F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).alias("group"), "component", "n"), "placed")
-    spots = scratch.save(rows.select("token", "doc_id").join(placed.select("doc_id", "group", "component", "n"), "doc_id"), "spots")
-    # what each group shows of a token: the range of its members' sizes
-    shows = spots.groupBy("token", "group", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("component", "other")
-    shows = scratch.save(shows, "shows")
-    asks = spots.drop("group").join(shows, "token").where((F.col("component") < F.col("other")) & (OVER * F.col("n") >= SHARE * F.col("lo")) & (OVER * F.col("hi") >= SHARE * F.col("n")))
-    asks = asks.groupBy("doc_id", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    asks = scratch.save(asks.where(F.col("c") >= least_shown_between(F.col("n"), F.col("lo"), F.col("hi"))).select("doc_id", "group"), "asks")
-    scratch.drop("spots", "shows", "meeting")
-    members = scratch.save(placed.select("doc_id", "group").join(asks.select("group").distinct(), "group", "left_semi"), "members")
+    # documents near one hub, linked or not, are a group, or several of a bounded number of members
+    docs_in = rows.select("doc_id", "component", "n").distinct().join(near.select("doc_id", F.col("group").alias("_hub")), "doc_id", "left").withColumn("_hub", F.coalesce("_hub", "doc_id"))
+    docs_in = scratch.save(docs_in, "clustered")
+    count = docs_in.groupBy("_hub").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts"))
+    placed = scratch.save(docs_in.join(count, "_hub").select("doc_id", F.xxhash64("_hub", F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).alias("group"), "component", "n"), "placed")
+    # the matrix: which group shows which token; groups that show one token in common may hold a link
+    shows = scratch.save(rows.select("token", "doc_id").join(placed.select("doc_id", "group"), "doc_id").select("token", "group").distinct(), "shows")
+    spans = scratch.save(placed.groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1")), "spans")
+    pairs = shows.join(shows.withColumnRenamed("group", "other"), "token").where("group < other").groupBy("group", "other").agg(F.count("*").alias("c"))
+    side = lambda name, tag: spans.select(F.col("group").alias(name), *[F.col(x).alias(f"{x}{tag}") for x in ("lo", "hi", "c0", "c1")])
+    pairs = pairs.join(side("group", "a"), "group").join(side("other", "b"), "other").where("NOT (c0a = c1a AND c0b = c1b AND c0a = c0b)")
+    pairs = pairs.where((F.col("c") >= least_shown_in(*[F.col(x) for x in ("loa", "hia", "lob", "hib")])) & (OVER * F.col("hia") >= SHARE * F.col("lob")) & (OVER * F.col("hib") >= SHARE * F.col("loa"))).select("group", "other")
+    pairs = scratch.save(pairs.unionByName(spans.where("c0 < c1").select("group", F.col("group").alias("other"))), "pairs")
+    scratch.drop("shows", "meeting", "clustered")
+    asks = scratch.save(placed.select("doc_id", "component", "group").join(pairs, "group").select("doc_id", "component", F.col("other").alias("group")), "asks")
+    members = scratch.save(placed.select("doc_id", "component", "group").join(asks.select("group").distinct(), "group", "left_semi"), "members")
     whole = scratch.save(_needed_sets(docs, k, asks.select("doc_id").unionByName(members.select("doc_id"))), "sets")
     bridges = scratch.save(open_groups(members, asks, whole, scratch), "bridges")
-    scratch.drop("sets", "asks", "members")
+    scratch.drop("sets", "asks", "members", "pairs")
 
     links = stars.unionByName(bridges).unionByName(same)
     found = scratch.save(components(links, scratch, "all").withColumnRenamed("node", "doc_id"), "found")
