@@ -163,7 +163,7 @@ def router_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCK = """'ok <tool_call> {"name": "' || event_type || '", "arguments": ' || props || '} </tool_call> end'"""
 
 
-@query("SELECT event_id, event_type AS name, trim(props) AS arguments FROM events")
+@query("SELECT event_id, event_type AS name, replace(props, ' ', '') AS arguments FROM events")
 def parse_tool_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.skills import parse_tool_call as parse
 
