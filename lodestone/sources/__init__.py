@@ -1 +1 @@
-
+"""Readers, writers and model clients."""
