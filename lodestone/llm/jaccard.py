@@ -189,7 +189,7 @@ def _needed(ids: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, k: int, needed) -> DataFrame:
-    """doc_id, tokens (ascending 64-bit hashes) of the documents in the filter."""
+    """doc_id, n, tokens (ascending 64-bit hashes) of the documents in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = np.unpackbits(needed.value).astype(bool), set()
@@ -202,73 +202,145 @@ def _whole_sets(docs: DataFrame, k: int, needed) -> DataFrame:
             batch = batch.filter(pa.array(use))
             for i, j, data, offsets in runs(batch.column(1)):
                 sets = Sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([sets.token[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])], pa.binary())], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sets.size.astype(np.int32)), pa.array([sets.token[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])], pa.binary())], names=["doc_id", "n", "tokens"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot).mapInArrow(run, "doc_id long, tokens binary")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot).mapInArrow(run, "doc_id long, n int, tokens binary")
 
 
 def _needed_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
     return _whole_sets(docs, k, docs.sparkSession.sparkContext.broadcast(_needed(ids)))
 
 
-def open_groups(members: DataFrame, asked: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between queries and members of the groups asked, as many as join their components.
+def _dealt_by_group(members: DataFrame, asked: DataFrame, payload: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """group, part, kind, doc_id, component, n, tokens: each part's members (kind 0) before its queries (kind 1).
 
-    members and asked: doc_id, component, group.  In each task a group's members
-    come first; their union is built once, and a query opens the group only if
-    enough of its tokens are in the union.  A member whose component the query
-    has joined already is passed over.
+    A group with very many queries is dealt to several parts, each of which gets
+    its members.
     """
     rows = members.select("group", F.lit(0).alias("kind"), "doc_id", "component").unionByName(asked.select("group", F.lit(1).alias("kind"), "doc_id", "component"))
-    # a group with very many queries is dealt to several tasks, each of which gets its members
     per = 1024
     many = asked.groupBy("group").agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
-    many = scratch.save(many, "many")
-    rows = rows.join(many, "group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    rows = rows.join(scratch.save(many, f"many-{name}"), "group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     mine = F.sequence(F.lit(0), F.col("_parts") - 1)
     one = F.array(F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("part", F.explode(F.when(F.col("kind") == 0, mine).otherwise(one)))
-    rows = rows.join(sets, "doc_id").select("group", "part", "kind", "doc_id", "component", "tokens")
+    rows = rows.join(payload, "doc_id").select("group", "part", "kind", "doc_id", "component", "n", "tokens")
+    parts = int(payload.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "kind")
+
+
+class _Group:
+    """One group's members, and how many tokens a query has in common with each."""
+
+    def __init__(self):
+        self.docs, self.components, self.sizes, self.sets, self.matrix = [], [], [], [], None
+
+    def add(self, doc: int, component: int, n: int, tokens: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.components.append(component)
+        self.sizes.append(n)
+        self.sets.append(tokens)
+
+    def close(self) -> None:
+        if self.matrix is None:
+            every = np.concatenate(self.sets)
+            owner = np.repeat(np.arange(len(self.sets)), [len(t) for t in self.sets])
+            self.matrix = np.unique(every), every, owner
+            self.docs, self.components, self.sizes = np.array(self.docs), np.array(self.components), np.array(self.sizes)
+
+    def common(self, tokens: np.ndarray) -> np.ndarray:
+        _, every, owner = self.matrix
+        at = np.searchsorted(tokens, every)
+        return np.bincount(owner[tokens[np.minimum(at, len(tokens) - 1)] == every], minlength=len(self.sets))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], tokens_of) -> Iterator[tuple[_Group, int, int, int, int, np.ndarray]]:
+    """Each query with its group: (group, group id, doc, component, n, tokens)."""
+    at, group = None, _Group()
+    for batch in batches:
+        for g, part, kind, doc, component, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
+            if at != (g, part):
+                at, group = (g, part), _Group()
+            tokens = tokens_of(tokens)
+            if kind == 0:
+                group.add(doc, component, n, tokens)
+            elif group.docs is not None and len(group.docs):
+                group.close()
+                yield group, g, doc, component, n, tokens
+
+
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 5000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
+
+
+def screen_groups(members: DataFrame, asked: DataFrame, shown: DataFrame, scratch: Scratch) -> DataFrame:
+    """kind, doc_id, group: queries that a group's shown tokens let through (1), and the members they may link with (0).
+
+    shown: doc_id, n, tokens (what a document shows of tokens that meet).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, matrix = None, [], None
-        root: dict[int, int] = {}
+        def rows():
+            named, current = set(), None
+            for group, g, doc, component, n, tokens in _groups(batches, lambda t: np.sort(t.values.to_numpy())):
+                if group is not current:
+                    named, current = set(), group
+                m = group.sizes
+                need = -(-SHARE * (n + m) // (OVER + SHARE)) + 1 - -(-SHARE * np.maximum(n, m) // OVER)
+                some = (group.common(tokens) >= np.maximum(need, 1)) & (group.components != component) & (OVER * np.minimum(n, m) >= SHARE * np.maximum(n, m))
+                if some.any():
+                    yield 1, doc, g
+                    for other in group.docs[some].tolist():
+                        if other not in named:
+                            named.add(other)
+                            yield 0, other, g
+
+        yield from _batched(rows(), ["kind", "doc_id", "group"], [pa.int32(), pa.int64(), pa.int64()])
+
+    return _dealt_by_group(members, asked, shown, scratch, "screen").mapInArrow(run, "kind int, doc_id long, group long")
+
+
+def open_groups(members: DataFrame, asked: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) between queries and members of the groups asked, as many as join their components.
 
-        def find(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
+    members and asked: doc_id, component, group.  A group's union is built once,
+    and a query opens the group only if enough of its tokens are in the union.
+    A member whose component the query has joined already is passed over.
+    """
 
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for group, part, kind, doc, component, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
-                if at != (group, part):
-                    at, members, matrix = (group, part), [], None
-                    root.clear()
-                tokens = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if kind == 0:
-                    members.append((doc, component, tokens.copy()))
-                    continue
-                if matrix is None:
-                    every = np.concatenate([m[2] for m in members])
-                    size = np.array([len(m[2]) for m in members])
-                    matrix = np.unique(every), every, np.repeat(np.arange(len(members)), size), size
-                union, every, owner, size = matrix
-                if OVER * overlap(tokens, union) < SHARE * len(tokens):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            root: dict[int, int] = {}
+            current = None
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for group, _, doc, component, n, tokens in _groups(batches, lambda t: np.frombuffer(t.as_buffer(), np.uint64).copy()):
+                if group is not current:
+                    root, current = {}, group
+                if OVER * overlap(tokens, group.matrix[0]) < SHARE * n:
                     continue
-                place = np.searchsorted(tokens, every)
-                common = np.bincount(owner[tokens[np.minimum(place, len(tokens) - 1)] == every], minlength=len(members))
-                for m in np.flatnonzero(OVER * common >= SHARE * (len(tokens) + size - common)):
-                    other, theirs = members[m][:2]
-                    a, b = find(component), find(theirs)
-                    if other != doc and a != b:
+                common = group.common(tokens)
+                for m in np.flatnonzero(OVER * common >= SHARE * (n + group.sizes - common)):
+                    a, b = find(component), find(int(group.components[m]))
+                    if group.docs[m] != doc and a != b:
                         root[max(a, b)] = min(a, b)
-                        found.append((doc, other))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                        yield doc, int(group.docs[m])
+
+        yield from _batched(rows(), ["a", "b"], [pa.int64(), pa.int64()])
 
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "kind").mapInArrow(run, "a long, b long")
+    return _dealt_by_group(members, asked, sets, scratch, name).mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
@@ -313,7 +385,7 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     best = scratch.save(best.select("doc_id", F.col("doc_id").alias("component"), "group"), "best")
     hubs = scratch.save(best.select("group").distinct().select(F.col("group").alias("doc_id"), F.col("group").alias("component"), "group"), "hubs")
     whole = scratch.save(_needed_sets(docs, k, best.select("doc_id").unionByName(hubs.select("doc_id"))), "sets")
-    stars = scratch.save(open_groups(hubs, best, whole, scratch), "stars")
+    stars = scratch.save(open_groups(hubs, best, whole, scratch, "stars"), "stars")
     scratch.drop("sets")
     families = scratch.save(components(stars, scratch, "families"), "families")
 
@@ -338,12 +410,17 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     pairs = pairs.join(side("group", "a"), "group").join(side("other", "b"), "other").where("NOT (c0a = c1a AND c0b = c1b AND c0a = c0b)")
     pairs = pairs.where((F.col("c") >= least_shown_in(*[F.col(x) for x in ("loa", "hia", "lob", "hib")])) & (OVER * F.col("hia") >= SHARE * F.col("lob")) & (OVER * F.col("hib") >= SHARE * F.col("loa"))).select("group", "other")
     pairs = scratch.save(pairs.unionByName(spans.where("c0 < c1").select("group", F.col("group").alias("other"))), "pairs")
+    shown = scratch.save(rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("tokens")), "shown")
     scratch.drop("shows", "meeting", "clustered")
-    asks = scratch.save(placed.select("doc_id", "component", "group").join(pairs, "group").select("doc_id", "component", F.col("other").alias("group")), "asks")
-    members = scratch.save(placed.select("doc_id", "component", "group").join(asks.select("group").distinct(), "group", "left_semi"), "members")
+    asks = placed.select("doc_id", "component", "group").join(pairs, "group").select("doc_id", "component", F.col("other").alias("group"))
+    members = placed.select("doc_id", "component", "group").join(pairs.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
+    passed = scratch.save(screen_groups(members, asks, shown, scratch), "passed")
+    labels = placed.select("doc_id", "component")
+    asks = scratch.save(passed.where("kind = 1").select("doc_id", "group").distinct().join(labels, "doc_id"), "asks")
+    members = scratch.save(passed.where("kind = 0").select("doc_id", "group").distinct().join(labels, "doc_id"), "members")
     whole = scratch.save(_needed_sets(docs, k, asks.select("doc_id").unionByName(members.select("doc_id"))), "sets")
-    bridges = scratch.save(open_groups(members, asks, whole, scratch), "bridges")
-    scratch.drop("sets", "asks", "members", "pairs")
+    bridges = scratch.save(open_groups(members, asks, whole, scratch, "bridges"), "bridges")
+    scratch.drop("sets", "asks", "members", "pairs", "shown", "passed")
 
     links = stars.unionByName(bridges).unionByName(same)
     found = scratch.save(components(links, scratch, "all").withColumnRenamed("node", "doc_id"), "found")
