@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,7 +30,7 @@ ROLL_BYTES = 256 << 20
 #: Payload bytes that one shard (one task) should get.
 SHARD_BYTES = 64 << 20
 #: Buckets of the key range in which payload bytes are counted (at most so many rows reach the driver).
-RANGE_BUCKETS = 1 << 14
+RANGE_BUCKETS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,19 +62,25 @@ def plan_records(pages: DataFrame, scratch: Scratch, key: str = "page_id", paylo
 
 
 def _shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, np.ndarray]:
-    """Smallest key, bucket width and first bucket of each shard, from exact sums of bytes."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
+    """Smallest key, bucket width and shard of each bucket, from exact sums of bytes.
+
+    Shards are runs of buckets of equal key width; a bucket that alone is
+    heavier than a shard makes one longer shard, which rolls into more files.
+    """
+    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
         return 0, 1, np.zeros(1, np.int64)
     width = (high - low) // RANGE_BUCKETS + 1
-    sums = rows.groupBy(F.floor((F.col("page_id") - low) / width).cast("int").alias("b")).agg(F.sum(F.col("payload_bytes") + 600).alias("n")).collect()
-    parts = np.zeros(RANGE_BUCKETS, np.int64)
+    sums = rows.groupBy(_bucket(low, width).alias("b")).agg(F.sum(F.col("payload_bytes") + 600).alias("n")).collect()
+    parts = np.zeros((high - low) // width + 1, np.int64)
     for r in sums:
-        if r["b"] is not None:
-            parts[r["b"]] += r["n"]
-    count = max(1, -(-int(parts.sum()) // shard_bytes))
-    cuts = np.searchsorted(np.cumsum(parts), np.arange(1, count) * (parts.sum() / count))
-    return low, width, np.unique(np.concatenate([[0], cuts + 1]))
+        parts[r["b"]] = r["n"]
+    before = np.cumsum(parts) - parts
+    return low, width, np.unique(before // shard_bytes, return_inverse=True)[1]
+
+
+def _bucket(low: int, width: int) -> Column:
+    return F.expr(f"CAST((coalesce(page_id, {low}L) - {low}L) DIV {width}L AS INT)")
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -152,12 +158,11 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
     the committed manifest are renamed, and the rest of tmp/ is then deleted.
     """
     light = scratch.spark.read.parquet(scratch.path("digests"))
-    low, width, bounds = _shards(light, shard_bytes)
-    bucket = F.floor((F.coalesce(F.col("page_id"), F.lit(low)) - low) / width).cast("int")
-    # the bounds are at most one a shard: a binary search on a literal array
-    shard = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("_bucket"))) - 1
-    dealt = records.withColumn("_bucket", bucket).withColumn("shard", shard.cast("int")).drop("_bucket")
-    dealt = dealt.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload_digest")
+    low, width, shards = _shards(light, shard_bytes)
+    # one folded literal of at most RANGE_BUCKETS numbers, looked up by place
+    lookup = F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>")
+    dealt = records.withColumn("shard", F.element_at(lookup, _bucket(low, width) + 1))
+    dealt = dealt.repartitionById(int(shards.max()) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload_digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done, revisits = None, [], (None, {})
