@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 CAPACITY = 2048
-#: Ranks within a length are counted in so many hash buckets, so that a hot length has no single task.
-RANK_BUCKETS = 128
+#: Ranks within a length are counted in hash buckets of about so many pieces of all lengths, so that a hot length has no single task.
+BUCKET_PIECES, MAX_BUCKETS = 50_000, 4096
 #: Steps of multiplicative weights.
 STEPS = 600
 
@@ -228,7 +228,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     scratch = scratch or Scratch(docs.sparkSession, "pack")
     cut_up = scratch.save(pieces(docs, tokenizer or tokenizer_path(), capacity, end_id), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
+    buckets = min(MAX_BUCKETS, 16 + cut_up.count() // BUCKET_PIECES)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
     cut_up = cut_up.withColumn("_bucket", bucket)
     counts = scratch.save(cut_up.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "histogram")
     histogram = np.zeros(capacity, np.int64)
