@@ -400,7 +400,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     # documents near one hub, linked or not, are a group, or several of a bounded number of members
     docs_in = rows.select("doc_id", "component", "n").distinct().join(near.select("doc_id", F.col("group").alias("_hub")), "doc_id", "left").withColumn("_hub", F.coalesce("_hub", "doc_id"))
     docs_in = scratch.save(docs_in, "clustered")
-    count = docs_in.groupBy("_hub").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts"))
+    # from a table, so that a hub near very many documents can be split in the join
+    count = scratch.save(docs_in.groupBy("_hub").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts")), "count")
     placed = scratch.save(docs_in.join(count, "_hub").select("doc_id", F.xxhash64("_hub", F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).alias("group"), "component", "n"), "placed")
     # the matrix: which group shows which token; groups that show one token in common may hold a link
     shows = scratch.save(rows.select("token", "doc_id").join(placed.select("doc_id", "group"), "doc_id").select("token", "group").distinct(), "shows")
