@@ -2,8 +2,9 @@
 
 Pages of one host are aligned, as DOM trees, with a reference page of the host
 by simple tree matching.  Nodes whose text is the same on the aligned pages
-become the host's template; the others are its slots.  A page's main text is
-what stands in its slots, except in places that by their element or name never
+become the host's template; the others are its slots, and the article or main
+element whose slots vary most is the host's content.  A page's main text is what
+stands in its slots there, except in places that by their element or name never
 hold the article (menus, footers, adverts, forms, comments and the like).
 """
 
@@ -255,31 +256,47 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
     return found
 
 
-def constant_nodes(tree: Tree, reference: Tree, constant: frozenset[int]) -> set[int]:
-    """Nodes of ``tree`` aligned with a template node of the reference and bearing its text."""
-    if not constant:
-        return set()
-    return {i for i, j in match(tree, reference).items() if j in constant and tree.sums[i] == reference.sums[j] and tree.sizes[i] == reference.sizes[j]}
+class Wrapper:
+    """A host's reference tree, its template nodes, and its content node (-1: none marked)."""
 
+    __slots__ = ("tree", "constant", "content")
 
-def blocks(root: Element, template: set[int]) -> list[str]:
+    def __init__(self, tree: Tree, constant: frozenset[int], content: int):
+        self.tree, self.constant, self.content = tree, constant, content
+
+    def apply(self, page: Tree) -> tuple[set[int], int]:
+        """The page's nodes that bear the template's text, and its content node."""
+        aligned = match(page, self.tree)
+        same = {i for i, j in aligned.items() if j in self.constant and page.sums[i] == self.tree.sums[j] and page.sizes[i] == self.tree.sizes[j]}
+        return same, next((i for i, j in aligned.items() if j == self.content), -1)
+
+
+def content_node(tree: Tree, varying: dict[int, int]) -> int:
+    """The article or main element that holds most of the text that varies, if it holds half of it."""
+    total = [varying.get(i, 0) for i in range(len(tree.tags))]
+    for i in range(len(total) - 1, -1, -1):  # children stand after their parents
+        total[i] = 0 if tree.tags[i] in DROPPED else total[i] + sum(total[k] for k in tree.kids[i])
+    best = max((i for i, t in enumerate(tree.tags) if t in LANDMARKS), key=lambda i: total[i], default=-1)
+    return best if best >= 0 and 2 * total[best] >= total[0] > 0 else -1
+
+
+def blocks(root: Element, template: set[int], content: int = -1) -> list[str]:
     """The article's blocks in page order.
 
-    Where the page marks its article (or main part) only that is read, and
-    text in it is never taken for template: two copies of an article on a host
-    must not erase each other.
+    content: the block index of the element to read.  Without one, the page's
+    own article or main elements are read, and without those all of it but the
+    template.  Text inside a marked article is never taken for template: two
+    copies of an article on a host must not erase each other.
     """
-    marked = None
-    for tag in LANDMARKS:
-        depth = 0
-        for element, text, start in _walk(root):
-            if text is None and element.out:
-                depth += 1 if start else -1
-            elif text is None and start and not depth and element.tag == tag:
-                marked = tag
-                break
-        if marked:
-            break
+    depth, found_content, tags = 0, False, set()
+    for element, text, start in _walk(root):
+        if text is None and element.out:
+            depth += 1 if start else -1
+        elif text is None and start and not depth and element.tag in LANDMARKS:
+            tags.add(element.tag)
+            found_content |= element.block == content
+    marked = next((t for t in LANDMARKS if t in tags), None)
+    region = (lambda e: e.block == content) if content >= 0 and found_content else (lambda e: e.tag == marked)
     found: list[str] = []
     held: list[str] = []
     out = inside = 0
@@ -315,18 +332,16 @@ def blocks(root: Element, template: set[int]) -> list[str]:
                 own.append(element.block)
             else:
                 own.pop()
-        if marked and element.tag == marked:
+        if marked and region(element):
             inside += 1 if start else -1
     flush()
     return found
 
 
-def main_text(html: str | None, reference: Tree | None = None, constant: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
     root = parse(html or "")
-    template: set[int] = set()
-    if reference is not None and constant:
-        template = constant_nodes(Tree.of(root), reference, constant)
-    return "\n\n".join(blocks(root, template))
+    page = Tree.of(root)  # also numbers the blocks
+    return "\n\n".join(blocks(root, *(wrapper.apply(page) if wrapper else (set(), -1))))
 
 
 def host(url: Column) -> Column:
@@ -336,7 +351,7 @@ def host(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, reference (a tree), constant (its template nodes), of hosts where there are any.
+    """host, reference (a tree), constant (its template nodes), content, of hosts with enough pages.
 
     Every page takes part.  Pages of equal text count once, so that copies of
     one article don't make it template; per-host counts are summed before they
@@ -366,16 +381,28 @@ def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 a, b = Tree.load(tree), known[name]
                 for i, j in match(a, b).items():
                     if b.sizes[j]:
-                        n = counts.setdefault((name, j), [0, 0])
+                        n = counts.setdefault((name, j), [0, 0, 0])
+                        same = a.sums[i] == b.sums[j] and a.sizes[i] == b.sizes[j]
                         n[0] += 1
-                        n[1] += a.sums[i] == b.sums[j] and a.sizes[i] == b.sizes[j]
-            rows = [(h, j, n, same) for (h, j), (n, same) in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "n", "same"])
+                        n[1] += same
+                        n[2] += 0 if same else a.sizes[i]
+            rows = [(h, j, *n) for (h, j), n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "n", "same", "varying"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            constant, content = [], []
+            for reference, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                constant.append([x["node"] for x in nodes if x["n"] >= SAME_PAGES - 1 and x["same"] >= SAME_SHARE * x["n"]])
+                content.append(content_node(Tree.load(reference), {x["node"]: x["varying"] for x in nodes}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(constant, pa.list_(pa.int32())), pa.array(content, pa.int32())], names=["host", "reference", "constant", "content"])
 
     joined = distinct.join(references, "host").where(F.col("page_id") != F.col("reference_id")).select("host", "tree", "reference")
-    counts = joined.mapInArrow(align, "host string, node int, n long, same long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    constant = counts.where((F.col("n") >= SAME_PAGES - 1) & (F.col("same") >= SAME_SHARE * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return scratch.save(references.join(constant, "host").select("host", "reference", "constant"), "templates")
+    sums = [F.sum(c).alias(c) for c in ("n", "same", "varying")]
+    counts = joined.mapInArrow(align, "host string, node int, n long, same long, varying long").groupBy("host", "node").agg(*sums)
+    nodes = counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "n", "same", "varying"))).alias("nodes"))  # at most the reference's
+    judged = references.join(nodes, "host").select("host", "reference", "nodes").mapInArrow(judge, "host string, reference string, constant array<int>, content int")
+    return scratch.save(judged, "templates")
 
 
 def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -391,17 +418,17 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     size = templates.agg(F.sum(F.length("reference") + 8 * F.size("constant"))).first()[0] or 0
     # the whole set of templates is broadcast only while it is small
     right = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(right, "host", "left").select("page_id", "url", "html", "host", "reference", "constant")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(right, "host", "left").select("page_id", "url", "html", "host", "reference", "constant", "content")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, tuple[Tree, frozenset[int]]] = {}
+            known: dict[str, Wrapper] = {}
             texts = []
-            for html, name, reference, constant in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+            for html, name, reference, constant, content in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), batch.column(6).to_pylist()):
                 if reference.is_valid and name not in known:
-                    known[name] = Tree.load(reference.as_py()), frozenset(constant.as_py())
-                texts.append(main_text(html.as_py(), *known.get(name, ())))
+                    known[name] = Wrapper(Tree.load(reference.as_py()), frozenset(constant.as_py()), content)
+                texts.append(main_text(html.as_py(), known.get(name)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

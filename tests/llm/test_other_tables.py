@@ -213,6 +213,15 @@ def test_wrapper_is_induced(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_content_is_the_element_that_varies(spark):
+    """Of several articles on a page the wrapper reads the one whose text varies over the host."""
+    teaser = "<article><p>Always the same teaser</p></article>"
+    rows = [(i, "http://h.example/", f"<html><body><div><article><h1>Title {i}</h1><p>Story {i} in many words</p></article></div>{teaser}</body></html>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got[2] == "Title 2\n\nStory 2 in many words"
+
+
 def test_copies_do_not_make_a_template(spark):
     page = "<html><body><div><p>The same story</p></div></body></html>"
     df = spark.createDataFrame([(i, "http://h.example/", page) for i in range(9)], "page_id long, url string, html string")
