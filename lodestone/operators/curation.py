@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dataset_name, sha256_mod
+from ..functions import dataset_name, row_index, sha256_mod
 from .traces import oracle_decision
 
 # The texts of the prompts.
@@ -25,8 +25,7 @@ def split_rows(rows: DataFrame, split: str, has_split: bool | None = None, order
         return rows.where(F.col("split") == split)
     if split != "train" and strict and split not in ("val", "eval", "test"):
         raise ValueError(f"unknown split: {split}")
-    w = Window.orderBy(order)
-    return rows.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % 2 == (0 if split == "train" else 1)).drop("_i")
+    return row_index(rows, order, "_i").where(F.col("_i") % 2 == (0 if split == "train" else 1)).drop("_i")
 
 
 def sharded(rows: DataFrame, modulus: int, remainders: list[int], key: str = "task_id") -> DataFrame:
@@ -150,7 +149,7 @@ def rl_rows(tasks: DataFrame, split: str, procedure: Column | None = None, limit
     rows = window_of(tasks, order, 0, limit)
     name = dataset_name(F.col("task_id"), F.col(source) if source else F.lit(None).cast("string"))
     truth = F.to_json(F.struct("task_id", "prompt", *[F.col(c) for c in ("entry_point", "test") if c in tasks.columns]))
-    rows = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_d", name)
+    rows = row_index(rows, order, "_i").withColumn("_d", name)
     return rows.select(
         F.concat(F.lit("code/"), "_d").alias("data_source"),
         chat_prompt(F.col("prompt"), procedure).alias("prompt"),
@@ -170,7 +169,7 @@ def balanced(rows: DataFrame, domain: str = "domain", order: str = "ord") -> Dat
     """Every domain repeated to the size of the largest; ``slot`` numbers its rows."""
     sizes = rows.groupBy(domain).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_target", F.max("_n").over(Window.partitionBy()))
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(domain).orderBy(order)) - 1).join(F.broadcast(sizes), domain)
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(domain).orderBy(order)) - 1).join(sizes, domain)
     copies = F.expr("sequence(_rn, _target - 1, _n)")
     return numbered.where("_rn < _target").withColumn("slot", F.explode(copies)).drop("_rn", "_n", "_target")
 

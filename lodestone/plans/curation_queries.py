@@ -69,7 +69,7 @@ def interleave_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tasks(spark, sf_dir).select(F.col("dataset").alias("domain"), "task_id", "ord")
     domains = rows.select("domain").distinct().withColumn("_d", F.row_number().over(Window.orderBy("domain"))).withColumn("_k", F.max("_d").over(Window.partitionBy()))
     # every slot holds each domain once, so a row's place follows from slot and domain alone
-    b = C.balanced(rows).join(F.broadcast(domains), "domain")
+    b = C.balanced(rows).join(domains, "domain")
     return b.select((F.col("slot") * F.col("_k") + F.col("_d")).cast("long").alias("place"), "domain", "task_id")
 
 

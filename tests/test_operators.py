@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from lodestone.functions import md5_mod, sha256_mod, stable_fraction
+from lodestone.functions import md5_mod, row_index, sha256_mod, stable_fraction
 from lodestone.operators import curation as C
 from lodestone.operators import messages as M
 from lodestone.operators import models, verify
@@ -25,6 +25,14 @@ def routes(spark, *outcomes):
     return spark.createDataFrame([(f"t{i}", "humaneval", f"p{i}", s, l, 0.001, 0.01) for i, (s, l) in enumerate(outcomes)], ROUTES)
 
 
+def test_row_index(spark):
+    df = spark.createDataFrame([(x,) for x in [5, None, -3, 10**12, 7, 5, 0]], "ord long")
+    for frame in (df, df.withColumn("ord", F.col("ord").cast("string"))):
+        got = row_index(frame, "ord", "i", 3).orderBy("i").collect()
+        assert [r["i"] for r in got] == list(range(7)) and [r["ord"] for r in got] == [r["ord"] for r in frame.orderBy(F.col("ord").asc_nulls_first()).collect()]
+    assert row_index(df.limit(0), "ord", "i").count() == 0
+
+
 def one(df):
     return df.collect()[0].asDict()
 
