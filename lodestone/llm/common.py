@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch, at most: with whole texts in them, batches of 10,000 rows take too much of a worker's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bound_batches(spark: SparkSession) -> None:

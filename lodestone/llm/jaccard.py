@@ -31,7 +31,7 @@ GROUP_MEMBERS = 64
 #: Cells of the frequency sketch that orders tokens (one byte each, sent to every task).
 SKETCH_CELLS = 1 << 21
 #: Tokens counted together when repeated ones are looked for.
-COUNT_TOKENS = 1 << 22
+COUNT_TOKENS = 1 << 21
 #: Slots of the filter of needed documents (one bit each, sent to every task).
 FILTER_SLOTS = 1 << 23
 

@@ -53,14 +53,21 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._ranked(spec)
 
+    @property
+    def tokenizer(self):
+        """The file's own library, loaded when a text first needs it."""
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own
+
     @staticmethod
     def _ranked(spec: dict):
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
