@@ -119,3 +119,31 @@ def test_cycle(spark, tmp_path):
     two = loops.Cycle(spark, str(tmp_path), 1).run(tasks, one["skill_stats"])
     total = lambda d: d["skill_stats"].agg(F.sum("total")).first()[0]
     assert total(two) > total(one) and two["ablation"].count() == 4
+
+
+def test_artifacts(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from lodestone.operators import models, runs
+    from lodestone.operators import skills as S
+    from lodestone.sources import artifacts as A
+
+    stats = spark.createDataFrame([("coding", "small", 1, 2)], "signature string, model string, successes long, total long")
+    A.write_book(str(tmp_path), S.book(spark), stats)
+    book, again = A.read_book(spark, str(tmp_path))
+    assert book.count() == 3 and again.collect() == stats.collect() and A.read_book(spark, str(tmp_path / "none"))[0].count() == 0
+    assert (tmp_path / "skill.md").read_text().count("\n\n---\n\n") == 2
+    rows = spark.createDataFrame([(Vectors.dense([float(i)]), int(i > 3)) for i in range(8)], ["features", "label"])
+    A.save_router(str(tmp_path), models.fit_logistic(rows), {"threshold_default": 0.5})
+    model, meta = A.load_router(str(tmp_path))
+    assert meta["embedding_model"] == A.DEFAULT_EMBEDDING and models.probability(model, rows).where("prob > 0.5").count() == 4
+    assert A.load_router(str(tmp_path / "none")) is None
+    with pytest.raises(LookupError):
+        A.require_model("m", [])
+    A.mark(A.snapshot(str(tmp_path / "run"), {"a": 1}), "elsewhere")
+    tasks = spark.createDataFrame([("d", 1, 0), ("d", 1, 1)], "domain string, task_id int, ord int")
+    assert runs.lookup(tasks, "d", "1")["ord"] == 0
+    with pytest.raises(KeyError):
+        runs.lookup(tasks, "d", "2")
+    with pytest.raises(Exception, match="without its other"):
+        runs.low_rank_pairs(spark.createDataFrame([("x.lora_A.w",)], "key string")).collect()
