@@ -219,7 +219,7 @@ def _dealt_by_group(members: DataFrame, asked: DataFrame, payload: DataFrame, sc
     its members.
     """
     rows = members.select("group", F.lit(0).alias("kind"), "doc_id", "component").unionByName(asked.select("group", F.lit(1).alias("kind"), "doc_id", "component"))
-    per = 1024
+    per = 256
     many = asked.groupBy("group").agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
     rows = rows.join(scratch.save(many, f"many-{name}"), "group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     mine = F.sequence(F.lit(0), F.col("_parts") - 1)
