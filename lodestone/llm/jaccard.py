@@ -281,31 +281,53 @@ def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
 
 
-def screen_groups(members: DataFrame, asked: DataFrame, shown: DataFrame, scratch: Scratch) -> DataFrame:
+def screen_groups(packs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """kind, doc_id, group: queries that a group's shown tokens let through (1), and the members they may link with (0).
 
-    shown: doc_id, n, tokens (what a document shows of tokens that meet).
+    packs: group, members (doc_id, component, n, tokens shown); pairs: group,
+    other (that ``group`` asks).  A row holds a whole group, so the rows are as
+    many as the pairs of groups.
     """
+    per = 8
+    many = pairs.groupBy("other").agg(F.ceil(F.count("*") / per).cast("int").alias("_parts"))
+    many = scratch.save(many, "many-screen")
+    mine = packs.join(many.withColumnRenamed("other", "group"), "group").select(F.col("group").alias("other"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("kind"), "members")
+    theirs = pairs.join(many, "other").select("group", "other", F.pmod(F.xxhash64("group"), F.col("_parts")).cast("int").alias("part"))
+    theirs = scratch.save(theirs, "dealt-screen").join(packs, "group").select("other", "part", F.lit(1).alias("kind"), "members")
+
+    def unpack(members: pa.Scalar) -> list[tuple[int, int, int, np.ndarray]]:
+        rows = members.values
+        tokens = rows.field("tokens")
+        at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        return [(d, c, n, np.sort(flat[at[k] : at[k + 1]])) for k, (d, c, n) in enumerate(zip(*(rows.field(f).to_pylist() for f in ("doc_id", "component", "n"))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            named, current = set(), None
-            for group, g, doc, component, n, tokens in _groups(batches, lambda t: np.sort(t.values.to_numpy())):
-                if group is not current:
-                    named, current = set(), group
-                m = group.sizes
-                need = -(-SHARE * (n + m) // (OVER + SHARE)) + 1 - -(-SHARE * np.maximum(n, m) // OVER)
-                some = (group.common(tokens) >= np.maximum(need, 1)) & (group.components != component) & (OVER * np.minimum(n, m) >= SHARE * np.maximum(n, m))
-                if some.any():
-                    yield 1, doc, g
-                    for other in group.docs[some].tolist():
-                        if other not in named:
-                            named.add(other)
-                            yield 0, other, g
+            at, group, named = None, _Group(), set()
+            for batch in batches:
+                for g, part, kind, members in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                    if at != (g, part):
+                        at, group, named = (g, part), _Group(), set()
+                    if kind == 0:
+                        for m in unpack(members):
+                            group.add(*m)
+                        group.close()
+                        continue
+                    for doc, component, n, tokens in unpack(members):
+                        m = group.sizes
+                        need = -(-SHARE * (n + m) // (OVER + SHARE)) + 1 - -(-SHARE * np.maximum(n, m) // OVER)
+                        some = (group.common(tokens) >= np.maximum(need, 1)) & (group.components != component) & (OVER * np.minimum(n, m) >= SHARE * np.maximum(n, m))
+                        if some.any():
+                            yield 1, doc, g
+                            for other in group.docs[some].tolist():
+                                if other not in named:
+                                    named.add(other)
+                                    yield 0, other, g
 
         yield from _batched(rows(), ["kind", "doc_id", "group"], [pa.int32(), pa.int64(), pa.int64()])
 
-    return _dealt_by_group(members, asked, shown, scratch, "screen").mapInArrow(run, "kind int, doc_id long, group long")
+    parts = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mine.unionByName(theirs).repartition(parts, "other", "part").sortWithinPartitions("other", "part", "kind").mapInArrow(run, "kind int, doc_id long, group long")
 
 
 def open_groups(members: DataFrame, asked: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -400,9 +422,13 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     # documents near one hub, linked or not, are a group, or several of a bounded number of members
     docs_in = rows.select("doc_id", "component", "n").distinct().join(near.select("doc_id", F.col("group").alias("_hub")), "doc_id", "left").withColumn("_hub", F.coalesce("_hub", "doc_id"))
     docs_in = scratch.save(docs_in, "clustered")
-    # from a table, so that a hub near very many documents can be split in the join
-    count = scratch.save(docs_in.groupBy("_hub").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts")), "count")
-    placed = scratch.save(docs_in.join(count, "_hub").select("doc_id", F.xxhash64("_hub", F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).alias("group"), "component", "n"), "placed")
+    # a component that fills groups of its own does so: two groups of one component need no comparison;
+    # sizes are joined from tables, so that a hub near very many documents can be split
+    large = scratch.save(docs_in.groupBy("_hub", "component").agg(F.count("*").alias("_c")).where(F.col("_c") >= GROUP_MEMBERS).select("_hub", "component", F.lit(True).alias("_own")), "large")
+    docs_in = docs_in.join(large, ["_hub", "component"], "left").withColumn("_key", F.xxhash64("_hub", F.when(F.col("_own"), F.col("component"))))
+    docs_in = scratch.save(docs_in.select("doc_id", "component", "n", "_key"), "keyed")
+    count = scratch.save(docs_in.groupBy("_key").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("_parts")), "count")
+    placed = scratch.save(docs_in.join(count, "_key").select("doc_id", F.xxhash64("_key", F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).alias("group"), "component", "n"), "placed")
     # the matrix: which group shows which token; groups that show one token in common may hold a link
     shows = scratch.save(rows.select("token", "doc_id").join(placed.select("doc_id", "group"), "doc_id").select("token", "group").distinct(), "shows")
     spans = scratch.save(placed.groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1")), "spans")
@@ -411,17 +437,16 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     pairs = pairs.join(side("group", "a"), "group").join(side("other", "b"), "other").where("NOT (c0a = c1a AND c0b = c1b AND c0a = c0b)")
     pairs = pairs.where((F.col("c") >= least_shown_in(*[F.col(x) for x in ("loa", "hia", "lob", "hib")])) & (OVER * F.col("hia") >= SHARE * F.col("lob")) & (OVER * F.col("hib") >= SHARE * F.col("loa"))).select("group", "other")
     pairs = scratch.save(pairs.unionByName(spans.where("c0 < c1").select("group", F.col("group").alias("other"))), "pairs")
-    shown = scratch.save(rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("tokens")), "shown")
-    scratch.drop("shows", "meeting", "clustered")
-    asks = placed.select("doc_id", "component", "group").join(pairs, "group").select("doc_id", "component", F.col("other").alias("group"))
-    members = placed.select("doc_id", "component", "group").join(pairs.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
-    passed = scratch.save(screen_groups(members, asks, shown, scratch), "passed")
+    shown = scratch.save(rows.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")), "shown")
+    scratch.drop("shows", "meeting", "clustered", "keyed")
+    packs = scratch.save(placed.join(shown, "doc_id").groupBy("group").agg(F.collect_list(F.struct("doc_id", "component", F.col("n").cast("int").alias("n"), "tokens")).alias("members")), "packs")
+    passed = scratch.save(screen_groups(packs, pairs, scratch), "passed")
     labels = placed.select("doc_id", "component")
     asks = scratch.save(passed.where("kind = 1").select("doc_id", "group").distinct().join(labels, "doc_id"), "asks")
     members = scratch.save(passed.where("kind = 0").select("doc_id", "group").distinct().join(labels, "doc_id"), "members")
     whole = scratch.save(_needed_sets(docs, k, asks.select("doc_id").unionByName(members.select("doc_id"))), "sets")
     bridges = scratch.save(open_groups(members, asks, whole, scratch, "bridges"), "bridges")
-    scratch.drop("sets", "asks", "members", "pairs", "shown", "passed")
+    scratch.drop("sets", "asks", "members", "pairs", "shown", "packs", "passed")
 
     links = stars.unionByName(bridges).unionByName(same)
     found = scratch.save(components(links, scratch, "all").withColumnRenamed("node", "doc_id"), "found")
