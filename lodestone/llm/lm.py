@@ -1,11 +1,10 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary: the most frequent
-words of the target, a class of unknown words for each byte length, and the
-start of a text.  The background is counted over every document, its counts
-scaled to the target's size so that both models are smoothed alike.  The loss
-of every bigram under either model is one dense table whose size the vocabulary
-bounds, so scoring needs no shuffle.
+A target and a background bigram model share one vocabulary: all words of the
+corpus and the start of a text.  The counts of words, contexts and bigrams are
+distributed tables that grow with the corpus; every document counts for the
+background, whose raw counts are discounted.  Documents are scored by a join of
+their bigrams with the losses of all bigrams under either model.
 """
 
 from __future__ import annotations
@@ -14,31 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .jaccard import FILTER_SLOTS, _needed
-from .textvec import Words, runs
+from .textvec import Words, mix, runs
 
-#: Words with an id of their own; the tables that are broadcast have (VOCABULARY + 17)**2 cells.
-VOCABULARY = 1024
-LENGTH_CLASSES = 16
 DISCOUNT = 0.75
 #: A document is scored by the target model of the other folds, so never by its own counts.
 FOLDS = 2
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), n: counted task by task, then summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in runs(batch.column(0)):
-                found, n = np.unique(Words(data, offsets, True).hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+#: Words counted together before their bigrams are handed on.
+COUNT_WORDS = 1 << 22
+#: The context of a text's first word.
+START = 0
 
 
 def _likely(docs: DataFrame, needed) -> DataFrame:
@@ -55,51 +43,50 @@ def _likely(docs: DataFrame, needed) -> DataFrame:
     return docs.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {kind}, text string")
 
 
-class Vocabulary:
-    """Ids of words: 0.. the known ones, then the length classes, then the start of a text."""
+def _contexts(words: Words) -> np.ndarray:
+    """The hash of the word before each word of the run, START before the first of a text."""
+    before = np.full(len(words.hash), START, np.uint64)
+    before[1:] = words.hash[:-1]
+    before[words.first[:-1][words.count > 0]] = START
+    return before
 
-    def __init__(self, words: np.ndarray):
-        self.sorted = np.sort(words)
-        self.unknown, self.start = len(words), len(words) + LENGTH_CLASSES
-        self.size = self.start + 1
 
-    def bigrams(self, words: Words) -> np.ndarray:
-        """previous id * size + id, for every word of the run."""
-        h = words.hash.view(np.int64)
-        at = np.searchsorted(self.sorted, h)
-        known = self.sorted[np.minimum(at, len(self.sorted) - 1)] == h if len(self.sorted) else np.zeros(len(h), bool)
-        ids = np.where(known, at, self.unknown + np.minimum(words.end - words.start, LENGTH_CLASSES) - 1)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[words.first[:-1][words.count > 0]] = self.start
-        return before * self.size + ids
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each bigram."""
+    return mix(before * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
-def _bigram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """bigram, n (rows of fold -1), n0.. (those of each other fold); docs: text, fold."""
-    size = vocabulary.size**2
-    names = ["bigram", "n", *(f"n{k}" for k in range(FOLDS))]
+_COUNTS = ["n", *(f"n{k}" for k in range(FOLDS))]
+
+
+def _bigram_counts(docs: DataFrame) -> DataFrame:
+    """pair, before, word, n (rows of fold -1), n0.. (those of each other fold); docs: text, fold."""
+    names = ["pair", "before", "word", *_COUNTS]
+
+    def counted(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        before, word, fold = (np.concatenate(x) for x in zip(*held))
+        pair, first, group = np.unique(_pairs(before, word), return_index=True, return_inverse=True)
+        counts = [np.bincount(group[fold == k], minlength=len(pair)) for k in range(-1, FOLDS)]
+        columns = [pair.view(np.int64), before[first].view(np.int64), word[first].view(np.int64), *counts]
+        for i in range(0, len(pair), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 + FOLDS, size), np.int64)
+        held, count = [], 0
         for batch in batches:
             fold = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in runs(batch.column(0)):
                 words = Words(data, offsets, True)
-                code = vocabulary.bigrams(words)
-                mine = fold[i:j][words.text]
-                if len(some := code[mine < 0]):
-                    total[0] += np.bincount(some, minlength=size)
-                for k in range(FOLDS):
-                    if len(some := code[mine == k]):
-                        total[1 + k] += np.bincount(some, minlength=size)
-        seen = np.flatnonzero(total.any(axis=0))
-        for i in range(0, len(seen), 100_000):
-            at = seen[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=names)
+                held.append((_contexts(words), words.hash, fold[i:j][words.text].astype(np.int8)))
+                count += len(words.hash)
+                if count >= COUNT_WORDS:
+                    yield from counted(held)
+                    held, count = [], 0
+        if held:
+            yield from counted(held)
 
     counts = docs.select("text", "fold").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return counts.groupBy("bigram").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    return counts.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word"), *[F.sum(n).alias(n) for n in _COUNTS])
 
 
 def losses(counts: np.ndarray, size: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -114,8 +101,15 @@ def losses(counts: np.ndarray, size: int, discount: float = DISCOUNT) -> np.ndar
     return -np.log2(p).ravel()
 
 
-def train(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY, scratch: Scratch | None = None) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary, background losses, target losses by the fold left out.
+def _loss(c: Column, context: Column, kinds: Column, word: Column, total: Column, size: int) -> Column:
+    """The same from a bigram's count, its context's total and number of bigrams, its word's count and the total of all."""
+    p = (word + 1) / (total + size)
+    seen = (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / context
+    return -F.log2(F.when(context > 0, seen).otherwise(p))
+
+
+def train(docs: DataFrame, target: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """pair, back, near0..: losses of every bigram of ``docs``, in the background and by the target without each fold.
 
     ``target`` holds the doc_id of target rows; every row of ``docs`` counts
     for the background.
@@ -129,55 +123,72 @@ def train(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY,
     likely = _likely(docs, needed)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     aimed = scratch.save(likely.hint("merge").join(marked.hint("merge"), "doc_id", "left_semi").select("text", fold), "target")
-    words = _word_counts(aimed).orderBy(F.col("n").desc(), "word").limit(vocabulary_size).toPandas()
-    vocabulary = Vocabulary(words["word"].to_numpy(np.int64))
-    size = vocabulary.size**2
-    counts = np.zeros((1 + FOLDS, size))
     everything = docs.select("text", F.lit(-1).alias("fold")).unionByName(aimed)
-    got = _bigram_counts(everything, vocabulary).toPandas()  # at most ``size`` rows
-    for k, name in enumerate(["n", *(f"n{k}" for k in range(FOLDS))]):
-        counts[k, got["bigram"].to_numpy(np.int64)] = got[name].to_numpy(float)
+    counts = scratch.save(_bigram_counts(everything), "counts")
     scratch.drop("target")
-    others = [sum(counts[1 + j] for j in range(FOLDS) if j != k) for k in range(FOLDS)]
-    mean = sum(o.sum() for o in others) / FOLDS
-    background = counts[0] * (mean / counts[0].sum() if counts[0].sum() and mean else 1.0)
-    return vocabulary, losses(background, vocabulary.size).astype(np.float32), np.stack([losses(o, vocabulary.size).astype(np.float32) for o in others])
-
-
-def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background (bits a token) and score, their difference: lower is nearer the target."""
-    vocabulary, background, target = model
-    spark = docs.sparkSession
-    # (VOCABULARY + 17)**2 float32 cells a table: 4.3 MB each, whatever the corpus
-    shared = spark.sparkContext.broadcast((vocabulary.sorted, background, target))
+    # of each model: background, then the target without each fold
+    others = [sum((F.col(f"n{j}") for j in range(FOLDS) if j != k), F.lit(0)) for k in range(FOLDS)]
+    models = {"back": F.col("n"), **{f"near{k}": o for k, o in enumerate(others)}}
+    words = counts.groupBy("word").agg(*[F.sum(c).alias(f"{m}_word") for m, c in models.items()])
+    words = scratch.save(words, "words")
+    contexts = counts.groupBy("before").agg(*[x for m, c in models.items() for x in (F.sum(c).alias(f"{m}_all"), F.count_if(c > 0).alias(f"{m}_kinds"))])
+    contexts = scratch.save(contexts, "contexts")
+    sums = words.agg(F.count("*").alias("size"), *[F.coalesce(F.sum(f"{m}_word"), F.lit(0)).alias(m) for m in models]).first()
+    size = sums["size"] + 1  # and START
+    rows = counts.join(words, "word").join(contexts, "before")
+    out = [_loss(c, F.col(f"{m}_all"), F.col(f"{m}_kinds"), F.col(f"{m}_word"), F.lit(sums[m]), size).cast("float").alias(m) for m, c in models.items()]
+    losses_ = scratch.save(rows.select("pair", *out), "losses")
+    scratch.drop("counts", "words", "contexts")
+    return losses_
+
+
+def score(docs: DataFrame, model: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background (bits a token) and score, their difference: lower is nearer the target.
+
+    ``model``: what ``train`` gives, over these documents or more.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "lm-score")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    names = ["doc_id", "n_tokens", "ce_target", "ce_background", "score"]
+    # rows of equal id and text score alike
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, back, near = shared.value
-        v = Vocabulary(words_)
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folds = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in runs(batch.column(2)):
-                words = Words(data, offsets, True)
-                code = v.bigrams(words)
-                sums = [np.bincount(words.text, weights=w.astype(np.float64), minlength=j - i) for w in (near[folds[i:j][words.text], code], back[code])]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    t, b = (s / words.count for s in sums)
-                none = words.count == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(words.count.astype(np.int64)), *(pa.array(x, mask=none) for x in (t, b, t - b))], names=names)
+                count = Words(data, offsets, True).count
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(count.astype(np.int64))], names=["doc_id", "row", "n_tokens"])
 
-    return docs.select("doc_id", fold, "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ce_target double, ce_background double, score double")
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j, data, offsets in runs(batch.column(2)):
+                words = Words(data, offsets, True)
+                pair = _pairs(_contexts(words), words.hash).view(np.int64)
+                order = np.lexsort((pair, words.text))
+                pair, text = pair[order], words.text[order]
+                new = np.ones(len(pair), bool)
+                new[1:] = (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(pair)))
+                at = text[first]
+                yield pa.RecordBatch.from_arrays([pa.array(row[i:j][at]), pa.array(fold[i:j][at].astype(np.int32)), pa.array(pair[first]), pa.array(times.astype(np.int32))], names=["row", "fold", "pair", "times"])
+
+    asked = rows.select("row", "fold", "text").mapInArrow(bigrams, "row long, fold int, pair long, times int")
+    near = F.element_at(F.array(*[f"near{k}" for k in range(FOLDS)]), F.col("fold") + 1)
+    met = asked.hint("merge").join(model.hint("merge"), "pair").select("row", "times", (F.col("times") * near).cast("double").alias("t"), (F.col("times") * F.col("back")).cast("double").alias("b"))
+    mean = met.groupBy("row").agg((F.sum("t") / F.sum("times")).alias("ce_target"), (F.sum("b") / F.sum("times")).alias("ce_background"))
+    mean = scratch.save(mean, "means")
+    light = rows.select("doc_id", "row", "text").mapInArrow(sizes, f"doc_id {kind}, row long, n_tokens long")
+    return light.join(mean, "row", "left").select("doc_id", "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every row of ``docs``; the target is what is labelled of quality and not toxic.
 
     Null and empty texts, and texts without words, have no tokens and null
-    losses; repeated rows score alike; without labels both models are uniform
-    over nothing and the score is that of the background; columns other than
-    doc_id and text are not read.
+    losses; repeated rows score alike; without labels the target model is
+    uniform over all words; columns other than doc_id and text are not read.
     """
     target = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
-    return score(docs, train(docs, target))
+    scratch = Scratch(docs.sparkSession, "lm")
+    return score(docs, train(docs, target, scratch), scratch)

@@ -265,6 +265,31 @@ def test_losses_are_distributions():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+def test_losses_of_all_words(spark):
+    """Every word and bigram has counts of its own, and raw background counts are discounted: equal to the dense table."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.choice([r.randrange(9), r.randrange(3000)])}" for _ in range(30)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = docs.where("doc_id < 20").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    fold = {x["doc_id"]: x["f"] for x in docs.select("doc_id", F.expr(f"pmod(xxhash64(doc_id), {lm.FOLDS})").alias("f")).collect()}
+    ids = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    size = len(ids) + 1
+    assert size > 1024
+    counts = np.zeros((1 + lm.FOLDS, size, size))
+    for i, t in enumerate(texts):
+        for a, b in zip(["", *t.split()], t.split()):
+            counts[0, ids.get(a, 0), ids[b]] += 1
+            for k in range(lm.FOLDS):
+                counts[1 + k, ids.get(a, 0), ids[b]] += i < 20 and fold[i] != k
+    dense = [lm.losses(c.ravel(), size).reshape(size, size) for c in counts]
+    for x in lm.cross_entropy_difference(docs, marks).collect():
+        t = texts[x["doc_id"]].split()
+        at = [(ids.get(a, 0), ids[b]) for a, b in zip(["", *t], t)]
+        assert x["n_tokens"] == len(t)
+        assert x["ce_background"] == pytest.approx(np.mean([dense[0][p] for p in at]), abs=1e-4)
+        assert x["ce_target"] == pytest.approx(np.mean([dense[1 + fold[x["doc_id"]]][p] for p in at]), abs=1e-4)
+
+
 # op8
 
 
