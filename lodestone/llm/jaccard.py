@@ -89,12 +89,18 @@ def least_shown(n: Column, m: Column) -> Column:
 
 
 def least_shown_in(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
-    """The same for sizes in two ranges: it is least where a size meets the furthest one that it can link with."""
+    """A lower bound of the same for sizes in two ranges.
+
+    Without its two ceilings the value is linear in either size on each side of
+    the diagonal, so it is least at an end of a range or at the furthest size
+    that such an end can link with.  The ceilings raise need by less than 1 and
+    rest by less than 1, so the whole is less by 1 at most between the ends.
+    """
     down, up = (lambda c: F.ceil(SHARE * c / F.lit(OVER))), (lambda c: F.floor(OVER * c / F.lit(SHARE)))
     ends = []
     for a0, a1, b0, b1 in ((lo, hi, other_lo, other_hi), (other_lo, other_hi, lo, hi)):
         ends += [least_shown(a0, F.greatest(a0, F.least(b1, up(a0)))), least_shown(a1, F.least(a1, F.greatest(b0, down(a1))))]
-    return F.least(*ends)
+    return F.least(*ends) - F.when((lo == hi) & (other_lo == other_hi), 0).otherwise(1)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -170,6 +170,25 @@ def test_shown_tokens_bound_is_sound():
         assert len(p["a"] & p["b"]) >= max(need, 1)
 
 
+def test_least_shown_in_ranges(spark):
+    """The range form is never above the minimum over the linkable sizes in both ranges."""
+    r = random.Random(9)
+    ranges = [(41, 41, 41, 50), (90, 90, 99, 100)]
+    for _ in range(1500):
+        lo, other = r.randrange(1, 150), r.randrange(1, 150)
+        ranges.append((lo, lo + r.choice([0, 1, 5, 20]), other, other + r.choice([0, 1, 5, 20])))
+    df = spark.createDataFrame(ranges, "a long, b long, c long, d long")
+    got = df.select("*", jaccard.least_shown_in(*[F.col(x) for x in "abcd"]).alias("v")).collect()
+
+    def shown(n, m):
+        return -(-jaccard.SHARE * (n + m) // (jaccard.OVER + jaccard.SHARE)) + 1 - -(-jaccard.SHARE * max(n, m) // jaccard.OVER)
+
+    for a, b, c, d, v in got:
+        some = [shown(n, m) for n in range(a, b + 1) for m in range(c, d + 1) if jaccard.OVER * min(n, m) >= jaccard.SHARE * max(n, m)]
+        if some:
+            assert v <= min(some), (a, b, c, d)
+
+
 def test_jaccard_on_odd_rows(spark, odd_documents, no_documents):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar(odd_documents).collect()), key=str)
     assert len(got) == odd_documents.count()
