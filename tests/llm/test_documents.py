@@ -231,6 +231,15 @@ def test_split_copies_are_joined_through_the_last_one(spark):
     assert got == [(5, 80, 140, 3)]
 
 
+def test_parts_in_other_documents(spark):
+    """A passage whose parts have other first and last holders is found between the two that hold all of it."""
+    passage = prose(1, 60)
+    parts = {1: passage[:35], 8: passage[:35], 2: passage[25:], 9: passage[25:], 3: passage, 5: passage}
+    rows = [(i, " ".join(prose(20 + i, 70) + p + prose(40 + i, 70))) for i, p in parts.items()]
+    got = [(r["doc_id"], r["start"], r["end"], r["ref_doc_id"], r["ref_start"], r["ref_end"]) for r in passages.repeated_passages(frame(spark, rows)).collect()]
+    assert got == [(5, 70, 130, 3, 70, 130)]
+
+
 def test_periodic_passages(spark):
     phrase = prose(1, 7) * 20
     rows = [(1, " ".join(prose(21, 60) + phrase)), (2, " ".join(phrase + prose(22, 60)))]
