@@ -34,7 +34,7 @@ def router_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text")).join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id")
-    router = models.TextRouter(most=4000).fit(d)
+    router = models.TextRouter().fit(d)
     return rounded(router.transform(d).select("doc_id", "label", "prob"), 6)
 
 
@@ -91,6 +91,6 @@ def text_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import traces as T
 
     t = traces(spark, sf_dir).withColumn("label", T.rescue(F.col("small_success"), F.col("large_success")).cast("int")).withColumn("text", F.col("prompt"))
-    router = models.TextRouter(most=4000).fit(t.where("shard IN (0, 2, 3)"))
+    router = models.TextRouter().fit(t.where("shard IN (0, 2, 3)"))
     scored = router.transform(t.where("shard = 4"))
     return rounded(R.simulate(scored, F.col("prob") >= 0.5, "verified", "dataset"), 6)

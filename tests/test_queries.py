@@ -44,3 +44,19 @@ def test_entry_module_is_whole():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_routers_keep_all_features(spark, monkeypatch):
+    from lodestone import plans
+    from lodestone.operators import models
+
+    class Stop(Exception):
+        pass
+
+    def stop(self, *_, **__):
+        raise Stop(self.most)
+
+    monkeypatch.setattr(models.TextRouter, "fit", stop)
+    for name in ("text_router", "text_policy"):
+        with pytest.raises(Stop, match=f"^{models.MAX_FEATURES}$"):
+            plans.QUERIES[name](spark, "/root/testdata/sf0.001")
