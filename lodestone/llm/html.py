@@ -301,30 +301,23 @@ def blocks(root: Element, template: set[int], content: int = -1) -> list[str]:
     held: list[str] = []
     out = inside = 0
     own = [0]
-    linked, links = 0, [0, 0]  # characters in links, and in all, of the block so far
 
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
-        if text and (marked or (own[-1] not in template and not (links[0] > 0.5 * links[1] and links[1]))):
+        if text and (marked or own[-1] not in template):
             found.append(text)
         held.clear()
-        links[:] = [0, 0]
 
     for element, text, start in _walk(root):
         if text is not None:
             if not out and (inside or not marked):
                 held.append(text)
-                n = len(text.strip())
-                links[1] += n
-                links[0] += n if linked else 0
             continue
         dropped = element.out or (element.header and not inside)
         if element.tag in BLOCK or dropped:
             flush()
         elif element.tag == "br":
             held.append(" ")
-        if element.tag == "a":
-            linked += 1 if start else -1
         if dropped:
             out += 1 if start else -1
         if element.block >= 0 and element.tag != "#root":

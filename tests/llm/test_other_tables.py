@@ -168,6 +168,12 @@ def test_main_text_with_landmark():
     assert html.main_text(page) == "T\n\na\n\nb"
 
 
+def test_paragraphs_that_are_links_stay():
+    """On unmarked pages the template, elements and names decide, not how much of a block is a link."""
+    page = "<body><div><p>Story</p><p>See <a href='/r'>the full report of the committee</a></p><ul><li><a href='/s'>Source one</a></ul></div><nav><a href='/'>Home</a></nav></body>"
+    assert html.main_text(page) == "Story\n\nSee the full report of the committee\n\nSource one"
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/=\"'!- apbdiv&;#xscript", max_size=80))
 def test_any_markup_is_read(text):
