@@ -47,7 +47,8 @@ class Encoder:
 
     Where the file is a plain byte-level merge list in order of id, a second
     library that merges several times as fast encodes with the same ranks;
-    otherwise, and where a text holds an added token, the file's own library does.
+    otherwise, and where a text holds an added token or a run of white space
+    longer than that library's splitter can take, the file's own library does.
     """
 
     def __init__(self, path: str):
@@ -91,7 +92,10 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.fast is None or any(t in text for t in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its regular expression ran out of stack
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
