@@ -8,8 +8,6 @@ grown.  The list becomes one ordered ``CASE WHEN`` expression.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .textvec import Words, piece_hashes, runs
 
 #: Labelled rows that the list is learned from, at most: those of smallest key hash.
 MAX_LABELLED = 50_000
@@ -35,25 +33,52 @@ FEATURES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
 }
 
-_word = re.compile(WORD).findall
-_line = re.compile(WORD).search
-_symbols = str.maketrans("", "", "#*$%&|<>")
-
-
-def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
+
+
+def _again(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries equal another of the same text, and which of those an earlier one."""
+    order = np.lexsort((np.arange(len(value)), value, text))
+    equal = (value[order][1:] == value[order][:-1]) & (text[order][1:] == text[order][:-1])
+    some, later = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    later[order[1:][equal]] = True
+    some[order[1:][equal]] = some[order[:-1][equal]] = True
+    return some, later
+
+
+def statistics_of(column: pa.Array) -> np.ndarray:
+    """A row of STATISTICS for each whole text of an Arrow column (null: no words)."""
+    out = [np.zeros((0, len(STATISTICS)), np.int64)]
+    for i, j, data, offsets in runs(column):
+        words, texts = Words(data, offsets, False), j - i
+        per_text = lambda text, some: np.bincount(text[some], minlength=texts)
+        point = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=point[1:])  # code points begin at other bytes than these
+        chars = np.bincount(words.text, weights=point[words.end] - point[words.start], minlength=texts)
+        symbol = np.searchsorted(offsets, np.flatnonzero(_SYMBOL[data]), side="right") - 1
+        breaks = np.flatnonzero(data == 10)
+        # a line ends at a break or where its text does
+        start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
+        start = start[start < len(data)]
+        end = np.minimum(np.append(start[1:], len(data)), offsets[np.searchsorted(offsets, start, side="right")])
+        end = end - (data[end - 1] == 10)
+        said = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
+        start, end = start[said], end[said]
+        line = np.searchsorted(offsets, start, side="right") - 1
+        gram, first = words.grams(3)
+        often = first[_again(words.text[first], gram)[0]]
+        marked = np.zeros(len(words.hash), bool)
+        for k in range(3):
+            marked[often + k] = True
+        doubled = _again(line, piece_hashes(data, start, end, False))[1]
+        out.append(np.stack([words.count, chars.astype(np.int64), np.bincount(symbol, minlength=texts), per_text(line, doubled), per_text(words.text, marked)], axis=1))
+    return np.concatenate(out)
+
+
+def text_statistics(text: str | None) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
-    text = text or ""
-    words = _word(text)
-    lines = [x for x in text.split("\n") if _line(x)]
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        count, reach = Counter(windows), 0
-        for i, w in enumerate(windows):
-            if count[w] > 1:
-                repeated += i + 3 - max(i, reach)
-                reach = i + 3
-    return len(words), sum(map(len, words)), len(text) - len(text.translate(_symbols)), len(lines) - len(set(lines)), repeated
+    return tuple(statistics_of(pa.array([text], pa.string()))[0].tolist())
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -62,9 +87,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_statistics(t.as_py()) for t in batch.column(1)]
-            columns = zip(*found) if found else [[] for _ in STATISTICS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *STATISTICS])
+            found = statistics_of(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=["doc_id", *STATISTICS])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, " + ", ".join(f"{s} long" for s in STATISTICS))
 
@@ -214,9 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, **optio
 def quality_verdicts(docs: DataFrame, labels: DataFrame, rules: DecisionList | None = None) -> DataFrame:
     """doc_id, the STATISTICS, base_failed and kept of every row.
 
-    Null or empty text: no words, so it fails the base.  Without labels the
-    list is empty and every row that passes the base is kept.  Repeated rows
-    get the same verdict; columns other than doc_id and text are not read.
+    Null or empty text: no words, so it fails the base; very long texts are
+    counted whole.  Without labels the list is empty and every row that passes
+    the base is kept; of labels that contradict each other the lower counts.
+    Repeated rows get the same verdict, ties take the first rule that holds, an
+    empty table gives an empty result; columns other than doc_id and text are
+    not read.
     """
     rules = rules if rules is not None else train(docs, labels)
     out = with_statistics(docs).withColumn("base_failed", base_failed())
@@ -224,21 +251,21 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rules: DecisionList | N
 
 
 def quality_documents(docs: DataFrame, labels: DataFrame, rules: DecisionList | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the same columns, in one pass without a join."""
+    """The rows of ``docs`` that are kept, with the same columns and values, in one pass without a join.
+
+    Null, empty and very long texts, repeated rows, empty tables and missing
+    labels are judged as by ``quality_verdicts``; further columns, of whatever
+    name, pass through.
+    """
     rules = rules if rules is not None else train(docs, labels)
-    names = docs.columns
+    at, held = docs.columns.index("text"), [f"c{k}" for k in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
-            found = np.array([text_statistics(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=[*names, *(f"_{s}" for s in STATISTICS)])
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{s}", T.LongType()) for s in STATISTICS)])
-    rows = docs.mapInArrow(run, schema)
-    for s in STATISTICS:
-        if s in names:  # a column of the input may bear the name of a statistic
-            rows = rows.withColumnRenamed(s, f"__{s}")
-        rows = rows.withColumnRenamed(f"_{s}", s)
-    rows = rows.where(~base_failed() & rules.kept())
-    return rows.select(*[F.col(f"__{c}").alias(c) if c in STATISTICS else F.col(c) for c in names])
+            found = statistics_of(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=[*held, *STATISTICS])
+
+    # columns go by their place, so that none clashes with a statistic
+    schema = T.StructType([*(T.StructField(h, f.dataType) for h, f in zip(held, docs.schema.fields)), *(T.StructField(x, T.LongType()) for x in STATISTICS)])
+    rows = docs.mapInArrow(run, schema).where(~base_failed() & rules.kept())
+    return rows.select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns)])

@@ -56,6 +56,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of each piece data[start : end]; equal pieces, and in practice only they, have equal ones."""
+    n = len(data)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[lower][data] * _power(_BASE, n), out=prefix[1:])
+    value = (prefix[end] - prefix[start]) * _power(_INVERSE, n + 1)[start]
+    return mix(value + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of a run of texts: hash, text (index in the run), first byte and end byte."""
 
@@ -77,10 +86,7 @@ class Words:
             self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         else:
             self.start = self.end = np.zeros(0, np.int64)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[lower][data] * _power(_BASE, n), out=prefix[1:])
-        value = (prefix[self.end] - prefix[self.start]) * _power(_INVERSE, n + 1)[self.start]
-        self.hash = mix(value + (self.end - self.start).astype(np.uint64))
+        self.hash = piece_hashes(data, self.start, self.end, lower)
         self.text = np.searchsorted(offsets, self.start, side="right") - 1
         texts = len(offsets) - 1
         self.count = np.bincount(self.text, minlength=texts)
