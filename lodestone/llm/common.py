@@ -21,14 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset."""
+    """The folder that driver and executors share; set here only where it is unset and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file:///tmp/lodestone-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names made from the stems that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of an Arrow batch, at most: with whole texts in them, batches of 10,000 rows take too much of a worker's memory.
 BATCH_ROWS = 1000
 

@@ -15,6 +15,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components", mos
     its smaller neighbours too; the number of rounds grows with the logarithm of
     a component's size.  Sums are combined before they are moved and hot nodes'
     rows are joined from tables, so Spark can split them.  Nothing is collected.
+    Labels that have not settled after ``most`` rounds are an error, never a result.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, last = scratch.save(edges, f"{name}-0"), None
@@ -33,4 +34,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components", mos
         if state[0] == 0 or tuple(state) == last:
             break
         last = tuple(state)
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

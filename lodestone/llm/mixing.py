@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, fresh
 
 #: Source weights, in the sources' order by code point, repeating.
 WEIGHTS = (3, 1, 2)
@@ -68,16 +68,27 @@ def _boundary(rows: DataFrame, state: DataFrame, shift: int, bits: int) -> DataF
     ).select("source", "budget", F.col("at.bucket").alias("prefix"), (F.col("taken") + F.col("at.upto") - F.col("at.part")).alias("taken"), F.col("at.part").alias("part"))
 
 
-def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2) -> DataFrame:
-    """rows: source, hash, size -> per source: target, copies that all rows give, last hash that gives one more."""
-    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
+def _tag(source: str) -> Column:
+    """A plain string for each source, null's own too: a hot source's rows can then be split, or the plan broadcast."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, scratch: Scratch | None = None) -> DataFrame:
+    """rows: source, hash, size -> per source: target, copies that all rows give, last hash that gives one more.
+
+    With ``scratch`` the sources and each level's state (a row a source) are
+    written, so that no level is worked out twice.
+    """
+    save = scratch.save if scratch else (lambda df, _: df)
+    sums = save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
+    sources = save(source_targets(sums, weights, share, limit), "sources")
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("copies", copies)
     state = sources.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("taken"))
     shift = HASH_BITS
-    for bits in LEVELS:
+    for k, bits in enumerate(LEVELS):
         shift -= bits
-        state = _boundary(rows, state.select("source", "budget", "prefix", "taken"), shift, bits)
+        state = save(_boundary(rows, state.select("source", "budget", "prefix", "taken"), shift, bits), f"level-{k}")
     # the boundary is now one hash: take it if that comes nearer to the budget
     take = F.col("taken") + F.col("part") - F.col("budget") < F.col("budget") - F.col("taken")
     last = state.select(F.col("source").alias("_s"), F.when(take, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last_hash"))
@@ -89,32 +100,37 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Every row gives ``taken`` = size times a whole number of copies (0 to
     ``limit``).  A source's taken words differ from its target by at most half
-    its largest row.  Nulls: a null text has size 0; a null source is a source,
-    last in order; rows with equal (or null) keys share one decision.  An empty
+    the words of its heaviest key.  A null or empty text has size 0, a very long
+    one its whole size; a null source is a source, last in order; rows with
+    equal (or null) keys share one decision, so no tie is left open.  An empty
     table gives an empty result.  Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     # one narrow table, so that the whole texts are read and counted once
     rows = scratch.save(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), text_size(F.col(text)).alias("size"), row_hash(F.col(key)).alias("hash")), "sizes")
-    plan = plan_mix(rows, weights, share, limit).withColumnRenamed("source", "_s")
+    plan = scratch.save(plan_mix(rows, weights, share, limit, scratch), "plan").withColumnRenamed("source", "_s")
     copies = F.col("copies") + F.when(F.col("hash") <= F.col("last_hash"), 1).otherwise(0)
     taken = (F.col("size") * F.least(copies, F.lit(limit))).cast("long")
-    # joined on a plain string key, so that a hot source can be split or the plan broadcast
-    tag = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
-    joined = rows.withColumn("_k", tag("source")).join(plan.withColumn("_k", tag("_s")), "_k")
+    joined = rows.withColumn("_k", _tag("source")).join(plan.withColumn("_k", _tag("_s")), "_k")
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0 to ``limit`` times), with the same columns."""
+    """The rows of ``docs`` as often as the mix takes them (0 to ``limit`` times), with the same columns and values.
+
+    Null, empty and very long texts, null sources, rows of equal or null id and
+    an empty table are treated as by ``mix``: a text without words has size 0
+    and comes as often as its source's threshold says.  Further columns, of
+    whatever name, pass through.
+    """
     limit = options.get("limit", 2)
     scratch = scratch or Scratch(docs.sparkSession, "mixed")
     rows = scratch.save(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")), "sizes")
-    plan = scratch.save(plan_mix(rows, **options), "plan").select(F.col("source").alias("_source"), "copies", "last_hash")
-    tag = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
-    joined = docs.withColumn("_k", tag("source")).join(plan.withColumn("_k", tag("_source")), "_k")
-    copies = F.least(F.col("copies") + F.when(row_hash(F.col("doc_id")) <= F.col("last_hash"), 1).otherwise(0), F.lit(limit))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies > 0).select(*[F.col(c) for c in docs.columns])
+    tag, copies, last, turn = fresh(docs.columns, "_tag", "_copies", "_last", "_turn")
+    plan = scratch.save(plan_mix(rows, scratch=scratch, **options), "plan").select(_tag("source").alias(tag), F.col("copies").alias(copies), F.col("last_hash").alias(last))
+    joined = docs.withColumn(tag, _tag("source")).join(plan, tag)
+    times = F.least(F.col(copies) + F.when(row_hash(F.col("doc_id")) <= F.col(last), 1).otherwise(0), F.lit(limit))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int")))).where(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 MIX_SQL = r"""
