@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by key into shards whose bounds come from an exact
-byte histogram over the key range, so they do not depend on sampling or on the
-cluster.  Each shard writes gzip members into files that roll by compressed
-size, under temporary names; a manifest table, committed by Spark with the
-winning task attempts only, says which temporary file becomes which archive.
+byte histogram, refined where a bucket is heavier than a shard, so they do not
+depend on sampling or on the cluster.  Each shard writes gzip members into files
+that roll by compressed size, under temporary names; the table ``pending``,
+committed by Spark with the winning task attempts only, says which temporary
+file becomes which archive, and the table ``manifest`` is written last: a folder
+without it holds no committed archives.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from .common import Scratch
 REVISIT_BYTES = 1000
 #: A file is closed once it holds so many compressed bytes.
 ROLL_BYTES = 256 << 20
-#: Payload bytes that one shard (one task) should get.
-SHARD_BYTES = 64 << 20
-#: Buckets of the key range in which payload bytes are counted (at most so many rows reach the driver).
-RANGE_BUCKETS = 1 << 16
+#: Payload bytes that one shard (one task) should get, and shards at most (beyond it they grow).
+SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 14
+#: Bits of a level of buckets: of the whole range, and of each bucket that is too heavy for a shard.
+FIRST_BITS, MORE_BITS = 16, 8
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,8 +49,9 @@ def plan_records(pages: DataFrame, scratch: Scratch, key: str = "page_id", paylo
     """Rows to write (kind 1) and, as rows of kind 0, which of them are revisits and of what.
 
     ``refers_to`` is the largest key among rows of equal payload; rows with that
-    key, and payloads below ``revisit_bytes``, are responses.  The two kinds meet
-    at the writer, so that payloads are moved once.
+    key, and payloads below ``revisit_bytes``, are responses; a null key is
+    smaller than any.  The two kinds meet at the writer, so that payloads are
+    moved once.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
@@ -56,31 +59,97 @@ def plan_records(pages: DataFrame, scratch: Scratch, key: str = "page_id", paylo
     groups = light.groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     # from a table, both sides of the join below are plain exchanges, whose hot keys Spark can split
     groups = scratch.save(groups, "groups")
-    revisits = light.join(groups, "payload_digest").where(F.col("page_id") < F.col("_last"))
+    revisits = light.join(groups, "payload_digest").where(F.coalesce(F.col("page_id") < F.col("_last"), F.col("_last").isNotNull()))
     revisits = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", "payload_bytes", F.col("_last").alias("refers_to"), F.lit(0).alias("kind"))
     return rows.unionByName(revisits)
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, np.ndarray]:
-    """Smallest key, bucket width and shard of each bucket, from exact sums of bytes.
+#: The key's bits in ascending order as unsigned numbers.
+_ORDERED = "(coalesce(page_id, -9223372036854775807L - 1L) ^ (-9223372036854775807L - 1L))"
 
-    Shards are runs of buckets of equal key width; a bucket that alone is
-    heavier than a shard makes one longer shard, which rolls into more files.
-    """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, np.zeros(1, np.int64)
-    width = (high - low) // RANGE_BUCKETS + 1
-    sums = rows.groupBy(_bucket(low, width).alias("b")).agg(F.sum(F.col("payload_bytes") + 600).alias("n")).collect()
-    parts = np.zeros((high - low) // width + 1, np.int64)
-    for r in sums:
-        parts[r["b"]] = r["n"]
-    before = np.cumsum(parts) - parts
-    return low, width, np.unique(before // shard_bytes, return_inverse=True)[1]
 
+class Shards:
+    """Which shard each record belongs to, as a column and as a number of shards.
+
+    Payload bytes are summed in buckets of equal key width; a bucket that alone
+    is heavier than a shard is cut into finer ones between its own smallest and
+    largest key, and one that holds a single key by its payloads' digests.  What
+    neither parts (equal key and payload) makes one longer shard, which rolls
+    into more files.  The driver gets the sums of one level at a time: 65,536,
+    then 256 of each heavy bucket, of which there are fewer than shards.
+    """
 
-def _bucket(low: int, width: int) -> Column:
-    return F.expr(f"CAST((coalesce(page_id, {low}L) - {low}L) DIV {width}L AS INT)")
+    def __init__(self, rows: DataFrame, shard_bytes: int = SHARD_BYTES):
+        low, high, total = rows.agg(*self._edges()[:2], F.sum(self._bytes())).first()
+        #: Of each level: shift, mask and digit of the digest by parent, bits; and what each cell holds.
+        self.tables: list[tuple[list[int], list[int], list[int], int]] = []
+        self.found: list[np.ndarray] = []
+        self.count = 1
+        if total is None:
+            return
+        shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
+        leaves: list[tuple[tuple[int, ...], int, int, int]] = []  # place, bytes, level, cell
+        heavy = [((), int(low, 16), int(high, 16), 0)]  # place, smallest and largest key, digits of the digest in use
+        bits = FIRST_BITS
+        while heavy:
+            widths = [(low ^ high).bit_length() for _, low, high, _ in heavy]
+            digits = [0 if w else 1 + used for w, (*_, used) in zip(widths, heavy)]
+            level, cells = len(self.tables), 1 << bits
+            self.tables.append(([max(0, w - bits) for w in widths], [cells - 1 if w else 0 for w in widths], digits, bits))
+            sums = rows.groupBy(self._cell(level).alias("cell")).agg(F.sum(self._bytes()).alias("n"), *[e.alias(n) for n, e in zip(("low", "high", "one", "other"), self._edges())])
+            heavier = []
+            self.found.append(np.zeros(len(heavy) * cells, np.int64))
+            for r in sums.where(F.col("cell").isNotNull()).orderBy("cell").collect():
+                parent, digit = divmod(r["cell"], cells)
+                place, used = (*heavy[parent][0], digit), heavy[parent][3] + (bits // 4 if digits[parent] else 0)
+                if r["n"] > shard_bytes and (r["low"] != r["high"] or (r["one"] != r["other"] and used < 36)):
+                    # read as: the k-th cell that the next level cuts
+                    self.found[level][r["cell"]] = -1 - len(heavier)
+                    heavier.append((place, int(r["low"], 16), int(r["high"], 16), used))
+                else:
+                    leaves.append((place, r["n"], level, r["cell"]))
+            heavy, bits = heavier, MORE_BITS
+        upto = 0
+        for place, n, level, cell in sorted(leaves):
+            self.found[level][cell] = upto // shard_bytes
+            upto += n
+        used = np.unique(np.concatenate([f[f >= 0] for f in self.found]))
+        for f in self.found:
+            f[f >= 0] = np.searchsorted(used, f[f >= 0])
+        self.count = max(1, len(used))
+
+    @staticmethod
+    def _bytes() -> Column:
+        return F.col("payload_bytes") + 600  # with headers
+
+    @staticmethod
+    def _edges() -> list[Column]:
+        """Smallest and largest key, as 16 hexadecimal digits; smallest and largest digest."""
+        key = F.expr(f"lpad(hex({_ORDERED}), 16, '0')")
+        return [F.min(key), F.max(key), F.min("payload_digest"), F.max("payload_digest")]
+
+    @staticmethod
+    def _lookup(values, at: Column) -> Column:
+        """values[at], as one folded literal."""
+        return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), at + 1)
+
+    def _cell(self, level: int) -> Column:
+        """The cell of a level in which a record falls; null if an earlier level places it."""
+        shifts, masks, digits, bits = self.tables[level]
+        parent = F.lit(0) if level == 0 else -1 - self._lookup(self.found[level - 1], self._cell(level - 1))
+        if level:
+            parent = F.when(parent >= 0, parent)
+        shift, mask, digit = (self._lookup(x, parent) for x in (shifts, masks, digits))
+        by_key = F.call_function("shiftrightunsigned", F.expr(_ORDERED), shift).bitwiseAND(mask.cast("long")).cast("int")
+        by_digest = F.conv(F.substring(F.col("payload_digest"), F.greatest(digit, F.lit(1)), F.lit(bits // 4)), 16, 10).cast("int")
+        return (parent * (1 << bits) + F.when(digit > 0, by_digest).otherwise(by_key)).cast("int")
+
+    def column(self) -> Column:
+        """The shard of a row with page_id and payload_digest."""
+        if not self.tables:
+            return F.lit(0)
+        out = [self._lookup(f, self._cell(k)) for k, f in enumerate(self.found)]
+        return F.coalesce(*[F.when(x >= 0, x) for x in out], F.lit(0)).cast("int")
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -155,26 +224,24 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
     """Write the planned records below ``folder``; gives back the manifest.
 
     Rerun tasks write other temporary files with the same bytes; only files in
-    the committed manifest are renamed, and the rest of tmp/ is then deleted.
+    the committed table ``pending`` are renamed.  Then what earlier runs or lost
+    tasks left is deleted, and ``manifest`` is written last.
     """
-    light = scratch.spark.read.parquet(scratch.path("digests"))
-    low, width, shards = _shards(light, shard_bytes)
-    # one folded literal of at most RANGE_BUCKETS numbers, looked up by place
-    lookup = F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>")
-    dealt = records.withColumn("shard", F.element_at(lookup, _bucket(low, width) + 1))
-    dealt = dealt.repartitionById(int(shards.max()) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload_digest")
+    for name in ("manifest", "pending", "tmp"):  # from here on the folder is not committed
+        scratch._delete(f"{folder}/{name}")
+    shards = Shards(scratch.spark.read.parquet(scratch.path("digests")), shard_bytes)
+    dealt = records.withColumn("shard", shards.column())
+    dealt = dealt.repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "payload_digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done, revisits = None, [], (None, {})
+        roller, done, revisit = None, [], (None, None, None)
         for batch in batches:
             for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "shard", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"))):
                 kind, s, page_id, url, html, size, digest, refers = (x.as_py() for x in r)
-                if revisits[0] != page_id:
-                    revisits = (page_id, {})
                 if kind == 0:
-                    revisits[1][digest] = refers
+                    revisit = (page_id, digest, refers)
                     continue
-                refers = revisits[1].get(digest)
+                refers = revisit[2] if revisit[:2] == (page_id, digest) else None
                 html = html if refers is None else None
                 if roller is None or roller.shard != s:
                     done += [roller and roller.close()]
@@ -185,7 +252,11 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done).astype({"shard": "int32"}), preserve_index=False)
 
-    manifest = scratch.save(dealt.mapInArrow(run, _MANIFEST), "manifest")
+    def commit(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return scratch.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    pending = commit(dealt.mapInArrow(run, _MANIFEST), "pending")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _filesystem(folder)
@@ -196,9 +267,22 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
                     files.move(f"{path}/{written}", f"{path}/{name}")
             yield batch
 
-    committed = scratch.save(manifest.mapInArrow(rename, _MANIFEST), "committed")
-    scratch._delete(f"{folder}/tmp")
-    return committed
+    renamed = scratch.save(pending.mapInArrow(rename, _MANIFEST), "renamed")
+    _drop_stale(folder, {r["file"] for r in renamed.select("file").toLocalIterator()})
+    manifest = commit(renamed, "manifest")
+    for name in ("pending", "tmp"):
+        scratch._delete(f"{folder}/{name}")
+    return manifest
+
+
+def _drop_stale(folder: str, names: set[str]) -> None:
+    """Delete archives that are not named."""
+    from pyarrow import fs
+
+    files, path = _filesystem(folder)
+    for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".warc.gz") and info.base_name not in names:
+            files.delete_file(info.path)
 
 
 def _members(stream, most: int = 1 << 20) -> Iterator[bytes]:
@@ -266,8 +350,10 @@ def archive(pages: DataFrame, folder: str | None = None, scratch: Scratch | None
     """Write every row of ``pages`` (page_id, url, html) as a record; (manifest, folder).
 
     Null html is an empty payload, a null url is written as about:blank, a null
-    page_id as an empty identifier in the first shard; repeated rows are all
-    written; an empty table writes no file.  Other columns are not read.
+    page_id as an empty identifier in the first shards; repeated rows are all
+    written, and of rows that tie for the largest key of a payload all are
+    responses; pages of any length are one record; an empty table writes no
+    file.  Other columns are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     folder = folder or scratch.path("archives")
@@ -276,7 +362,10 @@ def archive(pages: DataFrame, folder: str | None = None, scratch: Scratch | None
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """The rows that ``archive`` wrote, read back: digests and record types, without payloads."""
+    """The rows that ``archive`` wrote, read back: digests and record types, without payloads.
+
+    Nulls, empty and very long pages, ties, repeated rows and empty tables as in ``archive``.
+    """
     manifest, folder = archive(pages)
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -287,7 +376,7 @@ WITH p AS (
 q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, payload_digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM q)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND coalesce(page_id < last, last IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND coalesce(page_id < last, last IS NOT NULL) THEN last END AS refers_to
 FROM m
 """

@@ -57,6 +57,40 @@ def test_archives_are_valid_and_deterministic(spark):
     assert kinds[0]["warc-type"] == "warcinfo" and all(k["warc-date"] == warc.DATE for k in kinds)
 
 
+def test_shards_of_crowded_and_extreme_keys(spark):
+    """Keys at both ends of the range, an outlier beside crowded ones, a hot null key: no shard is much heavier than asked."""
+    text = "t" * 3000
+    rows = [(i, "http://a/", f"{i}{text}") for i in range(300)] + [(-9 * 10**18, "u", "x" * 2000), (9 * 10**18, "u", "y" * 2000), (-(2**63), "u", "z")]
+    rows += [(None, "http://n/", f"n{i}{text}") for i in range(300)] + [(None, "u", f"7{text}"), (None, "u", "x" * 2000)]
+    df = pages(spark, rows)
+    scratch = Scratch(spark, "test")
+    manifest, folder = warc.archive(df, scratch=scratch, shard_bytes=40_000)
+    found = manifest.toPandas()
+    assert found["records"].sum() == len(rows) and found["records"].max() <= 40 and found["shard"].nunique() > 30
+    back = warc.read_archives(manifest, folder).toPandas()
+    last = {}
+    for k, _, t in rows:
+        last[t] = max(last.get(t, -(2**64)), -(2**64) if k is None else k)
+    want = sorted((str(k), len(t), "response" if len(t) < 1000 or last[t] in (k, -(2**64)) else "revisit") for k, _, t in rows)
+    ids = [None if r["page_id"] is None else r["page_id"] for r in warc.read_archives(manifest, folder).select("page_id").collect()]
+    assert sorted(map(str, ids)) == sorted(str(k) for k, _, _ in rows) and len(back) == len(rows)
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"]) for r in warc.read_archives(manifest, folder).collect())
+    assert got == want
+    by_shard = warc.read_archives(manifest.orderBy("file"), folder)
+    assert by_shard.where("page_id IS NULL AND record_type = 'revisit'").select("refers_to").orderBy("refers_to").collect() == [(-9 * 10**18,), (7,)]
+
+
+def test_a_folder_is_committed_by_its_manifest(spark):
+    scratch = Scratch(spark, "test")
+    folder = scratch.path("kept")
+    warc.archive(pages(spark, [(i, "u", "p" * 500 + str(i)) for i in range(40)]), folder, Scratch(spark, "test"), shard_bytes=4000)
+    manifest, _ = warc.archive(pages(spark, [(1, "u", "only")]), folder, Scratch(spark, "test"))
+    import os
+
+    there = os.listdir(folder.removeprefix("file:"))
+    assert sorted(x for x in there if not x.startswith(".")) == ["manifest", "part-000000-00000.warc.gz"] and [r["file"] for r in spark.read.parquet(f"{folder}/manifest").collect()] == ["part-000000-00000.warc.gz"]
+
+
 def test_record_digests():
     body = "häl"
     fields, block = warc.parse(warc.record(4, "http://x/", body, 4, hashlib.sha1(body.encode()).hexdigest(), None))
