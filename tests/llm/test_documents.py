@@ -287,35 +287,47 @@ def test_cross_entropy_difference(spark, odd_documents, no_documents, labels):
     assert lm.cross_entropy_difference(odd_documents, labels.limit(0)).count() == len(got)
 
 
-def test_losses_are_distributions():
-    counts = np.random.default_rng(0).integers(0, 5, (30, 30))
-    p = 2 ** -lm.losses(counts.ravel(), 30).reshape(30, 30)
-    assert np.allclose(p.sum(axis=1), 1)
-
-
-def test_losses_of_all_words(spark):
-    """Every word and bigram has counts of its own, and raw background counts are discounted: equal to the dense table."""
+def brute_losses(texts, target, fold, mu):
+    """Per text, bits a token in the target of the other folds and in the background, from plain counts."""
+    def model(some):
+        one, two = collections.Counter(), collections.Counter()
+        for t in some:
+            w = ["", *t, ""]
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+        return one, two, sum(one.values())
+
+    size = len({w for t in texts for w in t} | {""})
+    back = model([t for t in texts if t])
+    near = [model([t for i, t in enumerate(texts) if t and i in target and fold[i] != k]) for k in range(lm.FOLDS)]
+
+    def loss(t, one, two, total):
+        w = ["", *t, ""]
+        p = [(two[a, b] + mu * (one[b] + 1) / (total + size)) / (one[a] + mu) for a, b in zip(w, w[1:])]
+        return -np.mean(np.log2(p))
+
+    return [(loss(t, *near[fold[i]]), loss(t, *back)) if t else None for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_losses_equal_brute_force(spark, monkeypatch, small):
+    """Every word and bigram has counts of its own; with small blocks, groups and lists too."""
+    if small:
+        for name, value in (("BLOCK_WORDS", 700), ("GROUP_WORDS", 600), ("LISTED", 5)):
+            monkeypatch.setattr(lm, name, value)
     r = random.Random(5)
-    texts = [" ".join(f"w{r.choice([r.randrange(9), r.randrange(3000)])}" for _ in range(30)) for _ in range(150)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marks = docs.where("doc_id < 20").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    texts = [[f"w{r.choice([r.randrange(9), r.randrange(3000)])}" for _ in range(r.choice([1, 2, 30]))] for _ in range(200)] + [["hot", "pair"]] * 80 + [[]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = docs.where("doc_id < 20 OR doc_id = 230").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     fold = {x["doc_id"]: x["f"] for x in docs.select("doc_id", F.expr(f"pmod(xxhash64(doc_id), {lm.FOLDS})").alias("f")).collect()}
-    ids = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
-    size = len(ids) + 1
-    assert size > 1024
-    counts = np.zeros((1 + lm.FOLDS, size, size))
-    for i, t in enumerate(texts):
-        for a, b in zip(["", *t.split()], t.split()):
-            counts[0, ids.get(a, 0), ids[b]] += 1
-            for k in range(lm.FOLDS):
-                counts[1 + k, ids.get(a, 0), ids[b]] += i < 20 and fold[i] != k
-    dense = [lm.losses(c.ravel(), size).reshape(size, size) for c in counts]
-    for x in lm.cross_entropy_difference(docs, marks).collect():
-        t = texts[x["doc_id"]].split()
-        at = [(ids.get(a, 0), ids[b]) for a, b in zip(["", *t], t)]
-        assert x["n_tokens"] == len(t)
-        assert x["ce_background"] == pytest.approx(np.mean([dense[0][p] for p in at]), abs=1e-4)
-        assert x["ce_target"] == pytest.approx(np.mean([dense[1 + fold[x["doc_id"]]][p] for p in at]), abs=1e-4)
+    want = brute_losses(texts, {*range(20), 230}, fold, lm.MU)
+    got = lm.cross_entropy_difference(docs, marks).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(len(texts)))
+    for x in got:
+        i = x["doc_id"]
+        assert x["n_tokens"] == len(texts[i])
+        if texts[i]:
+            assert (x["ce_target"], x["ce_background"]) == (pytest.approx(want[i][0], abs=1e-4), pytest.approx(want[i][1], abs=1e-4))
 
 
 # op8
