@@ -264,6 +264,84 @@ def test_chains_equal_quadratic_search(pairs):
     assert len(used) == len(set(used))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 60)), min_size=1, max_size=30), min_size=1, max_size=4))
+def test_rising_chains_equal_the_dynamic_program(pairs):
+    places = [np.cumsum(np.array(p), axis=0).T for p in pairs]
+    o, h = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+    sizes = [len(p) for p in pairs]
+    new = np.isin(np.arange(len(o)), np.cumsum([0, *sizes[:-1]]))
+    got = {(a, b) for a, b in zip(*(x.tolist() for x in passages.rising_chains(o, h, new))) if b - a > 1}
+    want, at = set(), 0
+    for x, y in places:
+        found = passages.chains(x, y)
+        assert all((np.diff(c) == 1).all() for c in found)
+        want |= {(at + int(c[0]), at + int(c[-1]) + 1) for c in found}
+        at += len(x)
+    assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=60))
+def test_dense_stretches(equal):
+    e = np.array(equal)
+    found = passages.dense(e)
+    for a, b in found:
+        assert e[a:b].sum() > passages.IDENTITY * (b - a) and e[a] and e[b - 1]
+    assert all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+    worth = lambda a, b: e[a:b].sum() - 4 * (~e[a:b]).sum()
+    best = max(worth(a, b) for a in range(len(e)) for b in range(a + 1, len(e) + 1))
+    assert best <= 0 or max(worth(a, b) for a, b in found) == best
+
+
+def brute_exact(rows, n=50):
+    """By document, the words inside runs of n words that an earlier document holds."""
+    seen, out = {}, {}
+    for d, t in sorted(rows):
+        w = (t or "").split(" ")
+        grams = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+        held = {k for i, g in enumerate(grams) if g in seen for k in range(i, i + n)}
+        if held:
+            out[d] = held
+        for g in grams:
+            seen.setdefault(g, d)
+    return out
+
+
+def test_every_exact_repeat_is_covered(spark):
+    """Repeats that overlap, split and come from several documents; and texts of their own stay whole."""
+    r = random.Random(11)
+    pool = [prose(500 + i, 160) for i in range(6)]
+    rows = []
+    for d in range(70):
+        parts = [prose(1000 + d, r.randint(5, 60))]
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(pool)
+            a = r.randint(0, 100)
+            parts += [p[a : a + r.randint(30, 120)], prose(r.randrange(10**6), r.randint(0, 40))]
+        rows.append((d, " ".join(w for p in parts for w in p)))
+    rows += [(100 + i, " ".join(prose(9000 + i, 200))) for i in range(5)]
+    want = brute_exact(rows)
+    got = {}
+    for x in passages.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["start"], x["end"]))
+    assert len(want) > 20 and all(want[d] <= got.get(d, set()) for d in want)
+    assert not any(d >= 100 for d in got)
+
+
+def test_edited_passages(spark):
+    """A passage with a stretch replaced is found on both sides of it; one word in eight replaced is found, too."""
+    base, r = prose(1, 164), random.Random(4)
+    cut = [*base[:100], *prose(2, 24), *base[124:]]
+    many = [w if r.random() > 0.125 else "changed" for w in prose(3, 80)]
+    rows = [(1, " ".join(prose(5, 50) + base)), (2, " ".join(cut + prose(6, 50))), (3, " ".join(prose(3, 80) + prose(7, 60))), (4, " ".join(prose(8, 60) + many))]
+    got = {}
+    for x in passages.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["start"], x["end"]))
+    assert {*range(100), *range(124, 164)} <= got[2] and max(got[2]) < 166
+    assert len(got[4] & set(range(60, 140))) >= 70
+
+
 def test_passages_on_odd_rows(spark, odd_documents, no_documents):
     got = passages.repeated_passages(odd_documents).collect()
     assert {(r["doc_id"], r["start"], r["end"]) for r in got} == {(5, 0, 60_000)}
