@@ -1,11 +1,14 @@
 """Main text of pages by wrapper induction.
 
-Pages of one host are aligned, as DOM trees, with a reference page of the host
-by simple tree matching.  Nodes whose text is the same on the aligned pages
-become the host's template; the others are its slots, and the article or main
-element whose slots vary most is the host's content.  A page's main text is what
-stands in its slots there, except in places that by their element or name never
-hold the article (menus, footers, adverts, forms, comments and the like).
+Pages of one host are aligned, as DOM trees, with reference pages of the host,
+one for each of its common layouts, by simple tree matching.  Nodes whose text
+is the same on the aligned pages become the layout's template; the others are
+its slots.  A page's main text is what stands in its slots: in the article or
+main elements whose slots vary, where the page marks any, else in all of it,
+but for elements that never hold an article (menus, footers, forms and the
+like).  A class or id that sounds like an advert, a sidebar or comments decides
+only where the wrapper leaves it open: an element that holds most of what varies
+over the host is content, whatever its name.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -26,8 +30,10 @@ from .common import Scratch
 SAME_SHARE, SAME_PAGES = 0.9, 4
 #: Templates are broadcast up to this size in all, and joined by host beyond it.
 BROADCAST_BYTES = 32 << 20
-#: Elements nested deeper than this are read as if their tags were not there.
-MAX_DEPTH = 300
+#: Layouts of a host that get a reference page, and to which depth below the root pages of one layout are alike.
+LAYOUTS, LAYOUT_DEPTH = 4, 3
+#: Of several article elements those are read whose slots vary at least by this share of the one that varies most.
+VARY_SHARE = 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,17 +59,17 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    """tag, whether it never is article, and its parts: text and elements in page order."""
+    """tag, whether it never is article or only its name says so, and its parts: text and elements in page order."""
 
-    __slots__ = ("tag", "out", "header", "parts", "block")
+    __slots__ = ("tag", "out", "named", "header", "parts", "block")
 
-    def __init__(self, tag: str, out: bool = False, header: bool = False):
-        self.tag, self.out, self.header, self.parts, self.block = tag, out, header, [], -1
+    def __init__(self, tag: str, out: bool = False, named: bool = False, header: bool = False):
+        self.tag, self.out, self.named, self.header, self.parts, self.block = tag, out, named, header, [], -1
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(never article, header of the page unless inside an article)."""
-    out, header = tag in DROPPED, tag == "header"
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(never article, not article by its name, header of the page unless inside an article)."""
+    out, named, header = tag in DROPPED, False, tag == "header"
     if attributes and not out:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), unescape(a or b or c)
@@ -72,7 +78,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                     value = _CAMEL.sub("-", value).lower()
                     if tag in ("body", "html", "main"):
                         continue
-                    out |= bool(_NAMES.search(value))
+                    named |= bool(_NAMES.search(value))
                     header |= bool(_HEADER_NAMES.search(value))
             elif name == "role":
                 out |= value.strip().lower() in _ROLES
@@ -82,13 +88,20 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                 out |= value.strip().lower() == "true" and tag not in ("body", "html")
             elif name == "style":
                 out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
-    return out, header
+    return out, named, header
 
 
 def parse(html: str) -> Element:
     """A tolerant tree: missing ends are implied, stray ends passed over, raw texts left out."""
     root = Element("#root")
-    stack = [root]
+    stack, open_ = [root], Counter()
+
+    def close(k: int) -> None:
+        """End the elements from the k-th on."""
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
+
     at, size = 0, len(html)
     find = _TOKEN.search
     while at < size:
@@ -104,9 +117,9 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break  # an inline end doesn't end the block it stands in
@@ -114,27 +127,28 @@ def parse(html: str) -> Element:
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         elif tag in ENDS:
             these, upto = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in these) else ():
                 if stack[k].tag in these:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in upto:
                     break
-        if tag in BLOCK and len(stack) > 1 and any(x.tag == "head" for x in stack):
-            del stack[next(k for k, x in enumerate(stack) if x.tag == "head") :]
+        if tag in BLOCK and open_["head"]:
+            close(next(k for k, x in enumerate(stack) if x.tag == "head"))
         element = Element(tag, *_marks(tag, attributes))
         stack[-1].parts.append(element)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
-            at = close.end() if close else size
-        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "use")) and len(stack) < MAX_DEPTH:
+            over = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
+            at = over.end() if over else size
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "use")):
             stack.append(element)
+            open_[tag] += 1
     return root
 
 
@@ -190,6 +204,32 @@ class Tree:
         said = [" ".join(unescape("".join(t)).split()) if t else "" for t in texts]
         return cls(tags, kids, [zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in said], [len(s) for s in said])
 
+    def path(self, node: int) -> set[int]:
+        """The node and those above it (none for -1)."""
+        parent = {k: i for i, x in enumerate(self.kids) for k in x}
+        out = set()
+        while node is not None and node >= 0:
+            out.add(node)
+            node = parent.get(node)
+        return out
+
+    def below(self, node: int) -> list[int]:
+        """The node and those below it."""
+        out, todo = [], [node]
+        while todo:
+            out.append(todo.pop())
+            todo += self.kids[out[-1]]
+        return out
+
+    def layout(self) -> int:
+        """The checksum of the tags down to LAYOUT_DEPTH, repeated neighbours taken once."""
+        said, level = [], [0]
+        for _ in range(LAYOUT_DEPTH):
+            kids = [self.kids[i] for i in level]
+            said += ["/".join(t for t, before in zip((self.tags[k] for k in x), [None, *(self.tags[k] for k in x)]) if t != before) for x in kids]
+            level = [k for x in kids for k in x]
+        return zlib.crc32("|".join(said).encode())
+
     def dump(self) -> str:
         return json.dumps([self.tags, self.kids, self.sums, self.sizes], separators=(",", ":"))
 
@@ -222,15 +262,28 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
             rows.append(row)
         return rows
 
-    def score(i: int, j: int) -> int:
+    def inner(i: int, j: int) -> tuple[int, list[int], list[int]]:
         x, y = a.kids[i], b.kids[j]
-        if not x or not y:
-            return 1
-        if (i, j) not in memo:
-            lo, hi = ends(x, y)
-            rest = x[lo : len(x) - hi], y[lo : len(y) - hi]
-            memo[i, j] = 1 + lo + hi + (table(*rest)[-1][-1] if rest[0] and rest[1] else 0)
-        return memo[i, j]
+        lo, hi = ends(x, y)
+        return lo + hi, x[lo : len(x) - hi], y[lo : len(y) - hi]
+
+    def score(i: int, j: int) -> int:
+        return memo[i, j] if a.kids[i] and b.kids[j] else 1
+
+    # pairs of inner nodes, each after those below it that its table asks for
+    order = [(0, 0)] if a.kids[0] and b.kids[0] else []
+    while order:
+        i, j = order[-1]
+        if (i, j) in memo:
+            order.pop()
+            continue
+        sure, x, y = inner(i, j)
+        below = [(p, q) for p in x for q in y if a.tags[p] == b.tags[q] and a.kids[p] and b.kids[q] and (p, q) not in memo]
+        if below:
+            order += below
+        else:
+            order.pop()
+            memo[i, j] = 1 + sure + (table(x, y)[-1][-1] if x and y else 0)
 
     found, todo = {}, [(0, 0)]
     while todo:
@@ -257,69 +310,114 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
 
 
 class Wrapper:
-    """A host's reference tree, its template nodes, and its content node (-1: none marked)."""
+    """A layout's reference tree, its template nodes, its content nodes (article or main), and the node that holds most of what varies."""
 
-    __slots__ = ("tree", "constant", "content")
+    __slots__ = ("layout", "tree", "constant", "content", "holder")
 
-    def __init__(self, tree: Tree, constant: frozenset[int], content: int):
-        self.tree, self.constant, self.content = tree, constant, content
+    def __init__(self, layout: int, tree: Tree, constant: frozenset[int], content: frozenset[int], holder: int):
+        self.layout, self.tree, self.constant, self.content, self.holder = layout, tree, constant, content, holder
 
-    def apply(self, page: Tree) -> tuple[set[int], int]:
-        """The page's nodes that bear the template's text, and its content node."""
-        aligned = match(page, self.tree)
+    def apply(self, page: Tree, aligned: dict[int, int]) -> Reading:
         same = {i for i, j in aligned.items() if j in self.constant and page.sums[i] == self.tree.sums[j] and page.sizes[i] == self.tree.sizes[j]}
-        return same, next((i for i, j in aligned.items() if j == self.content), -1)
+        above = self.tree.path(self.holder)
+        return Reading(same, {i for i, j in aligned.items() if j in self.content}, {i for i, j in aligned.items() if j in above})
 
 
-def content_node(tree: Tree, varying: dict[int, int]) -> int:
-    """The article or main element that holds most of the text that varies, if it holds half of it."""
-    total = [varying.get(i, 0) for i in range(len(tree.tags))]
-    for i in range(len(total) - 1, -1, -1):  # children stand after their parents
-        total[i] = 0 if tree.tags[i] in DROPPED else total[i] + sum(total[k] for k in tree.kids[i])
-    best = max((i for i, t in enumerate(tree.tags) if t in LANDMARKS), key=lambda i: total[i], default=-1)
-    return best if best >= 0 and 2 * total[best] >= total[0] > 0 else -1
+class Reading:
+    """Of a page: the nodes that bear the template's text, its content nodes, and those that hold most of what varies."""
 
+    __slots__ = ("template", "content", "holds")
 
-def blocks(root: Element, template: set[int], content: int = -1) -> list[str]:
+    def __init__(self, template: set[int], content: set[int], holds: set[int]):
+        self.template, self.content, self.holds = template, content, holds
+
+
+def aligned_with(page: Tree, layout: int, references: list[tuple[int, Tree]]) -> tuple[int, dict[int, int]]:
+    """Which reference a page goes by, and its alignment: that of its own layout, else that with which most nodes match."""
+    own = next((k for k, (x, _) in enumerate(references) if x == layout), None)
+    some = range(len(references)) if own is None else [own]
+    found = [(k, match(page, references[k][1])) for k in some]
+    return max(found, key=lambda f: (len(f[1]), -f[0]))
+
+
+def judge(tree: Tree, seen: dict[int, tuple[int, int, int]]) -> tuple[list[int], list[int], int]:
+    """Template nodes, content nodes and holder of a reference; seen: by node, pages aligned, those of equal text, characters of the others.
+
+    An article of which most is the same on all pages is one that the host
+    repeats, not boilerplate: its nodes are no template.
+    """
+    count = len(tree.tags)
+    constant = {j for j, (n, same, _) in seen.items() if n >= SAME_PAGES - 1 and same >= SAME_SHARE * n}
+    pages = max((n for n, _, _ in seen.values()), default=0) or 1
+    varies, stays = [0.0] * count, [0] * count
+    for j, (_, _, other) in seen.items():
+        varies[j] = 0.0 if j in constant else other / pages
+        stays[j] = tree.sizes[j] if j in constant else 0
+    for i in range(count - 1, -1, -1):  # children stand after their parents
+        if tree.tags[i] in DROPPED:
+            varies[i] = 0.0
+        else:
+            varies[i] += sum(varies[k] for k in tree.kids[i])
+        stays[i] += sum(stays[k] for k in tree.kids[i])
+    marks, todo = [], [0]
+    while todo:
+        i = todo.pop()
+        if tree.tags[i] in LANDMARKS:
+            marks.append(i)
+        elif tree.tags[i] not in DROPPED:
+            todo += tree.kids[i]
+    for i in marks:
+        if varies[i] < stays[i]:
+            constant -= set(tree.below(i))
+    most = max((varies[i] for i in marks), default=0.0)
+    content = [i for i in marks if varies[i] >= VARY_SHARE * most] if 2 * sum(varies[i] for i in marks) >= varies[0] > 0 else []
+    holder = 0
+    while varies[0] and (down := [k for k in tree.kids[holder] if 2 * varies[k] >= varies[0]]):
+        holder = max(down, key=lambda k: varies[k])
+    return sorted(constant), sorted(content), holder if varies[0] else -1
+
+
+def blocks(root: Element, reading: Reading | None = None) -> list[str]:
     """The article's blocks in page order.
 
-    content: the block index of the element to read.  Without one, the page's
-    own article or main elements are read, and without those all of it but the
-    template.  Text inside a marked article is never taken for template: two
-    copies of an article on a host must not erase each other.
+    Read are the content elements that the wrapper names; without one, the
+    page's own article or main elements, and without those all of it; nowhere
+    what bears the template's text.
     """
+    template, content, holds = (reading.template, reading.content, reading.holds) if reading else (set(), set(), set())
+    out = lambda e: e.out or (e.named and e.block not in holds)
     depth, found_content, tags = 0, False, set()
     for element, text, start in _walk(root):
-        if text is None and element.out:
+        if text is None and out(element):
             depth += 1 if start else -1
         elif text is None and start and not depth and element.tag in LANDMARKS:
             tags.add(element.tag)
-            found_content |= element.block == content
+            found_content |= element.block in content
     marked = next((t for t in LANDMARKS if t in tags), None)
-    region = (lambda e: e.block == content) if content >= 0 and found_content else (lambda e: e.tag == marked)
+    region = (lambda e: e.block in content) if found_content else (lambda e: e.tag == marked)
     found: list[str] = []
     held: list[str] = []
-    out = inside = 0
+    gone = inside = 0
     own = [0]
 
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
-        if text and (marked or own[-1] not in template):
+        if text and own[-1] not in template:
             found.append(text)
         held.clear()
 
     for element, text, start in _walk(root):
         if text is not None:
-            if not out and (inside or not marked):
+            if not gone and (inside or not marked):
                 held.append(text)
             continue
-        dropped = element.out or (element.header and not inside)
+        dropped = out(element) or (element.header and not inside)
         if element.tag in BLOCK or dropped:
             flush()
         elif element.tag == "br":
             held.append(" ")
         if dropped:
-            out += 1 if start else -1
+            gone += 1 if start else -1
         if element.block >= 0 and element.tag != "#root":
             if start:
                 own.append(element.block)
@@ -331,10 +429,13 @@ def blocks(root: Element, template: set[int], content: int = -1) -> list[str]:
     return found
 
 
-def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
+def main_text(html: str | None, wrappers: list[Wrapper] | None = None) -> str:
     root = parse(html or "")
+    if not wrappers:
+        return "\n\n".join(blocks(root))
     page = Tree.of(root)  # also numbers the blocks
-    return "\n\n".join(blocks(root, *(wrapper.apply(page) if wrapper else (set(), -1))))
+    k, aligned = aligned_with(page, page.layout(), [(w.layout, w.tree) for w in wrappers])
+    return "\n\n".join(blocks(root, wrappers[k].apply(page, aligned)))
 
 
 def host(url: Column) -> Column:
@@ -343,84 +444,100 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+_REFERENCES = "array<struct<page_id: bigint, layout: bigint, tree: string>>"
+_WRAPPERS = "array<struct<layout: bigint, tree: string, constant: array<int>, content: array<int>, holder: int>>"
+
+
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, reference (a tree), constant (its template nodes), content, of hosts with enough pages.
+    """host, wrappers (one for each of its common layouts), of hosts with enough pages.
 
-    Every page takes part.  Pages of equal text count once, so that copies of
-    one article don't make it template; per-host counts are summed before they
-    are moved, so a hot host is no heavier than another.
+    Every page takes part, by the reference of its layout or the one that it
+    matches best.  Pages of equal text count once, so that copies of one article
+    don't make it template; counts are summed before they are moved, so a hot
+    host is no heavier than another.
     """
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Tree.of(parse(t.as_py() or "")) for t in batch.column(2)]
             whole = [zlib.crc32(",".join(map(str, t.sums)).encode()) for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.dump() for t in found], pa.string()), pa.array(whole, pa.int64())], names=["host", "page_id", "tree", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.dump() for t in found], pa.string()), pa.array(whole, pa.int64()), pa.array([t.layout() for t in found], pa.int64())], names=["host", "page_id", "tree", "whole", "layout"])
 
     light = pages.select(host(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "html").where(F.col("host").isNotNull())
-    light = scratch.save(light.mapInArrow(trees, "host string, page_id long, tree string, whole long"), "trees")
-    distinct = light.groupBy("host", "whole").agg(F.min(F.struct("page_id", "tree")).alias("p")).select("host", "p.page_id", "p.tree")
+    light = scratch.save(light.mapInArrow(trees, "host string, page_id long, tree string, whole long, layout long"), "trees")
+    distinct = light.groupBy("host", "whole").agg(F.min(F.struct("page_id", "layout", "tree")).alias("p")).select("host", "p.*")
     distinct = scratch.save(distinct, "distinct")
-    references = distinct.groupBy("host").agg(F.min(F.struct("page_id", "tree")).alias("p"), F.count("*").alias("n")).where(F.col("n") >= SAME_PAGES)
-    references = scratch.save(references.select("host", F.col("p.tree").alias("reference"), F.col("p.page_id").alias("reference_id")), "references")
+    layouts = scratch.save(distinct.groupBy("host", "layout").agg(F.min(F.struct("page_id", "layout", "tree")).alias("p"), F.count("*").alias("n")), "layouts")
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "p.page_id", "layout"))
+    first = layouts.withColumn("place", place).where((F.col("place") == 1) | (F.col("n") >= SAME_PAGES) & (F.col("place") <= LAYOUTS)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "p"))).alias("r"))
+    enough = layouts.groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") >= SAME_PAGES).select("host")
+    references = scratch.save(first.join(enough, "host").select("host", F.col("r.p").cast(_REFERENCES).alias("references")), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, Tree] = {}
-            counts: dict[tuple[str, int], list[int]] = {}
-            for name, tree, reference in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            known: dict[str, list[tuple[int, Tree]]] = {}
+            counts: dict[tuple[str, int, int], list[int]] = {}
+            for name, page_id, layout, tree, references in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
                 if name not in known:
-                    known[name] = Tree.load(reference.as_py())
-                a, b = Tree.load(tree), known[name]
-                for i, j in match(a, b).items():
-                    if b.sizes[j]:
-                        n = counts.setdefault((name, j), [0, 0, 0])
+                    known[name] = [(r["layout"], r["page_id"], Tree.load(r["tree"])) for r in references.as_py()]
+                if any(page_id == p for _, p, _ in known[name]):
+                    continue
+                a = Tree.load(tree)
+                k, found = aligned_with(a, layout, [(x, t) for x, _, t in known[name]])
+                b = known[name][k][2]
+                for i, j in found.items():
+                    if b.sizes[j] or a.sizes[i]:
+                        n = counts.setdefault((name, k, j), [0, 0, 0])
                         same = a.sums[i] == b.sums[j] and a.sizes[i] == b.sizes[j]
                         n[0] += 1
                         n[1] += same
                         n[2] += 0 if same else a.sizes[i]
-            rows = [(h, j, *n) for (h, j), n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "n", "same", "varying"])
+            rows = [(*key, *n) for key, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "layout", "node", "n", "same", "varying"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            constant, content = [], []
-            for reference, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                constant.append([x["node"] for x in nodes if x["n"] >= SAME_PAGES - 1 and x["same"] >= SAME_SHARE * x["n"]])
-                content.append(content_node(Tree.load(reference), {x["node"]: x["varying"] for x in nodes}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(constant, pa.list_(pa.int32())), pa.array(content, pa.int32())], names=["host", "reference", "constant", "content"])
-
-    joined = distinct.join(references, "host").where(F.col("page_id") != F.col("reference_id")).select("host", "tree", "reference")
+            out = []
+            for references, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                wrappers = []
+                for k, r in enumerate(references):
+                    constant, content, holder = judge(Tree.load(r["tree"]), {x["node"]: (x["n"], x["same"], x["varying"]) for x in nodes if x["layout"] == k})
+                    wrappers.append({"layout": r["layout"], "tree": r["tree"], "constant": constant, "content": content, "holder": holder})
+                out.append(wrappers)
+            kind = pa.list_(pa.struct([("layout", pa.int64()), ("tree", pa.string()), ("constant", pa.list_(pa.int32())), ("content", pa.list_(pa.int32())), ("holder", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["host", "wrappers"])
+
+    joined = distinct.join(references, "host").select("host", "page_id", "layout", "tree", "references")
     sums = [F.sum(c).alias(c) for c in ("n", "same", "varying")]
-    counts = joined.mapInArrow(align, "host string, node int, n long, same long, varying long").groupBy("host", "node").agg(*sums)
-    nodes = counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "n", "same", "varying"))).alias("nodes"))  # at most the reference's
-    judged = references.join(nodes, "host").select("host", "reference", "nodes").mapInArrow(judge, "host string, reference string, constant array<int>, content int")
-    return scratch.save(judged, "templates")
+    counts = joined.mapInArrow(align, "host string, layout int, node int, n long, same long, varying long").groupBy("host", "layout", "node").agg(*sums)
+    nodes = counts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "node", "n", "same", "varying"))).alias("nodes"))  # at most the references'
+    return scratch.save(references.join(nodes, "host").mapInArrow(judged, f"host string, wrappers {_WRAPPERS}"), "wrappers")
 
 
 def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     Null or empty html gives an empty text; pages without host, and of hosts
-    with too few pages to compare, are read without template; repeated rows
-    give equal texts; an empty table gives an empty result; other columns are
-    not read.
+    with too few pages to compare, are read without template; pages of any
+    length and depth are read whole; repeated rows give equal texts, and of
+    layouts that tie the one with the smallest page_id comes first; an empty
+    table gives an empty result; other columns are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession, "html")
-    templates = induce(pages, scratch)
-    size = templates.agg(F.sum(F.length("reference") + 8 * F.size("constant"))).first()[0] or 0
-    # the whole set of templates is broadcast only while it is small
-    right = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(right, "host", "left").select("page_id", "url", "html", "host", "reference", "constant", "content")
+    wrappers = induce(pages, scratch)
+    size = wrappers.agg(F.sum(F.aggregate("wrappers", F.lit(0).cast("long"), lambda n, w: n + F.length(w["tree"]) + 8 * F.size(w["constant"])))).first()[0] or 0
+    # the whole set of wrappers is broadcast only while it is small
+    right = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(right, "host", "left").select("page_id", "url", "html", "host", "wrappers")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, Wrapper] = {}
+            known: dict[str, list[Wrapper]] = {}
             texts = []
-            for html, name, reference, constant, content in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), batch.column(6).to_pylist()):
-                if reference.is_valid and name not in known:
-                    known[name] = Wrapper(Tree.load(reference.as_py()), frozenset(constant.as_py()), content)
+            for html, name, found in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+                if found.is_valid and name not in known:
+                    known[name] = [Wrapper(w["layout"], Tree.load(w["tree"]), frozenset(w["constant"]), frozenset(w["content"]), w["holder"]) for w in found.as_py()]
                 texts.append(main_text(html.as_py(), known.get(name)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -214,6 +214,69 @@ def test_any_markup_is_read(text):
     assert isinstance(html.main_text(text), str)
 
 
+def test_depth_is_no_limit():
+    """A menu is a menu at any depth, and deep trees are matched."""
+    for n in (20, 299, 3000):
+        page = "<article>" + "<div>" * n + "<nav>Menu item</nav><p>Body</p>"
+        assert html.main_text(page) == "Body"
+        tree = html.Tree.of(html.parse(page))
+        assert len(html.match(tree, tree)) == len(tree.tags)
+
+
+def generated_hosts(seed):
+    """(rows, article of each page): hosts of one or two layouts, with boilerplate in and around the article, whose articles are known."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda n: " ".join(r.choice(["alder", "birch", "cedar", "dune", "elm", "fern", "grove", "heath", "iris", "jade"]) + str(r.randrange(400)) for _ in range(n))
+    rows, want, page_id = [], {}, 0
+    for h in range(8):
+        menu, foot, ask, odd = say(4), say(6), say(5), r.random() < 0.5
+        marked = h % 2 == 0
+        for _ in range(r.choice([15, 18])):
+            page_id += 1
+            parts = [say(r.randint(4, 9)) for _ in range(r.randint(2, 5))]
+            body = "".join(f"<p>{p}</p>" for p in parts)
+            hint = f"<div><p>{ask}</p></div>"
+            open_, close = ("<article>", "</article>") if marked else ("<div class='widget-body'>", "</div>")
+            core = f"<h1>Title {page_id}</h1>{hint if odd else ''}{body}{hint}"
+            top, end = f"<div><p>{menu}</p></div>", f"<section><p>{foot}</p></section>"
+            page = f"<html><body>{top}{open_}{core}{close}{end}</body></html>"
+            if h >= 4 and page_id % 3 == 0:  # a second layout of the host
+                page = f"<html><body><table><tr><td>{menu}</td></tr></table>{end}{open_}{core}{close}</body></html>"
+            rows.append((page_id, f"http://host{h}.example/{page_id}", page))
+            want[page_id] = "\n\n".join([f"Title {page_id}", *parts])
+        page_id += 1
+        rows.append((page_id, f"http://host{h}.example/broken", None))
+        want[page_id] = ""
+    # the broken page has the smallest id of one host
+    rows.append((0, "http://host0.example/", ""))
+    want[0] = ""
+    return rows, want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_generated_hosts(spark, seed):
+    """The query's text is the known article; without the wrapper it would hold the boilerplate."""
+    rows, want = generated_hosts(seed)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert sum(html.main_text(h) != want[i] for i, _, h in rows) > 0.9 * len(rows) - 10
+
+
+def test_several_articles_that_vary(spark):
+    rows = [(i, "http://h.example/", f"<html><body><article><p>Story {i} in many words</p></article><article><p>Second story {i} of it</p></article></body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Story 4 in many words\n\nSecond story 4 of it"
+
+
+def test_near_copies_of_an_article_stay(spark):
+    story = "<p>The story that the whole host repeats word by word</p><p>and its second part</p>"
+    rows = [(i, "http://h.example/", f"<html><body><div><p>Visitor {i}</p></div><article><h1>Copy {i}</h1>{story}</article></body></html>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.endswith("and its second part") and "repeats" in t for t in got.values())
+
+
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
     assert html.main_text("<p>a<p title='x>b") is not None and html.main_text(None) == "" and html.main_text("<script>x") == ""
