@@ -142,6 +142,37 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_pruning_reads_less():
+    """Of clustered vectors a small share is compared; of vectors without structure, whose distances concentrate, about two thirds at a recall over 0.9."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32)) * 4
+    clustered = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 0.3
+    loose = rng.normal(size=(6000, 64))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    for points, factor, most, least in ((clustered, 1.0, 0.1, 1.0), (loose, vptree.FACTOR, 0.75, 0.9)):
+        ids = np.arange(len(points))
+        tree = vptree.Tree.build(ids, points)
+        _, found = tree.search(ids[:100], points[:100], 10, factor)
+        assert tree.read <= most * 100 * len(ids)
+        hits = sum(len({a for a, _ in brute(ids, points, q, 10)} & set(found[q].tolist())) for q in range(100))
+        assert hits >= least * 1000
+
+
+def test_shards_and_routing_are_exact(spark):
+    """Many shards, a vantage point with very many rows, two vector lengths: with factor 1 equal to brute force."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(600)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)] + [(2000 + i, rng.normal(size=3).tolist()) for i in range(250)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.where("vec_id % 50 = 0")
+    got = {}
+    for r in vptree.nearest(df, ask, k=5, factor=1.0, shard_rows=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in [r["vec_id"] for r in ask.collect()]:
+        same = [r for r in rows if len(r[1]) == (3 if q >= 2000 else 4)]
+        want = brute(np.array([r[0] for r in same]), np.array([r[1] for r in same]), q, 5)
+        assert got[q] == [(a, pytest.approx(b, abs=1e-12)) for a, b in want]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (200, []), (300, [0.0, 0.0]), (None, [1.0, 1.0]), (9, [2.0, 0.0])]
