@@ -1,6 +1,6 @@
 """Chat formatting as packed prefix trees.
 
-Conversations are range-sorted by the chain of their turns' hashes, so that
+Conversations are range-sorted by the hashes of their turns, so that
 those sharing initial turns follow each other in depth-first order.  Each task
 merges its stretch into prefix trees of bounded size: a shared turn's tokens
 are emitted once, with position ids that continue its parent's, and each node
@@ -12,16 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
-from .packing import tokenizer_path
+from .packing import Encoder, tokenizer_path
 
 #: Control strings of the template: assistant turns and all others, and the end of a role.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SAYS]")
@@ -61,7 +61,7 @@ class _Pack:
     """One prefix tree, grown in depth-first order."""
 
     def __init__(self):
-        self.tokens, self.positions, self.loss, self.nodes, self.leaves = [], [], [], [], []
+        self.size, self.tokens, self.positions, self.loss, self.nodes, self.leaves = 0, [], [], [], [], []
         #: (turn, node) of the path to the last conversation.
         self.path: list[tuple[tuple[str, str], int]] = []
 
@@ -72,49 +72,41 @@ class _Pack:
         del self.path[depth:]
         for turn in turns[depth:]:
             parent = self.path[-1][1] if self.path else -1
-            attends = [] if parent < 0 else list(self.nodes[parent]["attends"])
+            attends: list[tuple[int, int]] = []
             if parent >= 0:
-                last = {"first": self.nodes[parent]["first"], "end": self.nodes[parent]["end"]}
-                if attends and attends[-1]["end"] == last["first"]:
-                    attends[-1] = {"first": attends[-1]["first"], "end": last["end"]}
-                else:
-                    attends.append(last)
-            at = sum(s["end"] - s["first"] for s in attends)
-            head, body, tail = encode(turn_parts(*turn))
-            first = len(self.tokens)
-            self.tokens += head + body + tail
-            self.positions += range(at, at + len(self.tokens) - first)
-            if turn[0] == "assistant" and body:
-                self.loss.append({"first": first + len(head), "end": first + len(head) + len(body)})
-            self.nodes.append({"first": first, "end": len(self.tokens), "parent": parent, "attends": attends})
+                first, end, _, before, _ = self.nodes[parent]
+                attends = [*before[:-1], (before[-1][0], end)] if before and before[-1][1] == first else [*before, (first, end)]
+            at = self.nodes[parent][4] if parent >= 0 else 0
+            head, body, tail = (np.frombuffer(encode(x), "<u4") for x in turn_parts(*turn))
+            first, count = self.size, len(head) + len(body) + len(tail)
+            self.tokens += [head, body, tail]
+            self.positions.append(np.arange(at, at + count))
+            if turn[0] == "assistant" and len(body):
+                self.loss.append((first + len(head), first + len(head) + len(body)))
+            self.size += count
+            self.nodes.append((first, self.size, parent, attends, at + count))
             self.path.append((turn, len(self.nodes) - 1))
-        self.leaves.append({"conv_id": conv_id, "node": self.path[-1][1], "n_turns": len(turns)})
+        self.leaves.append((conv_id, self.path[-1][1], len(turns)))
 
     def row(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"tokens": self.tokens, "positions": self.positions, "loss": self.loss, "nodes": self.nodes, "conversations": self.leaves}], schema=_PACK)
-
-
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+        span = lambda s: {"first": s[0], "end": s[1]}
+        nodes = [{"first": f, "end": e, "parent": p, "attends": [span(s) for s in a]} for f, e, p, a, _ in self.nodes]
+        leaves = [dict(zip(("conv_id", "node", "n_turns"), x)) for x in self.leaves]
+        kinds = [_PACK.field(k).type.value_type for k in range(5)]
+        columns = (np.concatenate(self.tokens).astype(np.int32), np.concatenate(self.positions).astype(np.int32), [span(s) for s in self.loss], nodes, leaves)
+        return pa.RecordBatch.from_arrays([one(c, k) for c, k in zip(columns, kinds)], names=_PACK.names)
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text in order of turn) and path (the chained hashes of the turns).
+    """conv_id, turns (role, text in order of turn) and path (the turns' hashes).
 
     Rows of equal turn stand in order of role and text; nulls of turn first.
     """
     part = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.transform(F.sort_array(F.collect_list(part)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     out = rows.groupBy("conv_id").agg(turns.alias("turns"))
-    chain = F.aggregate("turns", F.array().cast("array<long>"), lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), t["role"], t["text"]))))
-    return out.withColumn("path", chain)
+    return out.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
 
 
 def format_packs(rows: DataFrame, tokenizer: str | None = None, pack_tokens: int = PACK_TOKENS, partitions: int | None = None) -> DataFrame:
@@ -122,26 +114,24 @@ def format_packs(rows: DataFrame, tokenizer: str | None = None, pack_tokens: int
 
     Null roles and texts are empty; equal rows are all turns; rows of null
     conv_id make one conversation; conversations that are equal share all their
-    nodes.  A first turn shared by very many conversations is emitted once a
-    pack.  An empty table gives no pack; other columns are not read.
+    nodes; texts of any length are one turn.  A first turn shared by very many
+    conversations is emitted once a pack.  A conversation is one path of one
+    tree, so its turns must fit a task.  An empty table gives no pack; other
+    columns are not read.
     """
     spark, path = rows.sparkSession, tokenizer or tokenizer_path()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = gather(rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"))
-    # by the whole chain and then the id, so that neither a hot first turn nor a hot conversation stays whole
+    # by all turns and then the id, so that neither a hot first turn nor a hot conversation stays whole
     ordered = ordered.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-
-        def encode(parts: tuple[str, str, str]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch(list(parts), add_special_tokens=False)]
-
+        encode = Encoder(path, plain=True)  # control strings in a text are ordinary text
         pack = _Pack()
         for batch in batches:
             for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1)):
                 pack.add(conv, [(x["role"], x["text"]) for x in turns.as_py()], encode)
-                if len(pack.tokens) + len(pack.leaves) >= pack_tokens:
+                if pack.size + len(pack.leaves) >= pack_tokens:
                     yield pack.row()
                     pack = _Pack()
         if pack.leaves:
@@ -154,36 +144,39 @@ DIGEST = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_
 
 
 def read_packs(packs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per conversation, what its tokens say: turns, loss text and formatted text, as digests."""
+    """Per conversation, what its tokens say: turns, loss text and formatted text, as digests.
+
+    Each node is decoded once; a digest goes on from that of the node's parent.
+    """
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        decode = Encoder(path, plain=True).decode
         for batch in batches:
-            for pack in batch.to_pylist():
-                out, known = [], {}
-                loss = {}
-                for s in pack["loss"]:
-                    loss[s["first"]] = s["end"]
-                starts = sorted(loss)
-                tokens = pack["tokens"]
-                for c in pack["conversations"]:
-                    if c["node"] not in known:
-                        node = pack["nodes"][c["node"]]
-                        spans = [*node["attends"], {"first": node["first"], "end": node["end"]}]
-                        text = t.decode([i for s in spans for i in tokens[s["first"] : s["end"]]], skip_special_tokens=False)
-                        turns = [(unescape(r), unescape(x)) for r, x in _TURN.findall(text)]
-                        learned = "".join(unescape(t.decode(tokens[f : loss[f]], skip_special_tokens=False)) for s in spans for f in starts[bisect_left(starts, s["first"]) : bisect_left(starts, s["end"])])
-                        said = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
-                        known[c["node"]] = (len(turns), said, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text))
-                    out.append({"conv_id": c["conv_id"], **dict(zip(DIGEST.names[1:], known[c["node"]]))})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            for tokens, loss, nodes, leaves in zip(*(batch.column(k) for k in (0, 2, 3, 4))):
+                tokens, loss = tokens.values.to_numpy(), [loss.values.field(f).to_numpy() for f in ("first", "end")]
+                # of each node: turns, their digest so far, learned code points, their digest so far, code points in all
+                said: list[tuple] = []
+                for first, end, parent in zip(*(nodes.values.field(f).to_pylist() for f in ("first", "end", "parent"))):
+                    turns, all_, learned, of_learned, chars = said[parent] if parent >= 0 else (0, hashlib.sha256(), 0, hashlib.sha256(), 0)
+                    text = decode(tokens[first:end])
+                    all_, of_learned = all_.copy(), of_learned.copy()
+                    for role, x in _TURN.findall(text):
+                        turns += 1
+                        all_.update(f"{unescape(role)}\n{unescape(x)}\n".encode())
+                    for k in range(*np.searchsorted(loss[0], [first, end])):
+                        part = unescape(decode(tokens[loss[0][k] : loss[1][k]]))
+                        learned += len(part)
+                        of_learned.update(part.encode())
+                    said.append((turns, all_, learned, of_learned, chars + len(text)))
+                out = [(c, *(x.hexdigest() if hasattr(x, "hexdigest") else x for x in said[n])) for c, n in zip(*(leaves.values.field(f).to_pylist() for f in ("conv_id", "node")))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=DIGEST.names)
 
     return packs.mapInArrow(run, DIGEST)
 
 
 def formatted_conversations(conversations: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Format every conversation and the probe, write the packs, and read them back."""
+    """Format every conversation and the probe, write the packs, and read them back; odd rows as in ``format_packs``."""
     scratch = scratch or Scratch(conversations.sparkSession, "chat")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.unionByName(conversations.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))

@@ -51,13 +51,14 @@ class Encoder:
     longer than that library's splitter can take, the file's own library does.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: the strings of added tokens in a text are ordinary text."""
         import json
 
-        self.path, self.own = path, None
+        self.path, self.own, self.plain = path, None, plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = [] if plain else [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._ranked(spec)
 
     @property
@@ -67,6 +68,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.own = Tokenizer.from_file(self.path)
+            self.own.encode_special_tokens = self.plain
         return self.own
 
     @staticmethod
@@ -98,6 +100,13 @@ class Encoder:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of whole encodings, one after another."""
+        if self.fast is None:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return self.fast.decode_bytes(ids.tolist()).decode("utf-8")
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than the capacity."""
     first = (length - 1) % capacity + 1
