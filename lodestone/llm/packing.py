@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Ranks within a length are counted in hash buckets of about so many pieces of all lengths, so that a hot length has no single task.
 BUCKET_PIECES, MAX_BUCKETS = 50_000, 4096
 #: Steps of multiplicative weights.
-STEPS = 600
+STEPS = 100
 
 PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
 
