@@ -32,7 +32,7 @@ ROLL_BYTES = 256 << 20
 #: Payload bytes that one shard (one task) should get, and shards at most (beyond it they grow).
 SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 14
 #: Bits of a level of buckets: of the whole range, and of each bucket that is too heavy for a shard.
-FIRST_BITS, MORE_BITS = 16, 8
+FIRST_BITS, MORE_BITS = 14, 8
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,7 +75,7 @@ class Shards:
     is heavier than a shard is cut into finer ones between its own smallest and
     largest key, and one that holds a single key by its payloads' digests.  What
     neither parts (equal key and payload) makes one longer shard, which rolls
-    into more files.  The driver gets the sums of one level at a time: 65,536,
+    into more files.  The driver gets the sums of one level at a time: 16,384,
     then 256 of each heavy bucket, of which there are fewer than shards.
     """
 
@@ -97,6 +97,7 @@ class Shards:
             level, cells = len(self.tables), 1 << bits
             self.tables.append(([max(0, w - bits) for w in widths], [cells - 1 if w else 0 for w in widths], digits, bits))
             sums = rows.groupBy(self._cell(level).alias("cell")).agg(F.sum(self._bytes()).alias("n"), *[e.alias(n) for n, e in zip(("low", "high", "one", "other"), self._edges())])
+            sums = sums.select("cell", "n", *[F.when(F.col("n") > shard_bytes, F.col(c)).alias(c) for c in ("low", "high", "one", "other")])
             heavier = []
             self.found.append(np.zeros(len(heavy) * cells, np.int64))
             for r in sums.where(F.col("cell").isNotNull()).orderBy("cell").collect():
