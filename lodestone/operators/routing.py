@@ -19,13 +19,16 @@ def outcome(large: Column, mode: str) -> Column:
     """ok, cost, direct, fallback of a row under a policy.
 
     mode: "direct" (no verifier), "verified" (a small failure falls back to
-    large and pays both), or "cascade" (small is always paid; escalating pays
-    both and its outcome replaces the small one).
+    large and pays both), "cascade" (small is always paid; escalating pays both
+    and its outcome replaces the small one), or "cached" (where the column says
+    so the answer is known and costs nothing; small serves the rest).
     """
     s, l, cs, cl = (F.col(c) for c in ("small_success", "large_success", "small_cost", "large_cost"))  # noqa: E741
     none = F.lit(False)
     if mode == "cascade":
         parts = (F.when(large, l).otherwise(s), F.when(large, cs + cl).otherwise(cs), none, large)
+    elif mode == "cached":
+        parts = (large | s, F.when(large, 0.0).otherwise(cs), none, none)
     else:
         fall = ~large & ~s if mode == "verified" else none
         parts = (F.when(large | fall, l).otherwise(s), F.when(large, cl).when(fall, cs + cl).otherwise(cs), large, fall)
@@ -58,7 +61,7 @@ def compare(rows: DataFrame, policies: dict[str, tuple[Column, str]], *by: str)
 
 
 def standard_policies(prob: Column, response_prob: Column, threshold: float, response_threshold: float, random_large: Column) -> dict[str, tuple[Column, str]]:
-    """The methods that are compared with a deployed router (column ``policy_route``)."""
+    """The methods that are compared with a deployed router (column ``policy_route``) and the exact cache (column ``hit``)."""
     yes, no = F.lit(True), F.lit(False)
     router, pref = F.col("policy_route") == "large", prob >= threshold
     return {
@@ -67,7 +70,7 @@ def standard_policies(prob: Column, response_prob: Column, threshold: float, res
         "preference_router": (pref, "direct"), "preference_router_plus_fallback": (pref, "verified"),
         "response_cascade": (response_prob >= response_threshold, "cascade"),
         "deployed_router": (router, "direct"), "deployed_router_plus_fallback": (router, "verified"),
-        "oracle_router": (~F.col("small_success") & F.col("large_success"), "direct"),
+        "oracle_router": (~F.col("small_success") & F.col("large_success"), "direct"), "exact_cache_plus_small": (F.col("hit"), "cached"),
     }
 
 
@@ -77,14 +80,17 @@ def with_random_budget(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.crossJoin(F.broadcast(rate)).withColumn("random_large", stable_fraction(F.col("task_id"), seed) < F.col("_rate")).drop("_rate")
 
 
+def with_cache_hits(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """hit: whether a training row of the same prompt has an answer that passed."""
+    known = train.where(F.col("small_success") | F.col("large_success")).select(F.col("prompt")).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(known, "prompt", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def exact_cache(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose prompt a successful training row has pass at no cost; others are served by small."""
-    known = train.where(F.col("small_success") | F.col("large_success")).select(F.col("prompt")).distinct().withColumn("_hit", F.lit(True))
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    served = rows.join(known, "prompt", "left").withColumn("hit", hit)
-    o = F.struct((F.col("hit") | F.col("small_success")).alias("ok"), F.when(F.col("hit"), 0.0).otherwise(F.col("small_cost")).alias("cost"), F.lit(False).alias("direct"), F.lit(False).alias("fallback"))
     n = F.count("*")
-    return served.withColumn("o", o).agg(n.alias("n"), F.count_if("hit").alias("cache_hits"), ratio(F.count_if("hit"), n).alias("cache_coverage"), F.count_if("o.ok").alias("passes"), ratio(F.count_if("o.ok"), n).alias("pass_rate"), ratio(F.sum("o.cost"), n).alias("avg_cost"), ratio(F.sum("o.cost"), n * F.lit(REFERENCE_COST)).alias("cost_vs_large"))
+    served = with_cache_hits(train, rows).withColumn("o", outcome(F.col("hit"), "cached"))
+    return served.agg(n.alias("n"), F.count_if("hit").alias("cache_hits"), ratio(F.count_if("hit"), n).alias("cache_coverage"), F.count_if("o.ok").alias("passes"), ratio(F.count_if("o.ok"), n).alias("pass_rate"), ratio(F.sum("o.cost"), n).alias("avg_cost"), ratio(F.sum("o.cost"), n * F.lit(REFERENCE_COST)).alias("cost_vs_large"))
 
 
 def grid_place(prob: Column, steps: int = 100) -> Column:

@@ -17,6 +17,8 @@ def sql_outcome(large: str, mode: str) -> str:
     """DuckDB: ok, cost, direct and fallback of one row under a policy."""
     if mode == "cascade":
         return f"CASE WHEN {large} THEN large_success ELSE small_success END AS ok, CASE WHEN {large} THEN small_cost + large_cost ELSE small_cost END AS cost, false AS direct, {large} AS fallback"
+    if mode == "cached":
+        return f"{large} OR small_success AS ok, CASE WHEN {large} THEN 0 ELSE small_cost END AS cost, false AS direct, false AS fallback"
     fall = f"(NOT ({large}) AND NOT small_success)" if mode == "verified" else "false"
     return f"CASE WHEN ({large}) OR {fall} THEN large_success ELSE small_success END AS ok, CASE WHEN {large} THEN large_cost WHEN {fall} THEN small_cost + large_cost ELSE small_cost END AS cost, ({large}) AS direct, {fall} AS fallback"
 
@@ -64,15 +66,16 @@ _METHODS = {
     "random_budget_matched": ("random_large", "direct"), "random_budget_matched_plus_fallback": ("random_large", "verified"),
     "preference_router": ("router_prob >= 0.5::DOUBLE", "direct"), "preference_router_plus_fallback": ("router_prob >= 0.5::DOUBLE", "verified"),
     "response_cascade": ("response_prob >= 0.6::DOUBLE", "cascade"), "deployed_router": (_WANTS, "direct"), "deployed_router_plus_fallback": (_WANTS, "verified"),
-    "oracle_router": ("NOT small_success AND large_success", "direct"),
+    "oracle_router": ("NOT small_success AND large_success", "direct"), "exact_cache_plus_small": ("hit", "cached"),
 }
 _COMPARED = " UNION ALL ".join(f"SELECT '{m}' AS method, {sql_outcome(large, mode)} FROM e" for m, (large, mode) in _METHODS.items())
 
 
-@query(f"WITH {TRACES}, e AS (SELECT *, {_RANDOM} AS random_large FROM traces WHERE {EVAL}) {sql_summary(_COMPARED, 'method')}")
+@query(f"""WITH {TRACES}, k AS (SELECT DISTINCT prompt FROM traces WHERE {TRAIN} AND (small_success OR large_success)),
+e AS (SELECT traces.*, {_RANDOM} AS random_large, k.prompt IS NOT NULL AS hit FROM traces LEFT JOIN k ON traces.prompt = k.prompt WHERE {EVAL}) {sql_summary(_COMPARED, 'method')}""")
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eleven methods in one scan; the twelfth, the exact cache, is its own query."""
-    rows = R.with_random_budget(_eval(spark, sf_dir))
+    """All twelve methods in one scan of the held-out rows."""
+    rows = R.with_cache_hits(traces(spark, sf_dir).where(TRAIN), R.with_random_budget(_eval(spark, sf_dir)))
     return rounded(R.compare(rows, R.standard_policies(F.col("router_prob"), F.col("response_prob"), 0.5, 0.6, F.col("random_large"))))
 
 
