@@ -141,11 +141,11 @@ def router_score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f.select("episode", M.linear_score({n: F.col(n) for n in _WEIGHTS}, _WEIGHTS, -1.5).alias("prob")), 6)
 
 
-@query(f"""WITH {MESSAGES}, e AS (SELECT episode, count(*) AS n FROM messages GROUP BY episode), a AS (SELECT episode, n, p, (episode * 7 + p) % 4 = 0 AS verified FROM e, range(1, 9) t(p) WHERE p <= n)
+@query(f"""WITH {MESSAGES}, e AS (SELECT episode, count(*) AS n FROM messages GROUP BY episode), a AS (SELECT episode, n, p, (episode * 7 + p) % 4 = 0 AS verified FROM e, unnest(range(1, n + 1)) t(p))
 SELECT episode, max(p)::INT AS prefix FROM a WHERE verified GROUP BY episode""")
 def opd_first_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = messages(spark, sf_dir).groupBy("episode").agg(F.count("*").alias("n"))
-    a = e.withColumn("prefix", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(8)).cast("int")))).withColumn("verified", (F.col("episode") * 7 + F.col("prefix")) % 4 == 0)
+    a = e.withColumn("prefix", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("verified", (F.col("episode") * 7 + F.col("prefix")) % 4 == 0)
     return M.first_rescue(a, ["episode"], F.col("prefix").desc()).select("episode", "prefix")
 
 
