@@ -21,8 +21,9 @@ def row_index(rows: DataFrame, order: str, name: str, buckets: int = BUCKETS) ->
     """
     if not isinstance(rows.schema[order].dataType, _WHOLE):
         return rows.withColumn(name, F.row_number().over(Window.orderBy(F.col(order).asc_nulls_first())).cast("long") - 1)
-    span = rows.agg(F.min(order).cast("long").alias("_lo"), F.max(order).cast("long").alias("_hi"))
-    place = F.expr(f"CAST((CAST({order} AS LONG) - _lo) DIV ((_hi - _lo) DIV {buckets} + 1) AS INT)")
+    whole = "decimal(20,0)"  # the difference of two longs may be larger than a long
+    span = rows.agg(F.min(order).cast(whole).alias("_lo"), F.max(order).cast(whole).alias("_hi"))
+    place = F.expr(f"CAST((CAST(`{order}` AS {whole}) - _lo) DIV ((_hi - _lo) DIV {buckets} + 1) AS INT)")
     # one row, joined to all
     placed = rows.crossJoin(F.broadcast(span)).withColumn("_b", F.coalesce(place, F.lit(-1))).drop("_lo", "_hi")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

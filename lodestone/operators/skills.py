@@ -108,7 +108,7 @@ def book(spark, lessons: DataFrame | None = None) -> DataFrame:
 def with_skill(rows: DataFrame, skills: DataFrame) -> DataFrame:
     """Each row's procedure by its dataset's signature; none: empty.  A book has a row a signature."""
     keyed = rows.withColumn("signature", signature(F.col("dataset")))
-    return keyed.join(F.broadcast(skills), "signature", "left").withColumn("procedure", F.coalesce("procedure", F.lit("")))
+    return keyed.join(skills, "signature", "left").withColumn("procedure", F.coalesce("procedure", F.lit("")))
 
 
 def render_examples(examples: Column) -> Column:
@@ -141,23 +141,33 @@ def lessons(texts: DataFrame, key: str, style: str = "code", cap: int = 400, mos
     return texts.select(key).join(out, key, "left").select(key, *[F.coalesce(c, none).alias(c) for c in ("pitfalls", "patterns")])
 
 
-def distill(rows: DataFrame, distiller: Callable[[str, list[dict]], tuple[list[str], list[str]]], most: int = 64) -> DataFrame:
+def distill(rows: DataFrame, distiller: Callable[[str, list[dict], list[str], list[str]], tuple[list[str], list[str]]], previous: DataFrame | None = None, most: int = 64) -> DataFrame:
     """signature, pitfalls, patterns from each signature's latest ``most`` exemplars, by a pluggable distiller.
 
-    A distiller that fails leaves its signature without new lessons.
+    The distiller also gets the previous lessons.  Where it fails or says
+    nothing they stay, and so they do for signatures without new exemplars.
     """
     few = exemplars(rows, most).select("signature", "task_id", "prompt", "completion", "ord")
+    none = F.array().cast("array<string>")
+    before = rows.sparkSession.createDataFrame([], "signature string, pitfalls array<string>, patterns array<string>") if previous is None else previous
+    before = before.select("signature", F.coalesce("pitfalls", none).alias("pitfalls"), F.coalesce("patterns", none).alias("patterns"))
+    few = few.join(before, "signature", "left")
 
     def run(key, pdf):
         import pandas as pd
 
+        held = [[] if pdf[c].iloc[0] is None else list(pdf[c].iloc[0]) for c in ("pitfalls", "patterns")]
         try:
-            pitfalls, patterns = distiller(key[0], pdf.sort_values("ord").to_dict("records"))
+            new = distiller(key[0], pdf.drop(columns=["signature", "pitfalls", "patterns"]).sort_values("ord").to_dict("records"), *held)
+            pitfalls, patterns = (list(x or []) for x in new)
         except Exception:  # noqa: BLE001  a failing distiller must not end the job
             pitfalls, patterns = [], []
-        return pd.DataFrame([{"signature": key[0], "pitfalls": list(pitfalls), "patterns": list(patterns)}])
+        if not pitfalls and not patterns:
+            pitfalls, patterns = held
+        return pd.DataFrame([{"signature": key[0], "pitfalls": pitfalls, "patterns": patterns}])
 
-    return few.groupBy("signature").applyInPandas(run, "signature string, pitfalls array<string>, patterns array<string>")
+    said = few.groupBy("signature").applyInPandas(run, "signature string, pitfalls array<string>, patterns array<string>")
+    return said.unionByName(before.join(few.select("signature").distinct(), "signature", "left_anti"))
 
 
 def parse_tool_call(text: Column) -> Column:

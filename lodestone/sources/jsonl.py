@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folders import delete
+
 # Names and types of trace columns.
 TRACE = (
     "task_id string, dataset string, prompt string, entry_point string, test string, split string, _src string, small_success boolean, large_success boolean, "
@@ -40,12 +42,27 @@ def with_presence(spark: SparkSession, paths: str | list[str], schema: str, *nam
     return rows.select("r.*", *[f"has_{n}" for n in names])
 
 
+def _placed(spark: SparkSession, paths: str | list[str], schema: str, strict: bool) -> DataFrame:
+    """The rows with ``line_no``: by age of the job that wrote a file, the file's name, and the place in it.
+
+    Spark packs files into tasks by size, so a task's own order says nothing of
+    theirs.  The files of one job bear its id; a job is as old as its first file.
+    """
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_at"))
+    job = F.regexp_extract("_file", r"part-\d+-([0-9a-f-]{36})", 1)
+    job = F.when(job != "", job).otherwise(F.col("_file"))
+    files = files.withColumn("_job", job).withColumn("_began", F.min("_at").over(Window.partitionBy("_job")))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_row"))
+    lines = lines.where(F.trim("value") != "") if strict else lines.where(F.try_parse_json("value").isNotNull())
+    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r"), "_file", "_row").join(files, "_file")
+    return parsed.select("r.*", F.struct(F.col("_began").alias("began"), F.col("_job").alias("job"), F.col("_file").alias("file"), "_row.block", "_row.row").alias("line_no"))
+
+
 def read_ordered(spark: SparkSession, paths: list[str], schema: str, strict: bool = True) -> DataFrame:
-    """Files in the given order: ``file_ord``, and ``line_no`` in the order of each file's lines."""
+    """Files (or folders of them) in the given order: ``file_ord``, and ``line_no``, which ascends with the lines of each."""
     out = None
     for i, path in enumerate(paths):
-        rows = (read_strict if strict else read_lenient)(spark, path, schema)
-        rows = rows.withColumn("file_ord", F.lit(i)).withColumn("line_no", F.monotonically_increasing_id())
+        rows = _placed(spark, path, schema, strict).withColumn("file_ord", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no files")
@@ -53,9 +70,9 @@ def read_ordered(spark: SparkSession, paths: list[str], schema: str, strict: boo
 
 
 def read_keyed(spark: SparkSession, path: str, schema: str = CACHE, key: str = "cache_key") -> DataFrame:
-    """The last line of each key."""
-    rows = read_strict(spark, path, schema).withColumn("_line", F.monotonically_increasing_id())
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_line")]), "_line").alias("v")).select(key, "v.*")
+    """The last line of each key; of a folder that was appended to, the last job's."""
+    rows = _placed(spark, path, schema, True)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "line_no")]), "line_no").alias("v")).select(key, "v.*")
 
 
 def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -86,11 +103,15 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_split(df: DataFrame, path: str, failures: str) -> None:
-    """Good rows and, at ``failures``, those with an error."""
+def write_split(df: DataFrame, path: str, failures: str, append: bool = False) -> int:
+    """Good rows and, at ``failures``, those with an error: how many; without any, the folder goes."""
     bad = F.coalesce("error", F.lit("")) != ""
-    write_jsonl(df.where(~bad), path)
-    write_jsonl(df.where(bad), failures)
+    write_jsonl(df.where(~bad), path, append)
+    seen = Observation()
+    write_jsonl(df.where(bad).observe(seen, F.count("*").alias("n")), failures)
+    if not seen.get["n"]:
+        delete(df.sparkSession, failures)
+    return int(seen.get["n"])
 
 
 def write_report(path: str, report: dict) -> None:

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.folders import exists, scratch_path
+
 
 def log_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 16) -> DataFrame:
     """Rows appended to a folder of JSON lines."""
@@ -47,6 +49,44 @@ def escalations(turns: DataFrame, threshold: float) -> DataFrame:
     return turns.groupBy("episode").applyInPandasWithState(step, schema, "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def episode_registry(events: DataFrame, weight: float = 0.5, idle: str = "1 hour") -> DataFrame:
+    """instance, steps, score, reason: one row an episode, when it is finalised for the first time.
+
+    events: instance, ord, kind (start, step, finalize, terminate), official and
+    recall (of the rewards, null: 0).  Starting again or after the end changes
+    nothing, and neither does a second finalize.  An episode that is cut off is
+    scored by what it reached.  The state of an episode that is silent for
+    ``idle`` goes with reason "expired" and a score of 0.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            steps, over = state.get
+            state.remove()
+            if not over:
+                yield pd.DataFrame([(key[0], steps, 0.0, "expired")], columns=["instance", "steps", "score", "reason"])
+            return
+        steps, over = state.get if state.exists else (-1, False)  # -1: not started
+        out = []
+        for r in pd.concat(list(batches)).sort_values("ord").itertuples():
+            if over or steps < 0 and r.kind != "start":
+                continue
+            if r.kind == "start":
+                steps = max(steps, 0)
+            elif r.kind == "step":
+                steps += 1
+            else:
+                score = sum(w * (0.0 if pd.isna(x) else float(x)) for w, x in ((weight, r.official), (1.0 - weight, r.recall)))
+                out.append((key[0], steps, score, "terminated" if r.kind == "terminate" else "finalized"))
+                over = True
+        state.update((steps, over))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["instance", "steps", "score", "reason"])
+
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return events.groupBy("instance").applyInPandasWithState(step, "instance string, steps long, score double, reason string", "steps long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def running_stats(observations: DataFrame) -> DataFrame:
     """successes and total by signature and model, updated as observations come."""
     return observations.groupBy("signature", "model").agg(F.count_if("success").alias("successes"), F.count("*").alias("total"))
@@ -70,7 +110,18 @@ def gated_write(rows: DataFrame, path: str, checkpoint: str, keys: list[str]) ->
 
 
 def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, as a table."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+    """What a stream gives for all that is there now, as a table in the shared folder.
+
+    Each micro-batch has a folder of its own, so a replayed one overwrites
+    itself; in complete mode the last one is the result.  Nothing goes through
+    the driver.
+    """
+    spark, root = rows.sparkSession, scratch_path(rows.sparkSession, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
+
+    rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, f"{root}/out"):
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select(*rows.columns)
