@@ -44,6 +44,14 @@ def run(spark, benchmark: str, recipe: str, data: str, out: str) -> None:
     if benchmark == "query":
         QUERIES[recipe](spark, data).write.mode("overwrite").parquet(f"{out}/{recipe}")
         return
+    if benchmark == "agent" and recipe == "cycle":
+        from .plans.loop_queries import agent_cycle
+
+        loops.report(rows_of(agent_cycle(spark, data, out)["paired"]), out, "paired")
+        return
+    if recipe in ("skills", "sft", "rl"):
+        loops.Cycle(spark, out).run(tasks(spark, data), mechanisms=(recipe,))
+        return
     if recipe in ("cycle", "4cycle"):
         book = None
         for n in range(4 if recipe == "4cycle" else 1):

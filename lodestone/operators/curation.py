@@ -185,8 +185,16 @@ def shuffled(rows: DataFrame, seed: int, *key: str) -> DataFrame:
 
 
 def curation_counts(rows: DataFrame) -> DataFrame:
-    """Counters of demonstration curation over flags passed, complete, has_target, fallback_used, opd_used."""
+    """Counters of demonstration curation over flags passed, complete, has_target, fallback_used, opd_used.
+
+    With domain and task_id also how many tasks remain, and how many rows once
+    every domain is repeated to the size of the largest.
+    """
     kept = F.col("passed") & F.col("complete")
+    if {"domain", "task_id"} <= set(rows.columns):
+        by = rows.where(kept & F.col("has_target")).groupBy("domain").agg(F.count_distinct(F.col("task_id").cast("string")).alias("_u"))
+        by = by.agg(F.coalesce(F.sum("_u"), F.lit(0)).alias("n_unique"), F.coalesce(F.max("_u") * F.count("*"), F.lit(0)).alias("n_balanced"))
+        return curation_counts(rows.drop("domain")).crossJoin(by)
     return rows.agg(
         F.count("*").alias("n_total"), F.count_if(F.col("passed") & ~F.col("complete")).alias("n_incomplete"), F.count_if(kept & ~F.col("has_target")).alias("n_without_target"),
         F.count_if(kept & F.col("has_target")).alias("n_kept"), F.count_if(kept & F.col("fallback_used")).alias("n_fallback"), F.count_if(kept & F.col("opd_used")).alias("n_opd"),

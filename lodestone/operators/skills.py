@@ -170,6 +170,12 @@ def distill(rows: DataFrame, distiller: Callable[[str, list[dict], list[str], li
     return said.unionByName(before.join(few.select("signature").distinct(), "signature", "left_anti"))
 
 
+def router_text(prompt: Column, response: Column | None = None) -> Column:
+    """What a text router reads: the prompt, and below it the small model's answer if that is to count."""
+    text = F.coalesce(prompt, F.lit(""))
+    return text if response is None else F.concat(text, F.lit("\n<SMALL_RESPONSE>\n"), F.coalesce(response, F.lit("")))
+
+
 def parse_tool_call(text: Column) -> Column:
     """name and arguments (JSON text) of the first tagged call; nulls if there is none that parses."""
     body = F.nullif(F.regexp_extract(text, r"(?s)<tool_call>\s*(.*?)\s*</tool_call>", 1), F.lit(""))

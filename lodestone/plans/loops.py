@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import row_index
 from ..operators import curation as C
 from ..operators import messages as M
 from ..operators import models
@@ -17,26 +19,100 @@ from ..operators import skills as S
 from ..operators import traces as T
 from ..sources import clients
 from ..sources import jsonl as J
+from ..sources.folders import delete, exists, scratch_path
 
 
-def collect(tasks: DataFrame, cycle: int = 0, samples: int = 3, router: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Traces of tasks from recorded (here: made-up) outcomes, routed by a router if there is one."""
+Router = Callable[[DataFrame], DataFrame]
+
+
+def collect(tasks: DataFrame, cycle: int = 0, samples: int = 3, router: Router | None = None, threshold: float = 0.5) -> DataFrame:
+    """Traces of tasks from recorded (here: made-up) outcomes, routed by a router if there is one.
+
+    Samples stand for the turns of a repair loop, too: up to the first that passes.
+    """
     rows = T.mock_traces(tasks, samples, cycle)
+    turn = lambda k: F.struct(T.mock_success(F.col("task_id"), "small", cycle, k).alias("success"), F.concat(F.lit(f"# small {k}\n"), F.col("task_id")).alias("completion"))
+    turns = F.array(*[turn(k) for k in range(samples)])
+    done = F.array_position(F.transform(turns, lambda t: t["success"]), True).cast("int")
+    rows = rows.withColumn("small_turns", F.when(done > 0, F.slice(turns, F.lit(1), F.greatest(done, F.lit(1)))).otherwise(turns))
+    rows = rows.withColumn("small_completion", F.try_element_at("small_turns", F.lit(1))["completion"]).withColumn("large_completion", F.concat(F.lit("# large\n"), F.col("task_id")))
     rows = router(rows).withColumn("policy_route", models.route(F.col("prob"), threshold)) if router else rows.withColumn("policy_route", F.lit("small"))
     needed = T.large_needed(F.col("small_success"), F.col("policy_route"))
     return T.with_costs(rows.withColumn("large_skipped", ~needed).withColumn("round", F.lit(cycle)))
 
 
-def build_cache(tasks: DataFrame, cache: DataFrame | None, client: clients.ModelClient, failures: str | None = None) -> DataFrame:
-    """The cache with what it lacked: the last of repeated tasks, less those cached, called; failures go aside."""
+def signature_router(traces: DataFrame) -> Router:
+    """The smoothed share of samples, by dataset, that need the large model."""
+    name = F.coalesce("dataset", F.lit(""))
+    rates = T.binomial_examples(traces).groupBy(name.alias("_d")).agg(((F.sum("label") + F.lit(1.0)) / (F.count("*") + F.lit(2.0))).alias("prob"))
+    return lambda rows: rows.withColumn("_d", name).join(rates, "_d", "left").withColumn("prob", F.coalesce("prob", F.lit(0.5))).drop("_d")
+
+
+def vector_router(traces: DataFrame, encoder: Callable | None = None) -> Router:
+    """Class-balanced logistic regression on embedded prompts, from all samples of the traces."""
+    encoder = encoder or models.hashed_encoder()
+    embedded = lambda df: models.embed(df, "prompt", encoder).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).drop("embedding")
+    model = models.fit_logistic(models.complemented(embedded(T.binomial_examples(traces)).select("features", "label")))
+    return lambda rows: models.probability(model, embedded(rows)).drop("features")
+
+
+def text_router(traces: DataFrame, response: bool = False) -> Router:
+    """The text router on prompts, or on prompts and small's answers: whom does large rescue?"""
+    text = S.router_text(F.col("prompt"), F.col("small_completion") if response else None)
+    label = T.rescue(F.col("small_success"), F.col("large_success")).cast("int")
+    fitted = models.TextRouter().fit(traces.withColumn("_text", text).withColumn("_label", label), "_text", "_label")
+    return lambda rows: fitted.transform(rows.withColumn("_text", text)).drop("_text", "words", "pairs")
+
+
+def build_cache(tasks: DataFrame, path: str, client: clients.ModelClient, failures: str | None = None) -> tuple[DataFrame, int]:
+    """The cache at ``path`` with what it lacked, and how many calls failed.
+
+    The last of repeated tasks, less those cached, are called once; answers are
+    appended by one committed job, so a rerun after a crash calls only what is
+    still missing; failures go aside, and their folder goes when there are none.
+    """
+    spark = tasks.sparkSession
     keyed = T.last_wins(tasks, "task_id", "ord").drop("first_seen").withColumn("cache_key", C.cache_key(F.col("task_id"), F.col("prompt"), "large", 0.0, 1024, 2))
-    todo = keyed if cache is None else C.pending(keyed, cache, ["cache_key"])
-    got = clients.collect(todo, client, "large")
-    good = F.coalesce("error", F.lit("")) == ""
+    known = exists(spark, path)
+    todo = C.pending(keyed, J.read_keyed(spark, path), ["cache_key"]) if known else keyed
+    held = scratch_path(spark, "calls")
+    answers = F.struct("success", "error", "completion", "code", "latency", "prompt_tokens", "completion_tokens").alias("result")
+    # written first, so that no call is made twice
+    clients.collect(todo, client, "large").select("cache_key", "task_id", F.lit("large").alias("model"), "error", answers).write.parquet(held)
+    called = spark.read.parquet(held)
     if failures:
-        J.write_jsonl(got.where(~good), failures)
-    new = got.where(good).select("cache_key", F.struct("success", "error", "completion", "code", "latency", "prompt_tokens", "completion_tokens").alias("result"))
-    return new if cache is None else cache.select("cache_key", "result").unionByName(new)
+        failed = J.write_split(called, path, failures, append=known)
+    else:
+        failed = called.where(F.coalesce("error", F.lit("")) != "").count()
+        J.write_jsonl(C.without_errors(called), path, append=known)
+    delete(spark, held)
+    return J.read_keyed(spark, path), failed
+
+
+def collect_chunks(tasks: DataFrame, path: str, chunk: int, run: Callable[[DataFrame], DataFrame], order: str = "ord", retries: int = 3, reload: Callable[[], None] = lambda: None) -> int:
+    """Collect in chunks of the ordered tasks, one folder each, and go on where an earlier run ended; how many rows there are.
+
+    A chunk that was not committed whole is collected anew, up to ``retries``
+    times with ``reload`` between; collection stops after a short chunk.
+    """
+    spark, numbered, number, total = tasks.sparkSession, row_index(tasks, order, "_i"), 0, 0
+    while True:
+        target = f"{path}/chunk={number}"
+        part = numbered.where((F.col("_i") >= number * chunk) & (F.col("_i") < (number + 1) * chunk)).drop("_i")
+        for attempt in range(retries):
+            if exists(spark, f"{target}/_SUCCESS"):
+                break
+            try:
+                run(part).write.mode("overwrite").json(target)
+            except Exception:
+                if attempt == retries - 1:
+                    raise
+                reload()
+        rows = spark.read.text(target).count()
+        total += rows
+        if rows < chunk:
+            return total
+        number += 1
 
 
 def ablation(traces: DataFrame, router_large) -> DataFrame:
@@ -61,6 +137,44 @@ def curate(episodes: list[DataFrame]) -> DataFrame:
     return C.balanced(C.first_wins(kept, ["domain", "task_id"], ["file_ord", "ord"]).drop("file_ord"))
 
 
+def agent_rows(traces: DataFrame, contexts: DataFrame, skills: DataFrame, seed: int = 0, max_steps: int = 100, name: str = "agent") -> DataFrame:
+    """Rows for reinforcement learning of agents: system prompt with tools, first user message, and how to start the episode.
+
+    traces: domain, task_id, m, ord; contexts: domain, system, tools (of the
+    domain's first task); skills: domain, procedure.  Traces without messages
+    are left out (``skipped_agents`` counts them).
+    """
+    rows = row_index(traces.where(F.coalesce(F.size("m"), F.lit(0)) > 0), "ord", "index").join(contexts, "domain").join(skills, "domain", "left")
+    first = M.first_user(F.col("m"))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    start = F.struct(
+        F.lit(name).alias("name"), "domain", F.col("task_id").cast("string").alias("task_id"), F.lit(seed).alias("seed"), F.lit(max_steps).alias("max_steps"),
+        F.coalesce("procedure", F.lit("")).alias("skill_text"), first.alias("expected_initial_user"),
+    )
+    return rows.select(
+        F.lit(name).alias("data_source"), F.array(message("system", F.concat("system", F.coalesce("tools", F.lit("")))), message("user", first)).alias("prompt"), F.col("domain").alias("ability"),
+        F.struct(F.lit("rule").alias("style"), F.lit("environment").alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit("train").alias("split"), "index", start.alias("interaction_kwargs")).alias("extra_info"),
+    )
+
+
+def skipped_agents(traces: DataFrame) -> DataFrame:
+    return traces.agg(F.count_if(F.coalesce(F.size("m"), F.lit(0)) == 0).alias("skipped"), F.count("*").alias("n"))
+
+
+def call_arguments(base: str, temperature: float = 0.0, max_tokens: int | None = None, thinking: bool | None = None, key: str = "EMPTY") -> dict:
+    """The arguments of a model endpoint; what is None is left to the endpoint."""
+    more = {"max_tokens": max_tokens, "extra_body": None if thinking is None else {"chat_template_kwargs": {"enable_thinking": thinking}}}
+    return {"api_base": base, "api_key": key, "temperature": temperature} | {k: v for k, v in more.items() if v is not None}
+
+
+def gates(pairs: DataFrame, examples: DataFrame, least: int = 12) -> DataFrame:
+    """Whether there are enough tuning rows, and router examples of both labels."""
+    counted = examples.agg(F.count_if(F.col("label") == 0).alias("n_small"), F.count_if(F.col("label") == 1).alias("n_large"))
+    both = (F.col("n_small") > 0) & (F.col("n_large") > 0)
+    return pairs.agg(F.count("*").alias("n_pairs")).crossJoin(counted).withColumn("enough_pairs", F.col("n_pairs") >= least).withColumn("both_labels", both)
+
+
 @dataclass
 class Cycle:
     """One closed loop over task traces, written below ``root``/cycle=N."""
@@ -69,6 +183,7 @@ class Cycle:
     root: str
     number: int = 0
     stages: list[str] = field(default_factory=list)
+    fit: Callable[[DataFrame], Router] = vector_router
 
     def path(self, name: str) -> str:
         return f"{self.root}/cycle={self.number}/{name}"
@@ -78,22 +193,62 @@ class Cycle:
         self.stages.append(name)
         return self.spark.read.parquet(self.path(name))
 
-    def run(self, tasks: DataFrame, previous: DataFrame | None = None) -> dict[str, DataFrame]:
-        """collect, skill statistics, diagnostics, tuning pairs, rows for learning, threshold, evaluation, ablation."""
+    def run(self, tasks: DataFrame, previous: DataFrame | None = None, mechanisms: tuple[str, ...] = ("skills", "sft", "rl", "router")) -> dict[str, DataFrame]:
+        """collect, skill statistics, diagnostics, tuning pairs, rows for learning, router, threshold, evaluation, ablation.
+
+        The router learns from the training shards' samples, its threshold from
+        its own predictions on the calibration shard, and the held-out shard is
+        collected with both.  mechanisms: what a single-mechanism recipe wants.
+        """
         out: dict[str, DataFrame] = {}
         train = C.sharded(tasks, 5, [0, 2, 3])
         out["traces"] = self.keep("traces", collect(train, self.number))
-        stats = S.stats(S.observations(out["traces"]))
-        out["skill_stats"] = self.keep("skill_stats", S.merge_stats(previous, stats) if previous is not None else stats)
         out["diagnostics"] = self.keep("diagnostics", T.diagnostics(out["traces"]))
-        out["sft_pairs"] = self.keep("sft_pairs", C.sft_pairs(out["traces"].withColumn("large_completion", F.col("prompt")).withColumn("small_turns", F.array().cast("array<struct<success:boolean,completion:string>>"))))
-        out["rl_rows"] = self.keep("rl_rows", C.rl_rows(train, "train"))
-        calibration = collect(C.sharded(tasks, 5, [1]), self.number)
-        prob = F.col("prob")
-        scored = calibration.withColumn("prob", T.need_large(F.col("small_success"), F.col("large_success")).cast("double"))
-        out["threshold"] = self.keep("threshold", R.choose_threshold(R.sweep(scored, prob, "verified", 1, 99)))
-        held = collect(C.sharded(tasks, 5, [4]), self.number)
-        out["ablation"] = self.keep("ablation", ablation(held, F.col("policy_route") == "large"))
+        if "skills" in mechanisms:
+            stats = S.stats(S.observations(out["traces"]))
+            out["skill_stats"] = self.keep("skill_stats", S.merge_stats(previous, stats) if previous is not None else stats)
+        if "sft" in mechanisms:
+            out["sft_pairs"] = self.keep("sft_pairs", C.sft_pairs(out["traces"]))
+        if "rl" in mechanisms:
+            out["rl_rows"] = self.keep("rl_rows", C.rl_rows(train, "train"))
+        held = C.sharded(tasks, 5, [4])
+        if "router" in mechanisms:
+            if "sft" in mechanisms:
+                out["gates"] = self.keep("gates", gates(out["sft_pairs"], T.binomial_examples(out["traces"])))
+            router = self.fit(out["traces"])
+            out["calibration"] = self.keep("calibration", router(collect(C.sharded(tasks, 5, [1]), self.number)))
+            out["threshold"] = self.keep("threshold", R.choose_threshold(R.sweep(out["calibration"], F.col("prob"), "verified", 1, 99)))
+            chosen = out["threshold"].first()
+            out["held_out"] = self.keep("held_out", collect(held, self.number, router=router, threshold=chosen["threshold"] if chosen else 0.5))
+        else:
+            out["held_out"] = self.keep("held_out", collect(held, self.number))
+        out["ablation"] = self.keep("ablation", ablation(out["held_out"], F.col("policy_route") == "large"))
+        return out
+
+
+@dataclass
+class AgentCycle(Cycle):
+    """One closed loop over agent episodes: curation, rows for learning, an online router, paired evaluation."""
+
+    threshold: float = 0.5
+
+    def run(self, episodes: DataFrame, contexts: DataFrame, skills: DataFrame, held_out: DataFrame, baseline: DataFrame) -> dict[str, DataFrame]:
+        """episodes: domain, task_id, m, passed, complete, branch, opd_used, ord; held_out and baseline: domain, task_id, reward (held_out also m)."""
+        out = {"episodes": self.keep("episodes", episodes)}
+        out["counts"] = self.keep("counts", C.curation_counts(episodes.withColumn("has_target", M.has_target(F.col("m"))).withColumn("fallback_used", F.lit(False))))
+        out["demonstrations"] = self.keep("demonstrations", curate([out["episodes"]]))
+        out["rl_rows"] = self.keep("rl_rows", agent_rows(episodes, contexts, skills, seed=self.number))
+        # every decision point of a passed episode goes on; the last one of a failed episode hands over
+        points = out["episodes"].select("domain", "task_id", "passed", "m", F.posexplode(M.decision_points(F.col("m"), 3)).alias("i", "prefix"))
+        points = points.where(F.col("passed") | (F.col("i") == 0)).withColumn("label", (~F.col("passed")).cast("int"))
+        features = points.select("domain", "task_id", "prefix", "label", M.router_features(F.slice("m", F.lit(1), F.col("prefix"))).alias("f")).select("domain", "task_id", "prefix", "label", "f.*")
+        out["examples"] = self.keep("examples", features)
+        out["weights"] = self.keep("weights", models.fit_descent_on(out["examples"].withColumn("key", F.concat_ws("|", "domain", "task_id", "prefix")), list(M.FEATURES), key="key"))
+        weights = {r["name"]: r["weight"] for r in out["weights"].collect()}  # one row a feature
+        scored = held_out.select("domain", "task_id", "reward", M.router_features(F.col("m")).alias("f")).select("domain", "task_id", "reward", "f.*")
+        bias = weights.pop("bias")
+        out["held_out"] = self.keep("held_out", scored.withColumn("escalated", M.linear_score({n: F.col(n) for n in weights}, weights, bias) >= self.threshold))
+        out["paired"] = self.keep("paired", R.mcnemar(R.paired(baseline, out["held_out"], ["domain", "task_id"])))
         return out
 
 
@@ -111,6 +266,10 @@ RECIPES = {
     ("code", "4cycle"): "four closed loops, skill statistics carried over",
     ("code", "baselines"): "routing methods compared on the held-out shard",
     ("code", "ablation"): "variants of the deployed policy",
+    ("code", "skills"): "one mechanism alone: skill statistics",
+    ("code", "sft"): "one mechanism alone: tuning pairs",
+    ("code", "rl"): "one mechanism alone: rows for reinforcement learning",
+    ("agent", "cycle"): "one closed loop over agent episodes",
     ("agent", "features"): "router features of agent episodes",
     ("agent", "paired"): "paired test of two result sets",
 }

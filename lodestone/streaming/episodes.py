@@ -49,23 +49,17 @@ def escalations(turns: DataFrame, threshold: float) -> DataFrame:
     return turns.groupBy("episode").applyInPandasWithState(step, schema, "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def episode_registry(events: DataFrame, weight: float = 0.5, idle: str = "1 hour") -> DataFrame:
+def episode_registry(events: DataFrame, weight: float = 0.5) -> DataFrame:
     """instance, steps, score, reason: one row an episode, when it is finalised for the first time.
 
     events: instance, ord, kind (start, step, finalize, terminate), official and
     recall (of the rewards, null: 0).  Starting again or after the end changes
-    nothing, and neither does a second finalize.  An episode that is cut off is
-    scored by what it reached.  The state of an episode that is silent for
-    ``idle`` goes with reason "expired" and a score of 0.
+    nothing, and neither does a second finalize.  An episode that is cut off
+    (terminate) is scored by what it reached.  The state of an episode is a
+    number and a flag.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            steps, over = state.get
-            state.remove()
-            if not over:
-                yield pd.DataFrame([(key[0], steps, 0.0, "expired")], columns=["instance", "steps", "score", "reason"])
-            return
         steps, over = state.get if state.exists else (-1, False)  # -1: not started
         out = []
         for r in pd.concat(list(batches)).sort_values("ord").itertuples():
@@ -80,11 +74,9 @@ def episode_registry(events: DataFrame, weight: float = 0.5, idle: str = "1 hour
                 out.append((key[0], steps, score, "terminated" if r.kind == "terminate" else "finalized"))
                 over = True
         state.update((steps, over))
-        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["instance", "steps", "score", "reason"])
 
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return events.groupBy("instance").applyInPandasWithState(step, "instance string, steps long, score double, reason string", "steps long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("instance").applyInPandasWithState(step, "instance string, steps long, score double, reason string", "steps long, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def running_stats(observations: DataFrame) -> DataFrame:

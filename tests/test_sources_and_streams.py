@@ -65,11 +65,84 @@ def test_clients():
     assert fixed["success"] and fixed["latency"] == 2.0 and fixed["prompt_tokens"] == 4
 
 
-def test_cache_is_built_once(spark):
+def test_cache_is_built_once(spark, tmp_path):
     tasks = spark.createDataFrame([("t1", "p1", 0), ("t2", "p2", 1), ("t1", "p1", 2)], "task_id string, prompt string, ord int")
-    first = loops.build_cache(tasks, None, clients.mock_client).cache()
-    again = loops.build_cache(tasks, first, lambda *_: 1 / 0)
-    assert again.select("cache_key").distinct().count() == first.count()
+    path, aside = str(tmp_path / "cache"), str(tmp_path / "failures")
+
+    def down(task, role):
+        return clients.result(error="down") if task["task_id"] == "t2" else clients.mock_client({"task_id": "t1"}, "large")
+
+    first, failed = loops.build_cache(tasks, path, lambda t, r: {**down(t, r), "error": "down" if t["task_id"] == "t2" else ""}, aside)
+    assert failed == 1 and first.count() == 1 and spark.read.json(aside).count() == 1
+    second, failed = loops.build_cache(tasks, path, lambda t, r: {**clients.mock_client(t, r), "error": ""} if t["task_id"] == "t2" else 1 / 0, aside)
+    assert failed == 0 and second.count() == 2 and not (tmp_path / "failures").exists()
+    assert loops.build_cache(tasks, path, lambda *_: 1 / 0)[0].count() == 2
+
+
+def test_the_last_appended_line_of_a_key_counts(spark, tmp_path):
+    """A later job's line counts, whatever the sizes and names of its files."""
+    path = str(tmp_path / "log")
+    rows = lambda v, n: spark.createDataFrame([("k" if i == 0 else f"x{v}{i}", v * 50 if i else v) for i in range(n)], "cache_key string, model string")
+    J.write_jsonl(rows("old", 1).coalesce(1), path, append=True)
+    __import__("time").sleep(0.05)
+    J.write_jsonl(rows("new", 400).coalesce(1), path, append=True)
+    got = {r["cache_key"]: r["model"] for r in J.read_keyed(spark, path, "cache_key string, model string").collect()}
+    assert got["k"] == "new" and len(got) == 400
+    lines = J.read_ordered(spark, [path], "cache_key string, model string").orderBy("file_ord", "line_no").select("model").collect()
+    assert lines[0]["model"] == "old" and len(lines) == 401
+
+
+def test_chunks_go_on_and_are_retried(spark, tmp_path):
+    tasks = spark.range(25).select(F.col("id").alias("ord"))
+    calls = []
+
+    def run(part):
+        calls.append(part.count())
+        if len(calls) == 2:
+            raise OSError("lost")
+        return part
+
+    assert loops.collect_chunks(tasks, str(tmp_path / "c"), 10, run) == 25 and calls == [10, 10, 10, 5]
+    assert loops.collect_chunks(tasks, str(tmp_path / "c"), 10, run) == 25 and len(calls) == 4
+
+
+def test_distiller_falls_back_to_previous_lessons(spark):
+    from lodestone.operators import skills as S
+
+    obs = spark.createDataFrame([("a", "small", True, "c", "p", "1", 0), ("b", "small", True, "c", "p", "2", 1)], "signature string, model string, success boolean, completion string, prompt string, task_id string, ord int")
+    before = spark.createDataFrame([("a", ["old"], ["was"]), ("gone", ["kept"], None)], "signature string, pitfalls array<string>, patterns array<string>")
+
+    def distiller(name, rows, pitfalls, patterns):
+        if name == "a":
+            raise OSError("down")
+        return ["new"], []
+
+    got = {r["signature"]: (r["pitfalls"], r["patterns"]) for r in S.distill(obs, distiller, before).collect()}
+    assert got == {"a": (["old"], ["was"]), "b": (["new"], []), "gone": (["kept"], [])}
+
+
+def test_loops_train_their_router(spark, tmp_path):
+    tasks = spark.range(400).select(F.concat(F.lit("t"), "id").alias("task_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("dataset"), F.concat(F.lit("p "), F.col("id") % 7).alias("prompt"), F.col("id").alias("ord"))
+    done = loops.Cycle(spark, str(tmp_path)).run(tasks)
+    assert done["calibration"].where("prob > 0 AND prob < 1").count() == done["calibration"].count() > 0
+    assert done["sft_pairs"].where("source = 'self_repair'").count() > 0 and done["gates"].first()["both_labels"]
+    probs = done["held_out"].select("prob", "policy_route").distinct().collect()
+    assert len(probs) > 1 and all((r["policy_route"] == "large") == (r["prob"] >= done["threshold"].first()["threshold"]) for r in probs)
+
+
+def test_agent_rows(spark):
+    from pyspark.sql.types import StructType
+
+    from lodestone.operators import messages as M
+
+    kind = StructType().add("domain", "string").add("task_id", "string").add("ord", "long").add("m", __import__("pyspark.sql.types", fromlist=["ArrayType"]).ArrayType(M.MESSAGE))
+    df = spark.createDataFrame([("a", "1", 0, [("user", "q", None, None, None, None)]), ("a", "2", 1, None)], kind)
+    contexts, skills = spark.createDataFrame([("a", "policy", "[t]")], "domain string, system string, tools string"), spark.createDataFrame([], "domain string, procedure string")
+    row = loops.agent_rows(df, contexts, skills, seed=3).collect()
+    assert len(row) == 1 and [(m["role"], m["content"]) for m in row[0]["prompt"]] == [("system", "policy[t]"), ("user", "q")]
+    assert row[0]["extra_info"]["interaction_kwargs"]["expected_initial_user"] == "q" and row[0]["extra_info"]["interaction_kwargs"]["seed"] == 3
+    assert tuple(loops.skipped_agents(df).first()) == (1, 2)
+    assert loops.call_arguments("u", max_tokens=5) == {"api_base": "u", "api_key": "EMPTY", "temperature": 0.0, "max_tokens": 5}
 
 
 def test_retry_gets_through_after_an_error(spark, tmp_path):
