@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, scratch_path
+
 #: Words, as every operator of this subpackage cuts them (Java and Python regex).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset and all run on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"file:///tmp/lodestone-{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def fresh(columns: list[str], *stems: str) -> list[str]:
     """Names made from the stems that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
@@ -63,7 +54,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
-        self.root = f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = scratch_path(spark, name)
+        _open.append(self)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -87,9 +79,21 @@ class Scratch:
         if path.startswith("file:"):  # works after the session's end, too
             shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
             return
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(self.spark, path)
+
+
+#: What has been opened and not closed yet.
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch_closed(*kept: Scratch) -> Iterator[None]:
+    """Deletes what is opened inside when it ends: for results that have been written by then."""
+    before = len(_open)
+    yield
+    for scratch in [x for x in _open[before:] if x not in kept]:
+        scratch.close()
+        _open.remove(scratch)
 
 
 def dense_bytes(cells: DataFrame, count: int):

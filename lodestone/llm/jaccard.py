@@ -377,8 +377,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     component_id is the smallest doc_id reachable by links, the row's own
     included.  Null and empty texts, and texts without words, have no shingles
     and are linked with nothing; rows of equal id belong together; a null id
-    gets a null component.  An empty table gives an empty result; other columns
-    are not read.
+    gets a null component; texts of any length are compared whole.  An empty
+    table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -463,7 +463,10 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
 def without_near_copies(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with the same columns.
 
-    Rows with null id stay.
+    Rows with null id, and rows that repeat an id that stays, stay; null and
+    empty texts are near to nothing; of ties the smallest id stays; texts of any
+    length are compared whole; an empty table gives an empty result; further
+    columns, of whatever name, pass through.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-copies")
     found = similar(docs, k, scratch)

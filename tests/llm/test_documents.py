@@ -98,6 +98,38 @@ def test_rules_on_odd_rows(spark, odd_documents, no_documents, labels):
     assert kept.columns == odd_documents.columns and kept.where("n_words <> 'clash'").count() == 0
 
 
+def test_verdicts_equal_the_list_by_hand(spark):
+    """kept of the query: the base rules, then the first learned rule that holds, on statistics counted by brute force."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learned = rules.train(docs, labels)
+    got = {r["doc_id"]: r for r in rules.quality_verdicts(docs, labels).collect()}
+    assert learned.rules
+    for r in docs.collect():
+        n, chars, symbols, lines, repeats = brute_statistics(r["text"])
+        x = {"n_words": float(n), "word_length": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_lines_per_word": lines / max(n, 1), "repeat_share": repeats / max(n, 1)}
+        failed = n < 50 or 100 * repeats > 50 * n
+        first = next((k for k in learned.rules if all(x[f] <= c if op == "<=" else x[f] > c for f, op, c in k.terms)), None)
+        assert (got[r["doc_id"]]["base_failed"], got[r["doc_id"]]["kept"]) == (failed, not failed and (first is None or not first.reject))
+
+
+# names of other columns
+
+
+def test_no_column_clashes(spark, labels):
+    """Columns that bear the names that operators use inside keep their values."""
+    names = ["_k", "copies", "last_hash", "_tag", "_copies", "_last", "_turn", "_id", "_cuts", "_n_words", "N_WORDS", "kept", "c0", "component_id", "_copy", "hash", "_s"]
+    text = " ".join(prose(1, 90))
+    rows = [(i, (text if i % 3 == 0 else " ".join(prose(50 + i, 80))), "s" if i % 2 else None, 5, *[f"{n}-{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    outs = {"mix": mixing.mixed_documents(df), "cut": passages.without_repeats(df), "rules": rules.quality_documents(df, labels.limit(0)), "near": jaccard.without_near_copies(df)}
+    for kind, out in outs.items():
+        assert out.columns == df.columns, kind
+        found = out.collect()
+        assert found and all(tuple(r[4:]) == tuple(f"{n}-{r['doc_id']}" for n in names) for r in found), kind
+    assert outs["near"].count() == 9 and {r["doc_id"] for r in outs["cut"].where("text = ''").collect()} == {3, 6, 9}
+
+
 # op9
 
 
@@ -502,6 +534,15 @@ def test_knapsack_prices_are_best():
         assert sum(prices[n - 1] * k for n, k in got.items()) == pytest.approx(best[20])
 
 
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    encode = packing.Encoder(packing.tokenizer_path())
+    for text in (" " * 2_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert encode(text) == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_places_every_token(spark, odd_documents, no_documents):
     from tokenizers import Tokenizer
 
