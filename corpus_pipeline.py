@@ -4,6 +4,12 @@ Each stage reads what its predecessor kept, as Parquet, and its decisions take
 effect: rejected documents and near copies go, repeated passages are cut out,
 rows come as often as the mix takes them, and the last stage says where the
 pieces of each stand.
+
+Odd rows are treated alike in all stages: null and empty texts fail the base
+rules and go; texts of any length are read whole; repeated rows share one
+verdict; rows with null id are kept by near copies and passages; ties go to the
+smallest id; an empty table gives an empty result; further columns of
+``documents``, of whatever name, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import jaccard, mixing, packing, passages, rules
-from lodestone.llm.common import Scratch, table
+from lodestone.llm.common import Scratch, scratch_closed, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         scratch = Scratch(spark, f"pipeline-{name}")
-        docs = scratch.save(stage(spark, docs, sf_dir), "out")
+        with scratch_closed():  # what the stage wrote for itself goes once its result is written
+            docs = scratch.save(stage(spark, docs, sf_dir), "out")
         if last is not None:
             last.close()
         last = scratch
