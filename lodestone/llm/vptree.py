@@ -32,8 +32,8 @@ SHARD_ROWS = 100_000
 #: Rows of a leaf, about, vantage points of a node at most, and children that a query visits before the others.
 LEAF, FAN, FIRST = 24, 1024, 4
 QUERY_BLOCK = 512
-#: Rows of which vantage points of shards are drawn, at most: those of smallest id hash.
-SAMPLE_ROWS = 1 << 16
+#: Rows of which vantage points of shards are drawn, those of smallest id hash: so many a shard, and at most.
+SHARD_SAMPLE, SAMPLE_ROWS = 16, 1 << 16
 #: How much the pruning is relaxed; measured recall is in the README.
 FACTOR = 4.5
 RESULT = "query_id long, vec_id long, score double"
@@ -212,7 +212,7 @@ def _cells(rows: DataFrame, sizes: dict[int, int], shard_rows: int, dtype) -> di
     """Vantage points by vector length, drawn from at most SAMPLE_ROWS rows: about one for shard_rows rows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     want = {dim: max(-(-n // shard_rows), min(cores, -(-n // 4096))) for dim, n in sizes.items()}
-    drawn = rows.where(F.col("dim").isin([d for d, w in want.items() if w > 1])).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("dim", "embedding").collect()
+    drawn = rows.where(F.col("dim").isin([d for d, w in want.items() if w > 1])).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, SHARD_SAMPLE * sum(want.values()))).select("dim", "embedding").collect()
     out, first = {}, 0
     for dim in sorted(sizes):
         sample = np.array([r["embedding"] for r in drawn if r["dim"] == dim], dtype).reshape(-1, dim)
