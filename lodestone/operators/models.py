@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,37 +134,18 @@ class TextRouter:
 
         idf = self.idf
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def weigh(index: pd.Series, value: pd.Series) -> pd.Series:
-            def one(i, v):
-                w = (1 + np.log(np.asarray(v, float))) * idf[np.asarray(i, int)]
-                norm = np.sqrt((w * w).sum())
-                return w / norm if norm else w
-
-            return pd.Series([one(i, v) for i, v in zip(index, value)])
-
         @F.udf(VectorUDT())
-        def sparse(index, value):
-            return SparseVector(len(idf), index, value)
+        def weigh(counts):  # no built-in takes logarithms of a sparse vector's entries
+            w = (1 + np.log(counts.values)) * idf[counts.indices]
+            return SparseVector(counts.size, counts.indices, w)
 
-        counted = self.vectorizer.transform(terms)
-        # term indices and counts, weighted in batches and put back into sparse vectors
-        parts = F.from_json(F.to_json(F.struct(_sparse_parts("counts").alias("p"))), "p struct<indices array<int>, values array<double>>")["p"]
-        weighted = counted.withColumn("_p", parts).withColumn("_w", weigh(F.col("_p.indices"), F.col("_p.values")))
-        return weighted.withColumn("features", sparse(F.col("_p.indices"), F.col("_w"))).drop("_p", "_w", "counts", "terms")
+        weighted = self.vectorizer.transform(terms).withColumn("_w", weigh("counts"))
+        return Normalizer(inputCol="_w", outputCol="features", p=2.0).transform(weighted).drop("_w", "counts", "terms")
 
     def transform(self, rows: DataFrame, name: str = "prob") -> DataFrame:
         return probability(self.model, self.vectors(self._terms(rows, self.text)), name).drop("features")
 
 
-def _sparse_parts(column: str) -> Column:
-    @F.udf("indices array<int>, values array<double>")
-    def parts(v):
-        return [int(i) for i in v.indices], [float(x) for x in v.values]
-
-    return parts(F.col(column))
-
-
 def fit_descent(x: np.ndarray, y: np.ndarray, epochs: int = 500, rate: float = 0.1, l2: float = 0.01) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent from zero weights and the smoothed log-odds; needs both labels."""
     positives = float(y.sum())

@@ -94,15 +94,24 @@ def render(name: Column, when_to_use: Column, procedure: Column, pitfalls: Colum
     return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), step, lambda a: a["text"])
 
 
-def book(spark, lessons: DataFrame | None = None) -> DataFrame:
-    """signature, procedure text: the fixed sections, with distilled lessons where there are any."""
+def book_parts(spark, lessons: DataFrame | None = None) -> DataFrame:
+    """signature, when_to_use, steps, pitfalls, patterns: the fixed sections, with distilled lessons where there are any."""
     rows = spark.createDataFrame([(k, w, p) for k, (w, p) in SECTIONS.items()], "signature string, when_to_use string, steps array<string>")
     none = F.array().cast("array<string>")
     if lessons is not None:
         rows = rows.join(lessons, "signature", "left")
     else:
         rows = rows.withColumn("pitfalls", none).withColumn("patterns", none)
-    return rows.select("signature", render(F.col("signature"), F.col("when_to_use"), F.col("steps"), F.coalesce("pitfalls", none), F.coalesce("patterns", none)).alias("procedure"))
+    return rows.select("signature", "when_to_use", "steps", F.coalesce("pitfalls", none).alias("pitfalls"), F.coalesce("patterns", none).alias("patterns"))
+
+
+def rendered(parts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """signature, procedure text."""
+    return parts.select("signature", render(F.col("signature"), F.col("when_to_use"), F.col("steps"), F.col("pitfalls"), F.col("patterns"), max_chars).alias("procedure"))
+
+
+def book(spark, lessons: DataFrame | None = None) -> DataFrame:
+    return rendered(book_parts(spark, lessons))
 
 
 def with_skill(rows: DataFrame, skills: DataFrame) -> DataFrame:

@@ -8,30 +8,34 @@ import os
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.skills import rendered
 from .jsonl import rows_of, write_report
 
 DEFAULT_EMBEDDING = "hashed-words"
 
 
-def write_book(folder: str, book: DataFrame, stats: DataFrame) -> None:
-    """skill.md (procedures in order of signature) and skill_statistics.json; one row a signature."""
+_PARTS = "signature string, when_to_use string, steps array<string>, pitfalls array<string>, patterns array<string>"
+
+
+def write_book(folder: str, parts: DataFrame, stats: DataFrame) -> None:
+    """skill.md (procedures in order of signature) and skill_statistics.json (parts, procedures, counts); one row a signature."""
     os.makedirs(folder, exist_ok=True)
-    rows = sorted(rows_of(book), key=lambda r: r["signature"])
+    rows = sorted(rows_of(parts.join(rendered(parts), "signature")), key=lambda r: r["signature"])
     with open(os.path.join(folder, "skill.md"), "w", encoding="utf-8") as f:
         f.write("\n\n---\n\n".join(r["procedure"] for r in rows))
     write_report(os.path.join(folder, "skill_statistics.json"), {"skills": rows, "stats": rows_of(stats)})
 
 
 def read_book(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The book and its statistics; empty ones where there is no file."""
+    """The book, its procedures rendered anew from their parts, and its statistics; empty ones where there is no file."""
     skills, stats = [], []
     path = os.path.join(folder, "skill_statistics.json")
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        skills = [(r["signature"], r["procedure"]) for r in data["skills"]]
+        skills = [tuple(r[c] for c in ("signature", "when_to_use", "steps", "pitfalls", "patterns")) for r in data["skills"]]
         stats = [(r["signature"], r["model"], r["successes"], r["total"]) for r in data["stats"]]
-    return spark.createDataFrame(skills, "signature string, procedure string"), spark.createDataFrame(stats, "signature string, model string, successes long, total long")
+    return rendered(spark.createDataFrame(skills, _PARTS)), spark.createDataFrame(stats, "signature string, model string, successes long, total long")
 
 
 def save_router(folder: str, model: LogisticRegressionModel, meta: dict) -> None:

@@ -202,7 +202,12 @@ def test_artifacts(spark, tmp_path):
     from lodestone.sources import artifacts as A
 
     stats = spark.createDataFrame([("coding", "small", 1, 2)], "signature string, model string, successes long, total long")
-    A.write_book(str(tmp_path), S.book(spark), stats)
+    A.write_book(str(tmp_path), S.book_parts(spark), stats)
+    # an edited part shows in the procedure, as books are rendered when they are read
+    data = json.loads((tmp_path / "skill_statistics.json").read_text())
+    data["skills"][0]["pitfalls"] = ["a pitfall of hand"]
+    (tmp_path / "skill_statistics.json").write_text(json.dumps(data))
+    assert A.read_book(spark, str(tmp_path))[0].where("procedure LIKE '%- a pitfall of hand%'").count() == 1
     book, again = A.read_book(spark, str(tmp_path))
     assert book.count() == 3 and again.collect() == stats.collect() and A.read_book(spark, str(tmp_path / "none"))[0].count() == 0
     assert (tmp_path / "skill.md").read_text().count("\n\n---\n\n") == 2
