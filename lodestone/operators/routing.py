@@ -82,8 +82,9 @@ def with_random_budget(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 def with_cache_hits(train: DataFrame, rows: DataFrame) -> DataFrame:
     """hit: whether a training row of the same prompt has an answer that passed."""
-    known = train.where(F.col("small_success") | F.col("large_success")).select(F.col("prompt")).distinct().withColumn("_hit", F.lit(True))
-    return rows.join(known, "prompt", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    key = F.sha2("prompt", 256)  # prompts themselves are not moved
+    known = train.where(F.col("small_success") | F.col("large_success")).select(key.alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    return rows.withColumn("_key", key).join(known, "_key", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit", "_key")
 
 
 def exact_cache(train: DataFrame, rows: DataFrame) -> DataFrame:
