@@ -133,7 +133,9 @@ def curate(episodes: list[DataFrame]) -> DataFrame:
         e = e.withColumn("file_ord", F.lit(i))
         rows = e if rows is None else rows.unionByName(e)
     kept = rows.where(F.col("passed") & F.col("complete")).withColumn("m", M.opd_mask(F.col("m"), F.col("branch"), F.col("opd_used")))
-    kept = kept.withColumn("m", M.merge_tool_runs(M.drop_pre_user(M.clean(F.col("m"))))).where(M.has_target(F.col("m")))
+    for step in (M.clean, M.drop_pre_user, M.merge_tool_runs):  # one after another: each reads its input more than once
+        kept = kept.withColumn("m", step(F.col("m")))
+    kept = kept.where(M.has_target(F.col("m")))
     return C.balanced(C.first_wins(kept, ["domain", "task_id"], ["file_ord", "ord"]).drop("file_ord"))
 
 
