@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, html, jaccard, lm, mixing, packing, passages, rules, vptree, warc
+from . import chat, divergence, html, jaccard, lm, mixing, packing, passages, rules, spelling, toxicity, vptree, warc
 from .common import table
 
 
@@ -50,6 +51,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op5_collinear_chaining, op6_cross_entropy_difference, op7_wrapper_induction, op8_mix_sources, op9_jaccard_token_groups, op10_best_fit_packing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op4_chat_prefix_tree": chat.CHAT_SQL, "op8_mix_sources": mixing.MIX_SQL}
+
+def op12_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxic_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_vantage_point_trees, op4_chat_prefix_tree, op5_collinear_chaining, op6_cross_entropy_difference, op7_wrapper_induction, op8_mix_sources, op9_jaccard_token_groups, op10_best_fit_packing, op11_spelling_variants, op12_toxic_spans, op13_source_divergence)}
+
+SQL: dict[str, str] = {"op1_warc": warc.WARC_SQL, "op4_chat_prefix_tree": chat.CHAT_SQL, "op8_mix_sources": mixing.MIX_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL, "op13_source_divergence": divergence.AUDIT_SQL}
