@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .letters import Stretch, distinct, gathered, stretches, wide_mask
+from .letters import Stretch, distinct, gathered, stretches, strings, wide_mask
 from .textvec import mix, piece_hashes
 
 #: Labelled rows that are learned from, at most: those of smallest key hash.
@@ -31,6 +31,8 @@ MAX_CUES = 65_536
 LEAST_RATIO, LEAST_SHARE = 12.0, 0.8
 #: Bytes of the beginnings and ends of words that are features.
 BEGINNINGS, ENDS = (3, 4, 5, 6, 7, 8, 9), (3, 4, 5)
+#: Bytes of text that are tagged together (a longer text is one chain of its own).
+TOGETHER = 2 << 20
 #: Hash buckets of features.
 BUCKETS = 1 << 18
 #: One in so many documents is held out of learning.
@@ -83,7 +85,7 @@ def cues(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for s in stretches(batch.column(0), wide_mask):
+            for s in stretches(batch.column(0), wide_mask, TOGETHER):
                 words = Words.of(s)
                 pair, _ = distinct(words.token, s.text)
                 parts = words.parts()[:, _CUES]
@@ -112,30 +114,28 @@ def cues(rows: DataFrame) -> np.ndarray:
 
 
 def segments(rows: DataFrame, marks: np.ndarray) -> DataFrame:
-    """rows: doc_id, text, toxic -> stretches of at most SEGMENT tokens: place, features (int32) and labels (int8) of each."""
+    """rows: doc_id, text, toxic -> stretches of at most SEGMENT tokens: place, text, and a label (int8) for each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for s in stretches(batch.column(1), wide_mask):
+            for s in stretches(batch.column(1), wide_mask, TOGETHER):
+                if not len(s.text):
+                    continue
                 words = Words.of(s)
-                parts = words.parts()
-                ids, marked = buckets(parts), np.isin(parts[:, _CUES], marks).any(axis=1)
-                label = marked[words.token] & toxic[s.first + s.text]
-                n, edge = len(words.token), np.append(True, s.text[1:] != s.text[:-1])
+                marked = np.isin(words.parts()[:, _CUES], marks).any(axis=1)
+                label = (marked[words.token] & toxic[s.first + s.text]).astype(np.int8)
+                edge = np.append(True, s.text[1:] != s.text[:-1])
                 begin = np.flatnonzero(edge)
-                of = np.cumsum(edge) - 1
-                place = np.arange(n) - begin[of]
+                place = np.arange(len(edge)) - begin[np.cumsum(edge) - 1]
                 cut = np.flatnonzero(place % SEGMENT == 0)
-                none, own = np.int32(BUCKETS), ids[words.token]
-                own[:, -2] = np.where(edge, none, np.roll(own[:, -2], 1))
-                own[:, -1] = np.where(np.roll(edge, -1), none, np.roll(own[:, -1], -1))
-                ends = np.append(cut[1:], n)
-                out = [(s.first + int(s.text[i]), int(place[i]), own[i:j].tobytes(), label[i:j].astype(np.int8).tobytes(), bool(label[i:j].any())) for i, j in zip(cut, ends)]
-                docs = batch.column(0).take(pa.array([o[0] for o in out], pa.int64()))
-                yield pa.RecordBatch.from_arrays([docs, pa.array([o[1] for o in out], pa.int64()), *(pa.array([o[k] for o in out], t) for k, t in ((2, pa.binary()), (3, pa.binary()), (4, pa.bool_())))], names=["doc_id", "place", "features", "labels", "some"])
+                ends = np.append(cut[1:], len(edge))
+                text = strings(s.data, s.start[cut], s.end[ends - 1])
+                labels = pa.array([label[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())
+                docs = batch.column(0).take(pa.array(s.first + s.text[cut]))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(place[cut]), text, labels, pa.array(np.maximum.reduceat(label, cut) > 0)], names=["doc_id", "place", "text", "labels", "some"])
 
-    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id string, place long, features binary, labels binary, some boolean")
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id string, place long, text string, labels binary, some boolean")
 
 
 @dataclass
@@ -152,12 +152,8 @@ class Field:
         """The probability of state 1 of each token; tokens of one text (consecutive) are one chain."""
         if not len(text):
             return np.zeros(0)
-        ids, w = buckets(words.parts()), np.append(self.weights, 0)
-        own, left, right = w[ids[:, :-2]].sum(axis=1), w[ids[:, -2]], w[ids[:, -1]]
         edge = np.append(True, text[1:] != text[:-1])
-        odds = own[words.token]
-        odds[1:] += np.where(edge[1:], 0, left[words.token[:-1]])
-        odds[:-1] += np.where(edge[1:], 0, right[words.token[1:]])
+        odds = log_odds(words.token, ~edge[1:], self.weights[buckets(words.parts())])
         e, a, s = np.exp(np.clip(odds, -30, 30)), np.exp(self.steps), np.exp(self.start)
         one = np.ones(len(e))
         # the odds of the states before and at a token, then those of what follows; a text's first token forgets what was before it
@@ -168,6 +164,14 @@ class Field:
         return both / (1 + both)
 
 
+def log_odds(token: np.ndarray, goes_on: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What a token's word (row of weights) and the words beside it in the same text say of it."""
+    odds = weights[:, :-2].sum(axis=1)[token]
+    odds[1:] += weights[token[:-1], -2] * goes_on
+    odds[:-1] += weights[token[1:], -1] * goes_on
+    return odds
+
+
 def odds_along(p: np.ndarray, q: np.ndarray, s: np.ndarray, u: np.ndarray, first: float) -> np.ndarray:
     """r[t] = (p[t] r[t-1] + q[t]) / (s[t] r[t-1] + u[t]), exactly, by runs of about sqrt(n) that advance together."""
     n = len(p)
@@ -192,28 +196,29 @@ def odds_along(p: np.ndarray, q: np.ndarray, s: np.ndarray, u: np.ndarray, first
     return out.T.ravel()[:n]
 
 
-def fit(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 80, rate: float = 0.15, penalty: float = 1.0) -> Field:
-    """Maximum likelihood with a quadratic penalty, by Adam over all stretches at once."""
-    n, longest = len(features), max(map(len, labels))
-    used, ids = np.unique(np.concatenate(features), return_inverse=True)
-    ids = ids.reshape(-1, features[0].shape[1])
-    size = np.array([len(x) for x in labels])
-    row, col = np.repeat(np.arange(n), size), np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+def fit(words: Words, text: np.ndarray, labels: np.ndarray, steps: int = 80, rate: float = 0.15, penalty: float = 1.0) -> Field:
+    """Maximum likelihood with a quadratic penalty, by Adam over all texts at once; a label for each token."""
+    _, row = np.unique(text, return_inverse=True)
+    size = np.bincount(row)
+    n, longest, token = len(size), int(size.max()), words.token
+    col, goes_on = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), (row[1:] == row[:-1]).astype(float)
+    ids = buckets(words.parts())
+    used, ids = np.unique(ids, return_inverse=True)
+    ids = ids.reshape(-1, 3 + len(BEGINNINGS) + len(ENDS))
     y = np.zeros((n, longest), np.int8)
-    y[row, col] = np.concatenate(labels)
+    y[row, col] = labels
     inside = np.arange(longest)[None, :] < size[:, None]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
     begun = np.bincount(y[:, 0], minlength=2).astype(float)
-    flat = ids.ravel()
-    live = (used < BUCKETS).astype(float)  # the last id says that there is no neighbour
+    each = lambda values, at: np.bincount(at, weights=values, minlength=len(ids))
     x = np.zeros(len(used) + 6)
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
         w, start, move = x[: len(used)], x[-6:-4], x[-4:].reshape(2, 2)
-        odds = np.zeros((n, longest))
-        odds[row, col] = w[ids].sum(axis=1)
-        e, a = np.exp(np.clip(odds, -30, 30)), np.exp(move)
+        e = np.ones((n, longest))
+        e[row, col] = np.exp(np.clip(log_odds(token, goes_on, w[ids]), -30, 30))
+        a = np.exp(move)
         ahead = np.empty((longest, n, 2))
         now = np.stack([np.full(n, np.exp(start[0])), np.exp(start[1]) * e[:, 0]], axis=1)
         ahead[0] = now / now.sum(axis=1, keepdims=True)
@@ -235,14 +240,16 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 80, r
                 before = what @ a.T
                 back = np.where(inside[:, t, None], before / before.sum(axis=1, keepdims=True), back)
         wrong = (p - y)[row, col]
+        of_word = np.repeat(each(wrong, token)[:, None], ids.shape[1], axis=1)
+        of_word[:, -2], of_word[:, -1] = each(wrong[1:] * goes_on, token[:-1]), each(wrong[:-1] * goes_on, token[1:])
         g = np.empty_like(x)
-        g[: len(used)] = np.bincount(flat, weights=np.repeat(wrong, ids.shape[1]), minlength=len(used)) * live + penalty * w
+        g[: len(used)] = np.bincount(ids.ravel(), weights=of_word.ravel(), minlength=len(used)) + penalty * w
         g[-6:-4] = np.array([n - p[:, 0].sum(), p[:, 0].sum()]) - begun + penalty * start
         g[-4:] = (pairs - seen).ravel() + penalty * move.ravel()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     weights = np.zeros(BUCKETS)
-    weights[used[used < BUCKETS]] = x[: len(used)][used < BUCKETS]
+    weights[used] = x[: len(used)]
     return Field(weights, x[-6:-4].copy(), x[-4:].reshape(2, 2).copy(), np.zeros(4))
 
 
@@ -274,7 +281,7 @@ def tagged(docs: DataFrame, field: Field) -> DataFrame:
         for batch in batches:
             x = _summed(np.zeros(0), np.zeros(0, np.int64), batch.num_rows)
             of, first, last, best = ([np.zeros(0, np.int64)] for _ in range(4))
-            for s in stretches(batch.column(1), wide_mask):
+            for s in stretches(batch.column(1), wide_mask, TOGETHER):
                 p = field.marginals(Words.of(s), s.text)
                 x[s.first : s.first + s.rows] = _summed(p, s.text, s.rows)
                 # runs of toxic tokens, in code points from their text's start
@@ -317,14 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, bo
         return None
     parts = scratch.save(segments(rows, marks), "segments")
     order = [F.xxhash64("doc_id", "place"), F.col("doc_id"), F.col("place")]
-    got = parts.where("some").orderBy(*order).limit(WITH_TOXIC).unionByName(parts.where("NOT some").orderBy(*order).limit(WITHOUT)).select("features", "labels").toPandas()
-    labelled = [np.frombuffer(x, np.int8) for x in got["labels"]]
-    field = fit([np.frombuffer(x, np.int32).reshape(len(y), -1) for x, y in zip(got["features"], labelled)], labelled)
+    got = parts.where("some").orderBy(*order).limit(WITH_TOXIC).unionByName(parts.where("NOT some").orderBy(*order).limit(WITHOUT)).select("text", "labels").toPandas()
+    [stretch] = stretches(pa.array(got["text"], pa.string()), wide_mask, 1 << 62)
+    field = fit(Words.of(stretch), stretch.text, np.frombuffer(b"".join(got["labels"]), np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _summed(np.zeros(0), np.zeros(0, np.int64), batch.num_rows)
-            for s in stretches(batch.column(0), wide_mask):
+            for s in stretches(batch.column(0), wide_mask, TOGETHER):
                 x[s.first : s.first + s.rows] = _summed(field.marginals(Words.of(s), s.text), s.text, s.rows)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
