@@ -99,12 +99,12 @@ SELECT f.instance::VARCHAR AS instance, (SELECT count(*) FROM e JOIN s USING (in
 def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes as a stream of start, step and finalize events; a second end changes nothing."""
     from ..streaming import episodes as S
-    from .stream_queries import _events
+    from .stream_queries import MONTHS, _events
 
     e = _events(spark, sf_dir)
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "finalize").otherwise("step")
-    e = e.select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("ord"), kind.alias("kind"), F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("official"), F.lit(1.0).alias("recall"))
-    return rounded(S.drain(S.episode_registry(e), "episodes"))
+    e = e.select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("ord"), kind.alias("kind"), F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("official"), F.lit(1.0).alias("recall"), "ts")
+    return rounded(S.drain(S.episode_registry(e, idle=MONTHS), "episodes"))
 
 
 @query(f"WITH {TRACES}, n AS (SELECT source AS domain, count(DISTINCT task_id) FILTER (small_success) AS u FROM traces WHERE source IS NOT NULL GROUP BY source) SELECT sum(u)::BIGINT AS n_unique, (max(u) * count(*) FILTER (u > 0))::BIGINT AS n_balanced FROM n")
