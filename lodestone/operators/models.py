@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import ratio
+from ..functions import ratio, row_index, running_before
 
 MAX_FEATURES, MIN_DOCS = 40_000, 2
 
@@ -27,9 +28,12 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def fit_logistic(rows: DataFrame, features: str = "features", label: str = "label") -> LogisticRegressionModel:
     """L2-regularised (C = 1), class-balanced logistic regression on unscaled features."""
-    weighted = balanced_weights(rows.withColumn(label, F.col(label).cast("double")), label)
-    n = rows.count()
-    return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000, tol=1e-9).fit(weighted)
+    rows = rows.select(features, F.col(label).cast("double").alias(label)).persist(StorageLevel.DISK_ONLY)  # counted, weighed and read in every step
+    try:
+        n = rows.count()
+        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000, tol=1e-9).fit(balanced_weights(rows, label))
+    finally:
+        rows.unpersist()
 
 
 def complemented(rows: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
@@ -56,15 +60,16 @@ def route(prob: Column, threshold: float) -> Column:
 def folds(rows: DataFrame, group: str, splits: int) -> DataFrame:
     """A fold for each group: the largest groups dealt first, round robin (deterministic)."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("_c"))
-    order = Window.orderBy(F.col("_c").desc(), F.col(group))
-    return rows.join(sizes.select(group, ((F.row_number().over(order) - 1) % splits).alias("fold")), group)
+    dealt = row_index(sizes, [F.col("_c").desc(), F.col(group)], "_i", keys=[group])
+    return rows.join(dealt.select(group, (F.col("_i") % splits).cast("int").alias("fold")), group)
 
 
 def auc(scored: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
-    """Area under the ROC curve by ranks: equal scores are summed first, then counted in order."""
-    steps = scored.groupBy(prob).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) == 0).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return steps.withColumn("_u", F.col("p") * (below + F.col("n") / 2)).agg(ratio(F.sum("_u"), F.sum("p") * F.sum("n")).alias("auc"))
+    """Area under the ROC curve by ranks: equal scores are summed first, then counted in order, range by range."""
+    steps = scored.groupBy(prob).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    below = running_before(steps, prob, {"_below": "n"}, keys=[prob])
+    half = F.col("p") * (2 * F.col("_below") + F.col("n"))  # whole numbers, so that no order of summing shows
+    return below.agg(ratio(F.sum(half.cast("decimal(38,0)")).cast("double"), 2.0 * F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def metrics(scored: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions
 from ..operators import messages as M
 from ..operators import models, verify
+from ..operators import traces as T
 from .message_queries import episodes
 from .registry import query, rounded
-from .views import table, tasks, traces
+from .views import TRACES, table, tasks, traces
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,32 @@ def router_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.metrics(models.grouped_cv(rows, "task")), 6)
 
 
+@query(f"""WITH {TRACES}, r AS (SELECT round(router_prob, 2)::DOUBLE AS prob, ((NOT small_success) AND large_success)::INT AS label FROM traces),
+s AS (SELECT prob, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM r GROUP BY prob),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT (SELECT round(sum(p * (2 * below + n))::DOUBLE / (2 * sum(p) * sum(n))::DOUBLE, 9) FROM b) AS auc, round(count(*) FILTER ((prob >= 0.5::DOUBLE) = (label = 1))::DOUBLE / count(*), 9) AS acc,
+  round(2 * count(*) FILTER (prob >= 0.5::DOUBLE AND label = 1) / (count(*) FILTER (prob >= 0.5::DOUBLE) + count(*) FILTER (label = 1))::DOUBLE, 9) AS f1_large,
+  round(avg((prob - label) * (prob - label)), 9) AS brier, count(*)::BIGINT AS n FROM r""")
+def score_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of given scores: ranks over ranges of the score."""
+    t = traces(spark, sf_dir)
+    return rounded(models.metrics(t.select(F.round("router_prob", 2).alias("prob"), T.rescue(F.col("small_success"), F.col("large_success")).cast("int").alias("label"))))
+
+
+@query("""WITH s AS (SELECT source, count(*) AS c FROM documents GROUP BY source), f AS (SELECT source, ((row_number() OVER (ORDER BY c DESC, source NULLS FIRST) - 1) % 5)::INT AS fold FROM s)
+SELECT doc_id, fold FROM documents JOIN f USING (source)""")
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.folds(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 5).select("doc_id", "fold")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents), b AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC) - 1 AS position FROM documents)
+SELECT position, doc_id, n_chars FROM a JOIN b USING (position)""")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows beside what was predicted for them, by place alone: documents in order, lengths from the longest on."""
+    d = table(spark, sf_dir, "documents")
+    return functions.positional_join(d.select("doc_id"), d.select("n_chars"), "doc_id", [F.col("n_chars").desc()])
+
+
 @query()
 def text_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text")).join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id")
@@ -88,7 +116,6 @@ def embedded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text router trained on the training shards decides on the held-out shard."""
     from ..operators import routing as R
-    from ..operators import traces as T
 
     t = traces(spark, sf_dir).withColumn("label", T.rescue(F.col("small_success"), F.col("large_success")).cast("int")).withColumn("text", F.col("prompt"))
     router = models.TextRouter().fit(t.where("shard IN (0, 2, 3)"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,6 +26,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, whose content goes when the driver ends."""
+    path = scratch_path(spark, name)
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:"):  # works after the session's end, too
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    try:
+        delete(spark, path)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

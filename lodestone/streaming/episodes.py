@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..sources.folders import exists, scratch_path
+from ..sources.folders import exists, temporary_path
 
 
 def log_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 16) -> DataFrame:
@@ -193,7 +193,7 @@ def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
     itself; in complete mode the last one is the result.  Nothing goes through
     the driver.
     """
-    spark, root = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    spark, root = rows.sparkSession, temporary_path(rows.sparkSession, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
