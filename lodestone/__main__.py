@@ -44,10 +44,15 @@ def run(spark, benchmark: str, recipe: str, data: str, out: str) -> None:
     if benchmark == "query":
         QUERIES[recipe](spark, data).write.mode("overwrite").parquet(f"{out}/{recipe}")
         return
-    if benchmark == "agent" and recipe == "cycle":
-        from .plans.loop_queries import agent_cycle
+    if benchmark == "agent" and recipe in ("cycle", "4cycle", "skills", "sft", "router"):
+        from .plans.loop_queries import agent_tables
 
-        loops.report(rows_of(agent_cycle(spark, data, out)["paired"]), out, "paired")
+        # one mechanism alone is a cycle of which one result is reported
+        done = loops.agent_cycles(spark, out, 4 if recipe == "4cycle" else 1, *agent_tables(spark, data))
+        wanted = {"skills": "lessons", "sft": "demonstrations"}.get(recipe, "paired")
+        for cycle in done:
+            rows = cycle[wanted].groupBy("domain").count() if wanted == "demonstrations" else cycle[wanted]
+            loops.report(rows_of(rows), out, wanted)
         return
     if recipe in ("skills", "sft", "rl"):
         loops.Cycle(spark, out).run(tasks(spark, data), mechanisms=(recipe,))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import messages as M
 from ..operators import routing as R
-from ..sources.folders import scratch_path
+from ..operators import skills as S
+from ..sources.folders import temporary_path
 from . import loops
-from .message_queries import episodes
+from .message_queries import _FEATURES, episodes
 from .registry import query, rounded
 from .routing_queries import EVAL, TRAIN, sql_sweep
-from .views import TRACES, tasks, traces
+from .views import MESSAGES, TRACES, tasks, traces
 
 _RATIO = "coalesce(({0})::DOUBLE / nullif(({1})::DOUBLE, 0), 0)"
 
@@ -45,14 +47,14 @@ FROM x GROUP BY variant"""
 @query(_LOOP)
 def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collect, learn a router by dataset, calibrate it on its own predictions, collect the held-out shard with it, compare the variants."""
-    done = loops.Cycle(spark, scratch_path(spark, "closed-loop"), fit=loops.signature_router).run(tasks(spark, sf_dir))
+    done = loops.Cycle(spark, temporary_path(spark, "closed-loop"), fit=loops.signature_router).run(tasks(spark, sf_dir))
     return rounded(done["ablation"])
 
 
 @query()
 def vector_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with logistic regression on embedded prompts."""
-    done = loops.Cycle(spark, scratch_path(spark, "vector-loop")).run(tasks(spark, sf_dir), mechanisms=("router",))
+    done = loops.Cycle(spark, temporary_path(spark, "vector-loop")).run(tasks(spark, sf_dir), mechanisms=("router",))
     return rounded(done["ablation"], 6)
 
 
@@ -65,31 +67,74 @@ def response_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agent_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """episodes, contexts, skills, held-out and baseline results, from the events table."""
+    """episodes, contexts, attempts, held-out and the teacher's results, from the events table.
+
+    An episode passes if few of its messages are errors.
+    """
     e = episodes(spark, sf_dir).where(F.exists("m", lambda m: (m["role"] == "user") & (F.coalesce(m["content"], F.lit("")) != "")))
-    e = e.select("domain", F.col("episode").cast("string").alias("task_id"), "m", (F.col("episode") % 3 != 0).alias("passed"), F.lit(True).alias("complete"), F.lit(0).alias("branch"), F.lit(False).alias("opd_used"), F.col("episode").alias("ord"))
+    errors = F.size(F.filter("m", lambda m: m["role"] == "tool"))
+    e = e.select("domain", F.col("episode").cast("string").alias("task_id"), "m", (errors * _BAR <= F.size("m")).alias("passed"), F.lit(True).alias("complete"), F.col("episode").alias("ord"))
     held = F.col("ord") % 5 == 4
     contexts = e.select("domain").distinct().select("domain", F.concat(F.lit("Policy of "), "domain").alias("system"), F.lit("").alias("tools"))
-    skills = e.select("domain").distinct().select("domain", F.concat(F.lit("# Skill: "), "domain").alias("procedure"))
-    results = e.where(held).select("domain", "task_id", "m", F.when(F.col("ord") % 2 == 0, 1.0).otherwise(0.0).alias("reward"))
-    baseline = e.where(held).select("domain", "task_id", F.when(F.col("ord") % 3 == 0, 1.0).otherwise(0.0).alias("reward"))
-    return e.where(~held), contexts, skills, results, baseline
+    points = e.select("domain", "task_id", "m", "ord", F.explode(M.decision_points(F.col("m"), 3)).alias("prefix"))
+    attempts = points.where(~held).select("domain", "task_id", "prefix", ((F.col("ord") * 7 + F.col("prefix")) % 4 == 0).alias("verified"), F.col("m").alias("rescued"))
+    teacher = points.where(held).select("domain", "task_id", "prefix", F.when((F.col("ord") * 5 + F.col("prefix")) % 3 != 0, 1.0).otherwise(0.0).alias("reward"))
+    return e.where(~held), contexts, attempts, e.where(held).select("domain", "task_id", "m", F.when(F.col("passed"), 1.0).otherwise(0.0).alias("reward")), teacher
 
 
 def agent_cycle(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
     return loops.AgentCycle(spark, root).run(*agent_tables(spark, sf_dir))
 
 
-_HAS_USER = "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND props <> ''"
+#: Messages for each error that an episode may have and still pass.
+_BAR = 5
+_FEATURES_AT = _FEATURES.removeprefix(f"WITH {MESSAGES}, ")
+_N = len(M.FEATURES)
+_DOT = " + ".join(f"w{k} * {n}" for k, n in enumerate(M.FEATURES))
+_SIGMOID = f"(1 / (1 + exp(-greatest(-30, least(30, bias + {_DOT})))))"
+# the router's descent, a recursion over its weights
+_AGENT_LOOP = f"""WITH RECURSIVE {MESSAGES.replace('messages AS', 'said AS', 1)},
+i AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY ord) AS i FROM said),
+e AS (SELECT episode, count(*) FILTER (role = 'tool') * {_BAR} <= count(*) AS passed, episode % 5 = 4 AS held FROM said GROUP BY episode HAVING bool_or(role = 'user' AND content <> '')),
+ps AS (SELECT episode, list(i ORDER BY i) AS ps FROM i JOIN e USING (episode) WHERE role = 'tool' OR role = 'user' AND NOT contains(content, '{M.STOP}') GROUP BY episode),
+pt AS (SELECT episode, unnest(CASE WHEN len(ps) <= 3 THEN ps ELSE list_distinct([ps[round_even(j * (len(ps) - 1) / 2.0, 0)::INT + 1] FOR j IN range(3)]) END) AS prefix FROM ps),
+messages AS (SELECT (i.episode::BIGINT * 1000000 + prefix)::BIGINT AS episode, ord, role, tool_name, content, domain FROM i JOIN pt ON i.episode = pt.episode AND i.i <= prefix),
+f AS MATERIALIZED (SELECT episode // 1000000 AS ep, (episode % 1000000) AS prefix, * EXCLUDE (episode) FROM (WITH {_FEATURES_AT})),
+saved AS (SELECT ep, max(prefix) AS prefix FROM f JOIN e ON ep = e.episode WHERE NOT held AND NOT passed AND (ep * 7 + prefix) % 4 = 0 GROUP BY ep),
+x AS MATERIALIZED (SELECT f.*, 0 AS label FROM f JOIN e ON ep = e.episode WHERE NOT held AND passed UNION ALL SELECT f.*, 1 FROM f JOIN saved USING (ep, prefix)),
+d AS (
+  SELECT 0 AS step, {', '.join(f'0.0::DOUBLE AS w{k}' for k in range(_N))}, ln((sum(label) + 1.0::DOUBLE) / (count(*) - sum(label) + 1.0::DOUBLE)) AS bias FROM x
+  UNION ALL
+  SELECT max(step) + 1, {', '.join(f'max(w{k}) - 0.1::DOUBLE * (sum(err * {n}) / count(*) + 0.01::DOUBLE * max(w{k}))' for k, n in enumerate(M.FEATURES))}, max(bias) - 0.1::DOUBLE * avg(err)
+  FROM (SELECT d.*, x.*, {_SIGMOID} - label AS err FROM d, x WHERE step < 500) HAVING count(*) > 0),
+w AS MATERIALIZED (SELECT * FROM d WHERE step = 500),
+bar AS (SELECT avg({_SIGMOID}) AS bar FROM x, w),
+s AS (SELECT ep, min(prefix) AS prefix FROM f JOIN e ON ep = e.episode, w, bar WHERE held AND {_SIGMOID} >= bar GROUP BY ep),
+h AS (SELECT e.passed AS base, s.ep IS NOT NULL AS switched, CASE WHEN s.ep IS NULL THEN e.passed ELSE (e.episode * 5 + prefix) % 3 <> 0 END AS cand FROM e LEFT JOIN s ON e.episode = s.ep WHERE held)
+SELECT count(*)::BIGINT AS n, count(*) FILTER (base)::BIGINT AS base_passes, count(*) FILTER (cand)::BIGINT AS cand_passes, count(*) FILTER (cand AND NOT base)::BIGINT AS wins, count(*) FILTER (base AND NOT cand)::BIGINT AS losses,
+  count(*) FILTER (cand = base)::BIGINT AS ties, count(*) FILTER (switched)::BIGINT AS n_escalated, (SELECT count(*) FROM x WHERE label = 0)::BIGINT AS n_continue, (SELECT count(*) FROM x WHERE label = 1)::BIGINT AS n_escalate,
+  (SELECT count(*) FROM e WHERE NOT held AND NOT passed)::BIGINT AS n_failed FROM h"""
 
 
-@query(f"""WITH e AS ({_HAS_USER}), h AS (SELECT user_id % 2 = 0 AS cand, user_id % 3 = 0 AS base FROM e WHERE user_id % 5 = 4)
-SELECT count(*)::BIGINT AS n, count(*) FILTER (base)::BIGINT AS base_passes, count(*) FILTER (cand)::BIGINT AS cand_passes, count(*) FILTER (cand AND NOT base)::BIGINT AS wins, count(*) FILTER (base AND NOT cand)::BIGINT AS losses,
-  (count(*) - count(*) FILTER (cand <> base))::BIGINT AS ties FROM h""")
+@query(_AGENT_LOOP)
 def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curate, write rows for learning, learn the online router, score the held-out episodes, compare them in pairs."""
-    done = agent_cycle(spark, sf_dir, scratch_path(spark, "agent-loop"))
-    return done["paired"].select("n", "base_passes", "cand_passes", "wins", "losses", "ties")
+    """Rescue, curate, distil, learn the online router, let it hand over held-out episodes, compare in pairs with the student alone."""
+    done = agent_cycle(spark, sf_dir, temporary_path(spark, "agent-loop"))
+    paired = done["paired"].select("n", "base_passes", "cand_passes", "wins", "losses", "ties")
+    return paired.crossJoin(done["held_out"].agg(F.count_if("escalated").alias("n_escalated"))).crossJoin(done["counts"].select("n_continue", "n_escalate", "n_failed"))
+
+
+@query(f"""WITH {MESSAGES}, e AS (SELECT episode, domain, count(*) FILTER (role = 'tool') * {_BAR} <= count(*) AS passed FROM messages GROUP BY episode, domain HAVING bool_or(role = 'user' AND content <> '') AND episode % 5 <> 4),
+c AS (SELECT e.episode, domain, tool_name, ord FROM messages JOIN e USING (episode, domain) WHERE passed AND tool_name IS NOT NULL),
+r AS (SELECT DISTINCT episode, domain, dense_rank() OVER (PARTITION BY domain ORDER BY episode DESC) AS r FROM e WHERE passed),
+o AS (SELECT domain, episode, arg_min(tool_name, ord) AS name FROM c JOIN r USING (domain, episode) WHERE r <= 64 GROUP BY domain, episode),
+n AS (SELECT domain, name, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, name) AS k FROM o GROUP BY domain, name)
+SELECT domain, 'Most successful episodes call ' || name || ' first.' AS lesson FROM n WHERE k = 1""")
+def agent_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first cycle distils from its successful episodes, by domain."""
+    e = agent_tables(spark, sf_dir)[0]
+    told = e.select(F.col("domain").alias("signature"), "task_id", F.lit("student").alias("model"), F.col("passed").alias("success"), M.first_user(F.col("m")).alias("prompt"), S.transcript(F.col("m")).alias("completion"), "ord")
+    return S.distill(told, loops.common_calls).select(F.col("signature").alias("domain"), F.explode("patterns").alias("lesson"))
 
 
 @query("""WITH e AS (SELECT user_id AS instance, event_id AS ord, CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type = 'purchase' THEN 'finalize' ELSE 'step' END AS kind, value FROM events),
@@ -98,13 +143,13 @@ SELECT f.instance::VARCHAR AS instance, (SELECT count(*) FROM e JOIN s USING (in
   round(0.5::DOUBLE * (value >= 50)::INT + 0.5::DOUBLE * 1, 9) AS score, 'finalized' AS reason FROM f""")
 def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes as a stream of start, step and finalize events; a second end changes nothing."""
-    from ..streaming import episodes as S
+    from ..streaming import episodes as stream
     from .stream_queries import MONTHS, _events
 
     e = _events(spark, sf_dir)
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "finalize").otherwise("step")
     e = e.select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("ord"), kind.alias("kind"), F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("official"), F.lit(1.0).alias("recall"), "ts")
-    return rounded(S.drain(S.episode_registry(e, idle=MONTHS), "episodes"))
+    return rounded(stream.drain(stream.episode_registry(e, idle=MONTHS), "episodes"))
 
 
 @query(f"WITH {TRACES}, n AS (SELECT source AS domain, count(DISTINCT task_id) FILTER (small_success) AS u FROM traces WHERE source IS NOT NULL GROUP BY source) SELECT sum(u)::BIGINT AS n_unique, (max(u) * count(*) FILTER (u > 0))::BIGINT AS n_balanced FROM n")

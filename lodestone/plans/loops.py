@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from ..operators import skills as S
 from ..operators import traces as T
 from ..sources import clients
 from ..sources import jsonl as J
+from ..sources import versions
 from ..sources.folders import delete, exists, scratch_path
 
 
@@ -228,32 +230,124 @@ class Cycle:
         return out
 
 
+def common_calls(signature: str, exemplars: list[dict], pitfalls: list[str], patterns: list[str]) -> tuple[list[str], list[str]]:
+    """A distiller without a model: the calls that most successes make first, after what was known."""
+    first = Counter(next((line for line in e["completion"].splitlines() if "[tool_call " in line), "").partition("]:")[0].rpartition(" ")[2] for e in exemplars)
+    first.pop("", None)
+    said = [f"Most successful episodes call {name} first." for name, _ in sorted(first.items(), key=lambda x: (-x[1], x[0]))[:1]]
+    return pitfalls, [*(p for p in patterns if p not in said), *said]
+
+
+def escalated_at(points: DataFrame, router: dict[str, float]) -> DataFrame:
+    """domain, task_id, prefix: the first decision point at which the router hands over, of episodes that have one.
+
+    points: domain, task_id, prefix and the router's features; router: a weight
+    of each, bias and threshold (empty: it never hands over).
+    """
+    w = {n: router[n] for n in M.FEATURES if n in router}
+    hit = M.linear_score({n: F.col(n) for n in w}, w, router["bias"]) >= router["threshold"] if router else F.lit(False)
+    return points.where(hit).groupBy("domain", "task_id").agg(F.min("prefix").alias("prefix"))
+
+
+def features_at(points: DataFrame) -> DataFrame:
+    """points: domain, task_id, m, prefix and more -> the router's features of the messages up to the prefix in place of m."""
+    rest = [c for c in points.columns if c != "m"]
+    return points.select(*rest, M.router_features(F.slice("m", F.lit(1), F.col("prefix"))).alias("f")).select(*rest, "f.*")
+
+
 @dataclass
 class AgentCycle(Cycle):
-    """One closed loop over agent episodes: curation, rows for learning, an online router, paired evaluation."""
+    """One closed loop over agent episodes: rescues, demonstrations, lessons, rows for learning, an online router, paired evaluation."""
+
+    #: At this probability the teacher takes over; None: at the mean of the router's own examples.
+    threshold: float | None = None
+    distiller: Callable = common_calls
 
-    threshold: float = 0.5
+    def run(self, episodes: DataFrame, contexts: DataFrame, attempts: DataFrame, held_out: DataFrame, teacher: DataFrame, lessons: DataFrame | None = None, router: DataFrame | None = None) -> dict[str, DataFrame]:
+        """All stages, each written.
 
-    def run(self, episodes: DataFrame, contexts: DataFrame, skills: DataFrame, held_out: DataFrame, baseline: DataFrame) -> dict[str, DataFrame]:
-        """episodes: domain, task_id, m, passed, complete, branch, opd_used, ord; held_out and baseline: domain, task_id, reward (held_out also m)."""
+        episodes: domain, task_id, m, passed, complete, ord; attempts: domain,
+        task_id, prefix, verified, rescued (the messages with the teacher's end)
+        at decision points; held_out: domain, task_id, m, reward; teacher:
+        domain, task_id, prefix, reward, what the teacher reaches from a decision
+        point of a held-out episode; lessons (signature,
+        pitfalls, patterns) and router (name, weight) of the cycle before.
+        """
+        keys = ["domain", "task_id"]
         out = {"episodes": self.keep("episodes", episodes)}
-        out["counts"] = self.keep("counts", C.curation_counts(episodes.withColumn("has_target", M.has_target(F.col("m"))).withColumn("fallback_used", F.lit(False))))
-        out["demonstrations"] = self.keep("demonstrations", curate([out["episodes"]]))
-        out["rl_rows"] = self.keep("rl_rows", agent_rows(episodes, contexts, skills, seed=self.number))
-        # every decision point of a passed episode goes on; the last one of a failed episode hands over
-        points = out["episodes"].select("domain", "task_id", "passed", "m", F.posexplode(M.decision_points(F.col("m"), 3)).alias("i", "prefix"))
-        points = points.where(F.col("passed") | (F.col("i") == 0)).withColumn("label", (~F.col("passed")).cast("int"))
-        features = points.select("domain", "task_id", "prefix", "label", M.router_features(F.slice("m", F.lit(1), F.col("prefix"))).alias("f")).select("domain", "task_id", "prefix", "label", "f.*")
-        out["examples"] = self.keep("examples", features)
-        out["weights"] = self.keep("weights", models.fit_descent_on(out["examples"].withColumn("key", F.concat_ws("|", "domain", "task_id", "prefix")), list(M.FEATURES), key="key"))
-        weights = {r["name"]: r["weight"] for r in out["weights"].collect()}  # one row a feature
-        scored = held_out.select("domain", "task_id", "reward", M.router_features(F.col("m")).alias("f")).select("domain", "task_id", "reward", "f.*")
-        bias = weights.pop("bias")
-        out["held_out"] = self.keep("held_out", scored.withColumn("escalated", M.linear_score({n: F.col(n) for n in weights}, weights, bias) >= self.threshold))
-        out["paired"] = self.keep("paired", R.mcnemar(R.paired(baseline, out["held_out"], ["domain", "task_id"])))
+        mine = out["episodes"]
+        failed = mine.where(~F.col("passed")).select(*keys, "ord")
+        # of a failed episode the latest prefix from which the teacher made it
+        out["rescues"] = self.keep("rescues", M.first_rescue(attempts.join(failed, keys), keys, F.col("prefix").desc()))
+        saved = out["rescues"].select(*keys, F.col("rescued").alias("m"), F.lit(True).alias("passed"), F.lit(True).alias("complete"), F.col("prefix").alias("branch"), F.lit(True).alias("opd_used"), "ord")
+        alone = mine.select(*keys, "m", "passed", "complete", F.lit(0).alias("branch"), F.lit(False).alias("opd_used"), "ord")
+        out["demonstrations"] = self.keep("demonstrations", curate([alone, saved]))
+        out["curation"] = self.keep("curation", C.curation_counts(alone.unionByName(saved).withColumn("has_target", M.has_target(F.col("m"))).withColumn("fallback_used", F.lit(False))))
+        # every decision point of a passed episode goes on; that of a rescue hands over
+        points = mine.select(*keys, "passed", "m", F.explode(M.decision_points(F.col("m"), 3)).alias("prefix"))
+        labels = points.where("passed").select(*keys, "m", "prefix", F.lit(0).alias("label"))
+        labels = labels.unionByName(points.where("NOT passed").join(out["rescues"].select(*keys, "prefix"), [*keys, "prefix"]).select(*keys, "m", "prefix", F.lit(1).alias("label")))
+        out["examples"] = self.keep("examples", features_at(labels))
+        out["counts"] = self.keep("counts", loop_counts(mine.join(out["rescues"].select(*keys, F.lit(True).alias("corrected")), keys, "left"), out["examples"]))
+        counted = out["counts"].first()
+        if counted["n_continue"] and counted["n_escalate"]:
+            fitted = models.fit_descent_on(out["examples"].withColumn("key", F.concat_ws("|", *keys, "prefix")), list(M.FEATURES), key="key")
+            weights = {r["name"]: r["weight"] for r in fitted.collect()}  # one row a feature
+            names = {n: F.col(n) for n in M.FEATURES}
+            mean = F.avg(M.linear_score(names, {n: weights[n] for n in names}, weights["bias"]))
+            weights["threshold"] = out["examples"].agg(mean).first()[0] if self.threshold is None else self.threshold
+        else:  # one label says nothing: the router that is deployed stays, and without one the student keeps all
+            weights = {r["name"]: r["weight"] for r in router.collect()} if router is not None else {}
+        out["router"] = self.keep("router", self.spark.createDataFrame(sorted(weights.items()), "name string, weight double"))
+        # lessons of this cycle on top of those carried over
+        told = mine.select(F.col("domain").alias("signature"), "task_id", F.lit("student").alias("model"), F.col("passed").alias("success"), M.first_user(F.col("m")).alias("prompt"), S.transcript(F.col("m")).alias("completion"), "ord")
+        out["lessons"] = self.keep("lessons", S.distill(told, self.distiller, lessons))
+        none = F.array().cast("array<string>")
+        said = out["lessons"].select(F.col("signature").alias("domain"), S.render(F.col("signature"), F.lit(""), none, F.col("pitfalls"), F.col("patterns")).alias("procedure"))
+        out["rl_rows"] = self.keep("rl_rows", agent_rows(mine, contexts, said, seed=self.number))
+        # the held-out episodes with the router: from where it hands over, the teacher's reward counts
+        decisions = features_at(held_out.select(*keys, "m", F.explode(M.decision_points(F.col("m"), 3)).alias("prefix")))
+        switched = self.keep("switched", escalated_at(decisions, weights))
+        other = switched.join(teacher.select(*keys, "prefix", F.col("reward").alias("_reward")), [*keys, "prefix"], "left")
+        unknown = F.raise_error(F.concat(F.lit("no teacher's result: "), "domain", F.lit("/"), "task_id")).cast("double")
+        result = held_out.select(*keys, "reward").join(other, keys, "left").select(*keys, F.col("prefix").isNotNull().alias("escalated"), F.when(F.col("prefix").isNull(), F.col("reward")).otherwise(F.coalesce("_reward", unknown)).alias("reward"))
+        out["held_out"] = self.keep("held_out", result)
+        out["paired"] = self.keep("paired", R.mcnemar(R.paired(held_out, out["held_out"], keys)))
+        # the training episodes with the same router, for the next cycle: where it hands over, what the teacher did there counts
+        again = escalated_at(features_at(mine.select(*keys, "m", F.explode(M.decision_points(F.col("m"), 3)).alias("prefix"))), weights)
+        done = again.join(attempts.select(*keys, "prefix", "verified", "rescued"), [*keys, "prefix"]).select(*keys, "verified", "rescued")
+        took = F.coalesce("verified", F.lit(False))
+        rollout = mine.join(done, keys, "left").select(*keys, F.when(took, F.col("rescued")).otherwise(F.col("m")).alias("m"), (F.col("passed") & F.col("verified").isNull() | took).alias("passed"), "complete", "ord")
+        out["rollout"] = self.keep("rollout", rollout)
         return out
 
 
+def agent_cycles(spark: SparkSession, root: str, cycles: int, episodes: DataFrame, contexts: DataFrame, attempts: DataFrame, held_out: DataFrame, teacher: DataFrame, **options) -> list[dict[str, DataFrame]]:
+    """Closed loops one after another: lessons and router are carried on, and what router and teacher did is the next cycle's input.
+
+    These are versioned tables below ``root``; a run that was cut off goes on
+    after the last cycle that published all of them.
+    """
+    paths, done = {k: f"{root}/versions/{k}" for k in ("rollout", "lessons", "router")}, []
+    newest = [versions.latest(spark, p) for p in paths.values()]
+    for number in range(0 if None in newest else min(newest) + 1, cycles):
+        carried = {}
+        if number:
+            carried = {k: versions.read(spark, p, number - 1) for k, p in paths.items()}
+            episodes = carried.pop("rollout")
+        done.append(AgentCycle(spark, root, number, **options).run(episodes, contexts, attempts, held_out, teacher, **carried))
+        for k, p in paths.items():
+            if versions.latest(spark, p) != number:  # else published before the run was cut off
+                versions.publish(done[-1][k], p, f"cycle {number}")
+    return done
+
+
+def loop_counts(episodes: DataFrame, examples: DataFrame) -> DataFrame:
+    """How many failed episodes were rescued, and how many examples say go on or hand over."""
+    found = episodes.agg(F.count_if(~F.col("passed")).alias("n_failed"), F.count_if("corrected").alias("n_corrected"))
+    return found.crossJoin(examples.agg(F.count_if(F.col("label") == 0).alias("n_continue"), F.count_if(F.col("label") == 1).alias("n_escalate")))
+
+
 def report(rows: list[dict], folder: str, name: str) -> None:
     """A report as JSON and Markdown."""
     os.makedirs(folder, exist_ok=True)
@@ -272,6 +366,10 @@ RECIPES = {
     ("code", "sft"): "one mechanism alone: tuning pairs",
     ("code", "rl"): "one mechanism alone: rows for reinforcement learning",
     ("agent", "cycle"): "one closed loop over agent episodes",
+    ("agent", "4cycle"): "four closed loops, lessons and rollouts carried over",
+    ("agent", "skills"): "one mechanism alone: lessons of the episodes",
+    ("agent", "sft"): "one mechanism alone: curated demonstrations",
+    ("agent", "router"): "one mechanism alone: the online router, paired with the student",
     ("agent", "features"): "router features of agent episodes",
     ("agent", "paired"): "paired test of two result sets",
 }
