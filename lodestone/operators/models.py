@@ -9,13 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ratio, row_index, running_before
+from ..sources.folders import temporary_path
 
 MAX_FEATURES, MIN_DOCS = 40_000, 2
 
@@ -99,56 +101,64 @@ def grouped_cv(rows: DataFrame, group: str, features: str = "features", label: s
     return out
 
 
-def text_features(text: str = "text", min_docs: int = MIN_DOCS, most: int = MAX_FEATURES) -> list:
-    """Words of two or more characters and their pairs, as two count vectors."""
-    return [
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\w\w+", gaps=False, toLowercase=True),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=most),
-    ]
+def _literal(values: np.ndarray) -> Column:
+    """A constant array: parsed from text once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 class TextRouter:
-    """TF-IDF (one and two words, sublinear counts, unit length) with logistic regression."""
+    """TF-IDF (one and two words of two or more characters, sublinear counts, unit length) with logistic regression.
+
+    Counts are written once and their weights are worked out on their arrays, so
+    neither fit nor prediction leaves the JVM.
+    """
 
     def __init__(self, most: int = MAX_FEATURES, min_docs: int = MIN_DOCS):
         self.most, self.min_docs = most, min_docs
 
     def _terms(self, rows: DataFrame, text: str) -> DataFrame:
-        tokens, pairs, _ = text_features(text)
-        return pairs.transform(tokens.transform(rows)).withColumn("terms", F.concat("words", "pairs")).drop("words", "pairs")
+        words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\w\w+", gaps=False, toLowercase=True)
+        return NGram(n=2, inputCol="words", outputCol="pairs").transform(words.transform(rows)).withColumn("terms", F.concat("words", "pairs")).drop("words", "pairs")
+
+    def _weights(self, counts: str) -> tuple[Column, Column]:
+        """Places and weights (not yet of unit length) of a count vector's entries."""
+        held, idf = F.unwrap_udt(counts), _literal(self.idf)
+        return held["indices"], F.zip_with(held["values"], held["indices"], lambda v, i: (1 + F.log(v)) * F.get(idf, i))
 
     def fit(self, rows: DataFrame, text: str = "text", label: str = "label") -> TextRouter:
         if rows.select(label).distinct().count() < 2:
             raise ValueError("the training rows hold one class only")
-        terms = self._terms(rows, text)
+        spark, self.text = rows.sparkSession, text
+        terms = self._terms(rows.select(text, label), text)
         self.vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(self.min_docs), vocabSize=self.most).fit(terms)
-        vocabulary = {w: i for i, w in enumerate(self.vectorizer.vocabulary)}
-        spark, n = rows.sparkSession, terms.count()
-        df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        known = spark.createDataFrame(list(vocabulary.items()), "term string, i int")  # at most ``most`` rows
-        self.idf = np.ones(len(vocabulary))
-        for r in df.join(F.broadcast(known), "term").collect():
-            self.idf[r["i"]] = np.log((1 + n) / (1 + r["df"])) + 1
-        self.text = text
-        self.model = fit_logistic(self.vectors(terms).select("features", F.col(label).alias("label")))
+        held = temporary_path(spark, "counts")
+        self.vectorizer.transform(terms).select("counts", F.col(label).alias("label")).write.parquet(held)
+        counted = spark.read.parquet(held)
+        seen = IDF(inputCol="counts", outputCol="unused").fit(counted)
+        self.idf = np.log((1 + seen.numDocs) / (1 + np.asarray(seen.docFreq))) + 1
+        # vectors are structs of size, places and values; written as such they are read as vectors
+        at, weights = self._weights("counts")
+        sized = counted.select("label", at.alias("at"), weights.alias("w")).withColumn("n", _length("w"))
+        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(self.idf)).alias("size"), F.col("at").alias("indices"), F.transform("w", lambda x: x / F.col("n")).alias("values"))
+        path = temporary_path(spark, "features")
+        sized.select("label", vector.alias("features")).write.parquet(path)
+        label_type = counted.schema["label"].dataType
+        self.model = fit_logistic(spark.read.schema(T.StructType([T.StructField("label", label_type), T.StructField("features", VectorUDT())])).parquet(path))
         return self
 
-    def vectors(self, terms: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-
-        idf = self.idf
-
-        @F.udf(VectorUDT())
-        def weigh(counts):  # no built-in takes logarithms of a sparse vector's entries
-            w = (1 + np.log(counts.values)) * idf[counts.indices]
-            return SparseVector(counts.size, counts.indices, w)
-
-        weighted = self.vectorizer.transform(terms).withColumn("_w", weigh("counts"))
-        return Normalizer(inputCol="_w", outputCol="features", p=2.0).transform(weighted).drop("_w", "counts", "terms")
-
     def transform(self, rows: DataFrame, name: str = "prob") -> DataFrame:
-        return probability(self.model, self.vectors(self._terms(rows, self.text)), name).drop("features")
+        at, weights = self._weights("counts")
+        found = self.vectorizer.transform(self._terms(rows, self.text)).withColumn("_at", at).withColumn("_w", weights)
+        slope = _literal(self.model.coefficients.toArray())
+        dot = F.aggregate(F.zip_with("_w", "_at", lambda w, i: w * F.get(slope, i)), F.lit(0.0), lambda a, x: a + x)
+        score = dot / _length("_w") + F.lit(float(self.model.intercept))
+        return found.select(*rows.columns, (1 / (1 + F.exp(-score))).alias(name))
+
+
+def _length(values: str) -> Column:
+    """The Euclidean length of an array; 1 for one without entries."""
+    n = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(n > 0, n).otherwise(1.0)
 
 
 def fit_descent(x: np.ndarray, y: np.ndarray, epochs: int = 500, rate: float = 0.1, l2: float = 0.01) -> tuple[np.ndarray, float]:
