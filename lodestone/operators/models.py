@@ -49,9 +49,15 @@ def complemented(rows: DataFrame, features: str = "features", label: str = "labe
 
 
 def probability(model: LogisticRegressionModel, rows: DataFrame, name: str = "prob") -> DataFrame:
-    """The rows with the probability of large."""
-    out = model.transform(rows).withColumn(name, vector_to_array("probability").getItem(1))
-    return out.drop("rawPrediction", "probability", "prediction")
+    """The rows with the probability of large.
+
+    Worked out from the coefficients: a fitted model's own transform ships its
+    training summary and with it the session, which fails once a job has been
+    observed.
+    """
+    x, slope = vector_to_array(F.col(model.getFeaturesCol())), _literal(model.coefficients.toArray())
+    dot = F.aggregate(F.zip_with(x, slope, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return rows.withColumn(name, 1 / (1 + F.exp(-(dot + F.lit(float(model.intercept))))))
 
 
 def route(prob: Column, threshold: float) -> Column:

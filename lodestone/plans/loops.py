@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import row_index
@@ -21,7 +21,7 @@ from ..operators import traces as T
 from ..sources import clients
 from ..sources import jsonl as J
 from ..sources import versions
-from ..sources.folders import delete, exists, scratch_path
+from ..sources.folders import delete, exists, scratch_path, temporary_path
 
 
 Router = Callable[[DataFrame], DataFrame]
@@ -99,18 +99,20 @@ def collect_chunks(tasks: DataFrame, path: str, chunk: int, run: Callable[[DataF
     """
     spark, numbered, number, total = tasks.sparkSession, row_index(tasks, order, "_i"), 0, 0
     while True:
-        target = f"{path}/chunk={number}"
+        target, rows = f"{path}/chunk={number}", None
         part = numbered.where((F.col("_i") >= number * chunk) & (F.col("_i") < (number + 1) * chunk)).drop("_i")
         for attempt in range(retries):
             if exists(spark, f"{target}/_SUCCESS"):
                 break
             try:
-                run(part).write.mode("overwrite").json(target)
+                rows = J.written(run(part), lambda df: df.write.mode("overwrite").json(target), n=F.count("*"))["n"]
+                break
             except Exception:
                 if attempt == retries - 1:
                     raise
                 reload()
-        rows = spark.read.text(target).count()
+        if rows is None:  # of an earlier run
+            rows = spark.read.text(target).count()
         total += rows
         if rows < chunk:
             return total
@@ -141,14 +143,20 @@ def curate(episodes: list[DataFrame]) -> DataFrame:
     return C.balanced(C.first_wins(kept, ["domain", "task_id"], ["file_ord", "ord"]).drop("file_ord"))
 
 
-def agent_rows(traces: DataFrame, contexts: DataFrame, skills: DataFrame, seed: int = 0, max_steps: int = 100, name: str = "agent") -> DataFrame:
+def agent_rows(traces: DataFrame, contexts: DataFrame, skills: DataFrame, seed: int = 0, max_steps: int = 100, name: str = "agent", counts: Observation | None = None) -> DataFrame:
     """Rows for reinforcement learning of agents: system prompt with tools, first user message, and how to start the episode.
 
     traces: domain, task_id, m, ord; contexts: domain, system, tools (of the
     domain's first task); skills: domain, procedure.  Traces without messages
-    are left out (``skipped_agents`` counts them).
+    are left out; ``counts`` tells how many of how many.
     """
-    rows = row_index(traces.where(F.coalesce(F.size("m"), F.lit(0)) > 0), "ord", "index").join(contexts, "domain").join(skills, "domain", "left")
+    empty = F.coalesce(F.size("m"), F.lit(0)) <= 0
+    kept = traces.where(~empty)
+    if counts is not None:  # written first: dealing rows to ranges reads them twice, and would count them twice
+        held = temporary_path(traces.sparkSession, "agents")
+        traces.observe(counts, F.count_if(empty).alias("skipped"), F.count("*").alias("n")).where(~empty).write.parquet(held)
+        kept = traces.sparkSession.read.schema(kept.schema).parquet(held)
+    rows = row_index(kept, "ord", "index").join(contexts, "domain").join(skills, "domain", "left")
     first = M.first_user(F.col("m"))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     start = F.struct(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .folders import delete
+from .folders import delete, temporary_path
 
 # Names and types of trace columns.
 TRACE = (
@@ -75,12 +75,31 @@ def read_keyed(spark: SparkSession, path: str, schema: str = CACHE, key: str = "
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "line_no")]), "line_no").alias("v")).select(key, "v.*")
 
 
-def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Traces with a prompt and both outcomes, and how many lines were skipped."""
+def written(df: DataFrame, write: Callable[[DataFrame], None], **counts: Column) -> dict:
+    """Writes the rows, and gives aggregates of them that the writing job itself has taken."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    return seen.get
+
+
+def _usable() -> Column:
+    return (F.coalesce("prompt", F.lit("")) != "") & F.col("small_success").isNotNull()
+
+
+def examples(spark: SparkSession, path: str, counts: Observation | None = None) -> DataFrame:
+    """Traces with a prompt and both outcomes; the first job over them fills ``counts`` with n and skipped."""
     rows = read_lenient(spark, path, TRACE)
-    ok = (F.coalesce("prompt", F.lit("")) != "") & F.col("small_success").isNotNull()
-    counts = rows.agg(F.count_if(~ok).alias("skipped")).first()
-    return rows.where(ok), int(counts["skipped"])
+    if counts is not None:
+        rows = rows.observe(counts, F.count("*").alias("n"), F.count_if(~_usable()).alias("skipped"))
+    return rows.where(_usable())
+
+
+def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The same, written and read again, and how many lines were skipped: one scan, in one job."""
+    held, seen = temporary_path(spark, "examples"), Observation()
+    kept = examples(spark, path, seen)
+    kept.write.parquet(held)
+    return spark.read.schema(kept.schema).parquet(held), int(seen.get["skipped"])
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -107,13 +126,18 @@ def write_split(df: DataFrame, path: str, failures: str, append: bool = False) -
     """Good rows and, at ``failures``, those with an error: how many; without any, the folder goes."""
     bad = F.coalesce("error", F.lit("")) != ""
     write_jsonl(df.where(~bad), path, append)
-    write_jsonl(df.where(bad), failures)
-    failed = df.sparkSession.read.text(failures).count()  # as written: the rows are not worked out again
+    failed = written(df.where(bad), lambda rows: write_jsonl(rows, failures), n=F.count("*"))["n"]
     if not failed:
         delete(df.sparkSession, failures)
     return failed
 
 
+def write_traces(traces: DataFrame, path: str) -> dict:
+    """Traces as JSON lines, and the summary of the run: rows, and how many small, large and both together solved."""
+    solved = F.col("small_success") | F.col("large_success")
+    return written(traces, lambda rows: write_jsonl(rows, path), n=F.count("*"), small_ok=F.count_if("small_success"), large_ok=F.count_if("large_success"), final_ok=F.count_if(solved))
+
+
 def write_report(path: str, report: dict) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(report, f, indent=2, ensure_ascii=False, default=str)
