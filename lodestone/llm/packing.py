@@ -191,7 +191,12 @@ def fractional(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: floa
 
 
 def pack_plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[list[tuple[int, int]], int]]:
-    """(configuration, number of sequences): every length exactly as often as counted."""
+    """(configuration, number of sequences): every length exactly as often as counted.
+
+    Rounding down loses little where sequences hold many pieces; where they hold
+    two of many different lengths it may lose more than best fit alone does.  The
+    plan of fewer sequences is taken.
+    """
     left = counts.astype(np.int64).copy()
     plan: list[tuple[list[tuple[int, int]], int]] = []
     if left[capacity - 1]:  # a full piece fills a sequence
@@ -203,7 +208,8 @@ def pack_plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS)
             plan.append((sorted(config.items(), reverse=True), times))
             for n, k in config.items():
                 left[n - 1] -= k * times
-    return plan + best_fit(left, capacity)
+    rounded, plain = plan + best_fit(left, capacity), best_fit(counts.astype(np.int64), capacity)
+    return min(rounded, plain, key=lambda p: sum(times for _, times in p))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

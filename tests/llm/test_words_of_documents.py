@@ -245,3 +245,24 @@ def test_toxicity_of_odd_documents(spark, odd_documents, no_documents, labels, t
     got = toxicity.toxic_spans(odd_documents, labels, field).collect()
     assert all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] in (2, 3, 7)}) == 1
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [True]
+
+
+# --- packing plans on length mixes that are hard in different ways
+
+
+@pytest.mark.parametrize("low, high", [(700, 1400), (500, 900), (420, 760), (300, 1200), (1, 2049)])
+def test_plans_are_never_worse_than_best_fit(low, high):
+    from lodestone.llm import packing
+
+    lengths = np.random.default_rng(low).integers(low, high, 4000)
+    counts = np.bincount(lengths - 1, minlength=2048)
+    plan = packing.pack_plan(counts)
+    used = np.zeros(2048, np.int64)
+    for config, times in plan:
+        assert sum(n * k for n, k in config) <= 2048
+        for n, k in config:
+            used[n - 1] += k * times
+    assert (used == counts).all()
+    size = lambda p: sum(times for _, times in p)
+    bound = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
+    assert bound <= size(plan) <= size(packing.best_fit(counts, 2048))
