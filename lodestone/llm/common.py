@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import row_index
 from ..sources.folders import delete, scratch_path
 
 #: Words, as every operator of this subpackage cuts them (Java and Python regex).
@@ -96,6 +97,21 @@ def scratch_closed(*kept: Scratch) -> Iterator[None]:
         _open.remove(scratch)
 
 
+def under_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text with a key in doc_id's place for each different text of an id, and the keys: key, doc_id, text_hash.
+
+    Keys ascend by doc_id and then by the text's hash, whatever the
+    partitioning; rows with null id keep it, and have no key.  Both tables are
+    written.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    pairs = hashed.where(F.col("doc_id").isNotNull()).select("doc_id", "text_hash").distinct()
+    order = [F.col("doc_id").asc(), F.col("text_hash").asc()]
+    keys = scratch.save(row_index(pairs, order, "key", keys=["doc_id", "text_hash"]).select("key", "doc_id", "text_hash"), "keys")
+    keyed = hashed.join(keys, ["doc_id", "text_hash"], "left").select(F.col("key").alias("doc_id"), "text")
+    return scratch.save(keyed, "keyed-docs"), keys
+
+
 def dense_bytes(cells: DataFrame, count: int):
     """cell (int), value (0 to 255) -> a NumPy array of ``count`` bytes; cells not named are 0.
 

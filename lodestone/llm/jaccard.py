@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, dense_bytes
+from .common import Scratch, dense_bytes, under_keys
 from .components import components
 from .textvec import Words, mix, runs
 
@@ -376,15 +376,23 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
 
     component_id is the smallest doc_id reachable by links, the row's own
     included.  Null and empty texts, and texts without words, have no shingles
-    and are linked with nothing; rows of equal id belong together; a null id
-    gets a null component; texts of any length are compared whole.  An empty
-    table gives an empty result; other columns are not read.
+    and are linked with nothing; rows of equal id belong together, each with the
+    links of its own text; a null id gets a null component; texts of any length
+    are compared whole.  An empty table gives an empty result; other columns are
+    not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = scratch.save(_light(docs, k), "light")
     sizes = light.where("kind = 0").drop("kind")
+    # ids that have different sets: each text goes under a key of its own, and the keys of an id are linked
+    span = sizes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("_a"), F.max(F.struct("n", "d1", "d2")).alias("_b"))
+    keys = None
+    if not span.where("_a < _b").isEmpty():
+        docs, keys = under_keys(docs, scratch)
+        light = scratch.save(_light(docs, k), "light-keyed")
+        sizes = light.where("kind = 0").drop("kind")
 
     # classes of equal sets: the smallest id stands for all
     sets = sizes.where("n > 0 AND doc_id IS NOT NULL")
@@ -455,9 +463,18 @@ def similar(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -
     scratch.drop("sets", "asks", "members", "pairs", "shown", "packs", "passed")
 
     links = stars.unionByName(bridges).unionByName(same)
+    if keys is not None:
+        first = keys.groupBy("doc_id").agg(F.min("key").alias("b"))
+        links = links.unionByName(keys.join(first, "doc_id").where("key > b").select(F.col("key").alias("a"), "b"))
     found = scratch.save(components(links, scratch, "all").withColumnRenamed("node", "doc_id"), "found")
     out = sizes.join(found, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    if keys is None:
+        return out
+    # keys ascend with ids, so a component's smallest key has its smallest id
+    mine, first = (keys.select(F.col("key").alias(name), F.col("doc_id").alias(f"_{name}")) for name in ("doc_id", "component_id"))
+    out = out.join(mine, "doc_id", "left").join(first, "component_id", "left")
+    return out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:

@@ -230,6 +230,20 @@ def test_jaccard_on_odd_rows(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "1", "2", "3", "4", "None", "7", "8"])
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("turned", [False, True])
+def test_jaccard_of_rows_of_equal_id(spark, parts, turned):
+    """Each text of an id has its own links, wherever its row lies."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (0, near(a)), (5, " ".join(c)), (5, None), (6, near(c)), (9, " ".join(prose(4, 80))), (None, " ".join(a))]
+    rows = rows[::-1] if turned else rows
+    docs = frame(spark, rows).repartition(parts) if parts > 1 else frame(spark, rows).coalesce(1)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs).collect()), key=str)
+    assert got == sorted([(1, 76, 0), (1, 76, 0), (2, 76, 0), (0, 76, 0), (5, 76, 5), (5, 0, 5), (6, 76, 5), (9, 76, 9), (None, 76, None)], key=str)
+    assert sorted(str(r["doc_id"]) for r in jaccard.without_near_copies(docs).collect()) == ["0", "5", "5", "9", "None"]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 40)] + [(7, 7), (500, 499)]
     got = {r["node"]: r["component"] for r in K.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()}
@@ -256,6 +270,20 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert cut[25]["text"].split() == prose(8, 100)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("turned", [False, True])
+def test_passages_of_rows_of_equal_id(spark, parts, turned):
+    """Each text of an id is cut at its own places, however short the others are."""
+    passage, plain, short = prose(1, 60), prose(2, 300), prose(3, 30)
+    rows = [(1, " ".join(prose(11, 100) + passage)), (2, " ".join(prose(12, 100) + passage)), (2, " ".join(plain)), (2, " ".join(short)), (2, None), (None, " ".join(passage))]
+    rows = rows[::-1] if turned else rows
+    docs = frame(spark, rows).repartition(parts) if parts > 1 else frame(spark, rows).coalesce(1)
+    assert [tuple(r) for r in passages.repeated_passages(docs).collect()] == [(2, 100, 160, 1, 100, 160, 60)]
+    left = sorted(((r["doc_id"], r["text"]) for r in passages.without_repeats(docs).collect()), key=str)
+    want = [(i, " ".join(prose(12, 100)) if i == 2 and t and t.endswith(rows_end) else t) for i, t in rows for rows_end in [" ".join(passage)]]
+    assert left == sorted(want, key=str)
+
+
 def test_split_copies_are_joined_through_the_last_one(spark):
     passage = prose(1, 60)
     rows = [(1, " ".join(passage[:30] + prose(11, 100))), (2, " ".join(prose(12, 100) + passage[30:])), (3, " ".join(prose(13, 50) + passage + prose(14, 50))), (5, " ".join(prose(15, 80) + passage))]
