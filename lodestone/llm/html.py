@@ -14,12 +14,14 @@ over the host is content, whatever its name.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,27 +51,32 @@ ENDS = {
 }
 LANDMARKS = ("article", "main")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-#: Names (class or id, split at punctuation and case) of what isn't article.
-_NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletters?|subscribe|subscriptions?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|toolbar|pagination|pager|login|signup|search|skip)(?:$|[^a-z])")
+#: Names (class or id, split at punctuation and case) of what isn't article: adverts, notices and comments, and the page's furniture.
+_ADVERTS = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?)(?:$|[^a-z])")
+_NOTICES = re.compile(r"(?:^|[^a-z])(?:cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletters?|subscribe|subscriptions?|comments?|commentlist|respond|replies|disqus)(?:$|[^a-z])")
+_FURNITURE = re.compile(r"(?:^|[^a-z])(?:sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|toolbar|pagination|pager|login|signup|search|skip)(?:$|[^a-z])")
+ADVERT, NOTICE, FURNITURE = 3, 2, 1
+#: Blocks that are text rather than a part of the page.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _HEADER_NAMES = re.compile(r"(?:^|[^a-z])(?:header|topbar|site-?head)(?:$|[^a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    """tag, whether it never is article or only its name says so, and its parts: text and elements in page order."""
+    """tag, whether it never is article, what its name says, and its parts: text and elements in page order."""
 
     __slots__ = ("tag", "out", "named", "header", "parts", "block")
 
-    def __init__(self, tag: str, out: bool = False, named: bool = False, header: bool = False):
+    def __init__(self, tag: str, out: bool = False, named: int = 0, header: bool = False):
         self.tag, self.out, self.named, self.header, self.parts, self.block = tag, out, named, header, [], -1
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(never article, not article by its name, header of the page unless inside an article)."""
-    out, named, header = tag in DROPPED, False, tag == "header"
+def _marks(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """(never article, what its name says or 0, header of the page unless inside an article)."""
+    out, named, header = tag in DROPPED, 0, tag == "header"
     if attributes and not out:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), unescape(a or b or c)
@@ -78,7 +85,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                     value = _CAMEL.sub("-", value).lower()
                     if tag in ("body", "html", "main"):
                         continue
-                    named |= bool(_NAMES.search(value))
+                    named = max(named, ADVERT if _ADVERTS.search(value) else NOTICE if _NOTICES.search(value) else FURNITURE if _FURNITURE.search(value) else 0)
                     header |= bool(_HEADER_NAMES.search(value))
             elif name == "role":
                 out |= value.strip().lower() in _ROLES
@@ -238,52 +245,109 @@ class Tree:
         return cls(*json.loads(data))
 
 
+def _rows(last: np.ndarray, weights: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the table of best sums over beginnings of y, one for each further entry of x, after row ``last``."""
+    for p in x:
+        row = np.zeros_like(last)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights[p][y]), out=row[1:])
+        yield row
+        last = row
+
+
+def _best_pairs(weights: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places in x and y, ascending in both, of largest total weight; x and y: rows and columns of ``weights``.
+
+    Only every so-manieth row of the table is kept, and those between are made
+    again, so that memory grows with len(y) times the root of len(x).
+    """
+    step = math.isqrt(len(x)) + 1
+    kept = [np.zeros(len(y) + 1, np.int64)]
+    for n, row in enumerate(_rows(kept[0], weights, x, y), 1):
+        if n % step == 0:
+            kept.append(row)
+    out, p, q = [], len(x), len(y)
+    for k in range(len(kept) - 1, -1, -1):
+        if not q:
+            break
+        table = [kept[k], *_rows(kept[k], weights, x[k * step : p], y)]
+        while p > k * step and q:
+            now, before = table[p - k * step], table[p - k * step - 1]
+            if now[q] == before[q]:
+                p -= 1
+            elif now[q] == now[q - 1]:
+                q -= 1
+            else:
+                p, q = p - 1, q - 1
+                out.append((p, q))
+    return out
+
+
 def match(a: Tree, b: Tree) -> dict[int, int]:
-    """Simple tree matching: node of a -> node of b, with the most nodes matched, order and parents kept."""
+    """Simple tree matching: node of a -> node of b, with the most nodes matched, order and parents kept.
+
+    How many nodes of two subtrees match depends on their shapes alone, so it is
+    worked out once for two shapes.  Children of equal shape at the start and
+    end of two lists match whole, which is never worse; what lies between goes
+    through a table, whose time grows with the product of the lists.
+    """
+    known: dict[tuple, int] = {}
+
+    def shapes(t: Tree) -> list[int]:
+        out = [0] * len(t.tags)
+        for i in range(len(out) - 1, -1, -1):  # children stand after their parents
+            out[i] = known.setdefault((t.tags[i], *[out[k] for k in t.kids[i]]), len(known))
+        return out
+
+    of_a, of_b = shapes(a), shapes(b)
+    shape = list(known)  # tag and the children's shapes, which stand before
+    size: list[int] = []
+    for x in shape:
+        size.append(1 + sum(size[k] for k in x[1:]))
     memo: dict[tuple[int, int], int] = {}
 
-    def ends(x: list[int], y: list[int]) -> tuple[int, int]:
-        """Leaves of equal tag at the start and end of both lists: matching them is never worse."""
+    def ends(x, y) -> tuple[int, int]:
         n, lo, hi = min(len(x), len(y)), 0, 0
-        leaf = lambda p, q: a.tags[p] == b.tags[q] and not a.kids[p] and not b.kids[q]
-        while lo < n and leaf(x[lo], y[lo]):
+        while lo < n and x[lo] == y[lo]:
             lo += 1
-        while hi < n - lo and leaf(x[-1 - hi], y[-1 - hi]):
+        while hi < n - lo and x[-1 - hi] == y[-1 - hi]:
             hi += 1
         return lo, hi
 
-    def table(x: list[int], y: list[int]) -> list[list[int]]:
-        rows = [[0] * (len(y) + 1)]
-        for p in x:
-            last, row = rows[-1], [0]
-            for q, k in enumerate(y):
-                w = score(p, k) if a.tags[p] == b.tags[k] else 0
-                row.append(max(last[q + 1], row[q], last[q] + w))
-            rows.append(row)
-        return rows
-
-    def inner(i: int, j: int) -> tuple[int, list[int], list[int]]:
-        x, y = a.kids[i], b.kids[j]
-        lo, hi = ends(x, y)
-        return lo + hi, x[lo : len(x) - hi], y[lo : len(y) - hi]
+    def score(c: int, d: int) -> int:
+        if c == d:
+            return size[c]
+        if shape[c][0] != shape[d][0]:
+            return 0
+        return memo[c, d] if len(shape[c]) > 1 and len(shape[d]) > 1 else 1
+
+    def weights(x, y) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, columns = ({c: k for k, c in enumerate(dict.fromkeys(z))} for z in (x, y))
+        return np.array([[score(c, d) for d in columns] for c in rows], np.int64), np.array([rows[c] for c in x]), np.array([columns[d] for d in y])
 
-    def score(i: int, j: int) -> int:
-        return memo[i, j] if a.kids[i] and b.kids[j] else 1
+    def inner(x, y) -> tuple[int, tuple, tuple]:
+        lo, hi = ends(x, y)
+        return sum(size[c] for c in (*x[:lo], *x[len(x) - hi :])), x[lo : len(x) - hi], y[lo : len(y) - hi]
 
-    # pairs of inner nodes, each after those below it that its table asks for
-    order = [(0, 0)] if a.kids[0] and b.kids[0] else []
+    # pairs of shapes with children, each after those below it that its table asks for
+    order = [(of_a[0], of_b[0])] if of_a[0] != of_b[0] and a.kids[0] and b.kids[0] else []
     while order:
-        i, j = order[-1]
-        if (i, j) in memo:
+        c, d = order[-1]
+        if (c, d) in memo:
             order.pop()
             continue
-        sure, x, y = inner(i, j)
-        below = [(p, q) for p in x for q in y if a.tags[p] == b.tags[q] and a.kids[p] and b.kids[q] and (p, q) not in memo]
+        sure, x, y = inner(shape[c][1:], shape[d][1:])
+        below = [(e, f) for e in dict.fromkeys(x) for f in dict.fromkeys(y) if e != f and shape[e][0] == shape[f][0] and len(shape[e]) > 1 and len(shape[f]) > 1 and (e, f) not in memo]
         if below:
             order += below
-        else:
-            order.pop()
-            memo[i, j] = 1 + sure + (table(x, y)[-1][-1] if x and y else 0)
+            continue
+        order.pop()
+        memo[c, d] = 1 + sure
+        if x and y:
+            w, ix, iy = weights(x, y)
+            last = np.zeros(len(y) + 1, np.int64)
+            for row in _rows(last, w, ix, iy):
+                last = row
+            memo[c, d] += int(last[-1])
 
     found, todo = {}, [(0, 0)]
     while todo:
@@ -292,20 +356,12 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
         x, y = a.kids[i], b.kids[j]
         if not x or not y:
             continue
-        lo, hi = ends(x, y)
+        lo, hi = ends([of_a[k] for k in x], [of_b[k] for k in y])
         todo += zip(x[:lo], y[:lo])
         todo += zip(x[len(x) - hi :], y[len(y) - hi :])
         x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
         if x and y:
-            rows, p, q = table(x, y), len(x), len(y)
-            while p and q:
-                if rows[p][q] == rows[p - 1][q]:
-                    p -= 1
-                elif rows[p][q] == rows[p][q - 1]:
-                    q -= 1
-                else:
-                    p, q = p - 1, q - 1
-                    todo.append((x[p], y[q]))
+            todo += [(x[p], y[q]) for p, q in _best_pairs(*weights([of_a[k] for k in x], [of_b[k] for k in y]))]
     return found
 
 
@@ -377,6 +433,50 @@ def judge(tree: Tree, seen: dict[int, tuple[int, int, int]]) -> tuple[list[int],
     return sorted(constant), sorted(content), holder if varies[0] else -1
 
 
+def _named_out(root: Element) -> set[int]:
+    """The identities of elements that their names put out.
+
+    A name decides on any part of the page.  On an inline element only an
+    advert's does, others where its block says nothing else; furniture's on a
+    paragraph or heading only where all it says are links.
+    """
+    found: set[int] = set()
+    gone = links = 0
+    inline = [0]  # named inline elements open, by open block
+    says: list[list] = [[False, False, []]]  # by open block: says anything beside them, and beside links, and they
+    for element, text, start in _walk(root):
+        if text is not None:
+            if not gone and text.strip():
+                says[-1][0] |= not inline[-1]
+                says[-1][1] |= not links
+            continue
+        if element.out:
+            gone += 1 if start else -1
+        if element.tag == "a":
+            links += 1 if start else -1
+        if element.tag in BLOCK:
+            if start:
+                inline.append(0)
+                says.append([False, False, []])
+                continue
+            inline.pop()
+            other, unlinked, named = says.pop()
+            says[-1][1] |= unlinked
+            if not other:
+                found.update(named)
+            if element.named > (FURNITURE if element.tag in TEXTUAL and unlinked else 0):
+                found.add(id(element))
+        elif element.named == ADVERT:
+            found.add(id(element))
+        elif element.named:
+            inline[-1] += 1 if start else -1
+            if start:
+                says[-1][2].append(id(element))
+    if not says[0][0]:
+        found.update(says[0][2])
+    return found
+
+
 def blocks(root: Element, reading: Reading | None = None) -> list[str]:
     """The article's blocks in page order.
 
@@ -385,7 +485,8 @@ def blocks(root: Element, reading: Reading | None = None) -> list[str]:
     what bears the template's text.
     """
     template, content, holds = (reading.template, reading.content, reading.holds) if reading else (set(), set(), set())
-    out = lambda e: e.out or (e.named and e.block not in holds)
+    named = _named_out(root)
+    out = lambda e: e.out or (id(e) in named and e.block not in holds)
     depth, found_content, tags = 0, False, set()
     for element, text, start in _walk(root):
         if text is None and out(element):

@@ -165,19 +165,22 @@ def _id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
 
 
-def record(page_id, url: str | None, html: str | None, payload_bytes: int, sha1_hex: str, refers_to) -> bytes:
-    """One record, uncompressed; html None: a revisit.  All headers and digests are made anew."""
+def record(page_id, url: str | None, html: str | None, payload_bytes: int, sha1_hex: str, refers_to, place: int = 0) -> bytes:
+    """One record, uncompressed; html None: a revisit.  All headers and digests are made anew.
+
+    ``place`` parts the ids of records of equal key and payload; a revisit names the first response.
+    """
     target = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     known = "sha1:" + base64.b32encode(bytes.fromhex(sha1_hex)).decode()
     body = b"" if html is None else html.encode("utf-8")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http + body
     fields = [
-        ("WARC-Type", "revisit" if html is None else "response"), ("WARC-Record-ID", _id("record", page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", target),
+        ("WARC-Type", "revisit" if html is None else "response"), ("WARC-Record-ID", _id("record", page_id, sha1_hex, place)), ("WARC-Date", DATE), ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", known), ("WARC-Block-Digest", _digest(block)), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(payload_bytes)),
     ]
     if html is None:
-        fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _id("record", refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _id("record", refers_to, sha1_hex, 0)), ("X-Refers-To-Page-ID", str(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _header(fields) + block + b"\r\n\r\n"
 
@@ -235,7 +238,7 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
     dealt = dealt.repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "payload_digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done, revisit = None, [], (None, None, None)
+        roller, done, revisit, at, place = None, [], (None, None, None), None, 0
         for batch in batches:
             for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "shard", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"))):
                 kind, s, page_id, url, html, size, digest, refers = (x.as_py() for x in r)
@@ -244,10 +247,11 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, shard_byte
                     continue
                 refers = revisit[2] if revisit[:2] == (page_id, digest) else None
                 html = html if refers is None else None
+                at, place = (page_id, digest), place + 1 if at == (page_id, digest) else 0
                 if roller is None or roller.shard != s:
                     done += [roller and roller.close()]
                     roller = _Roller(folder, s, roll_bytes)
-                done.append(roller.add(record(page_id, url, html, size, digest, refers)))
+                done.append(roller.add(record(page_id, url, html, size, digest, refers, place)))
         done += [roller and roller.close()]
         done = [d for d in done if d]
         if done:

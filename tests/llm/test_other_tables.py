@@ -42,17 +42,24 @@ def pages(spark, rows):
 
 def test_archives_are_valid_and_deterministic(spark):
     big, small = "é" * 800, "s" * 999
-    df = pages(spark, [(1, "http://a/1", big), (5, "http://a/5", big), (3, "http://a/3", big), (7, "http://b/", small), (8, "http://b/", small), (9, None, None), (10, "http://b/\r\nX: y", ""), (None, "http://n/", "n" * 2000), (5, "http://a/5", big)])
+    df = pages(spark, [(1, "http://a/1", big), (5, "http://a/5", big), (3, "http://a/3", big), (7, "http://b/", small), (8, "http://b/", small), (9, None, None), (10, "http://b/\r\nX: y", ""), (None, "http://n/", "n" * 2000), (5, "http://a/5", big), (None, "http://n/", "n" * 2000), (None, "http://n/", None), (1, "http://a/1", big)])
     scratch = Scratch(spark, "test")
     manifest, folder = warc.archive(df, scratch=scratch, shard_bytes=4000, roll_bytes=900)
     files = sorted(r["file"] for r in manifest.collect())
     assert len(files) > 2
     rows = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(manifest, folder).collect()), key=str)
-    assert rows == sorted([(1, 1600, "revisit", 5), (3, 1600, "revisit", 5), (5, 1600, "response", None), (5, 1600, "response", None), (7, 999, "response", None), (8, 999, "response", None), (9, 0, "response", None), (10, 0, "response", None), (None, 2000, "response", None)], key=str)
+    assert rows == sorted([(1, 1600, "revisit", 5), (3, 1600, "revisit", 5), (5, 1600, "response", None), (5, 1600, "response", None), (7, 999, "response", None), (8, 999, "response", None), (9, 0, "response", None), (10, 0, "response", None), (None, 2000, "response", None), (None, 2000, "response", None), (None, 0, "response", None), (1, 1600, "revisit", 5)], key=str)
     again, other = warc.archive(df.repartition(5), scratch=Scratch(spark, "test"), shard_bytes=4000, roll_bytes=900)
     assert {(r["file"], r["sha1"]) for r in manifest.collect()} == {(r["file"], r["sha1"]) for r in again.collect()}
     data = open(f"{folder.removeprefix('file://')}/{files[0]}", "rb").read()
     assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    heads = [warc.parse(m)[0] for f in files for m in warc._members(open(f"{folder.removeprefix('file://')}/{f}", "rb"))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows) + len(files)
+    response = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            assert response[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"]
     kinds = [warc.parse(m)[0] for m in warc._members(__import__("io").BytesIO(data), 50)]
     assert kinds[0]["warc-type"] == "warcinfo" and all(k["warc-date"] == warc.DATE for k in kinds)
 
@@ -336,6 +343,42 @@ def test_matching_is_the_largest(a, b):
     assert len(got) == brute_match(a, b) and len(set(got.values())) == len(got)
 
 
+def test_long_tables_are_matched():
+    """Rows of one shape in no time; rows of many shapes in a table of few rows."""
+    import time
+    import tracemalloc
+
+    r = __import__("random").Random(1)
+    plain = lambda n: "<table>" + "<tr><td>a</td><td>b</td></tr>" * n + "</table>"
+    mixed = lambda n: "<div>" + "".join(r.choice(["<p>x</p>", "<ul><li>a</ul>", "<h2>y</h2>", "<div><p>z</p></div>"]) for _ in range(n)) + "</div>"
+    for make, n, m in ((plain, 10_000, 9_000), (mixed, 5_000, 4_800)):
+        a, b = (html.Tree.of(html.parse(make(k))) for k in (n, m))
+        tracemalloc.start()
+        start = time.process_time()
+        found = html.match(a, b)
+        took, peak = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(set(found.values())) == len(found) > len(b.tags) / 2
+        assert took < 60 and peak < 200 << 20, (took, peak)
+        if make is plain:
+            assert len(found) == len(b.tags)
+
+
+def test_comments_end_as_browsers_end_them():
+    for mark in ("<!-->", "<!--->", "<!-- x --!>", "<!-- > -->", "<!---->"):
+        assert html.main_text(f"<article><p>a</p>{mark}<p>b</p></article>") == "a\n\nb", mark
+    assert html.main_text("<article><p>a</p><!-- open <p>b</p>") == "a"
+
+
+def test_names_of_inline_elements_and_paragraphs():
+    said = lambda inner: html.main_text(f"<article>{inner}</article>")
+    assert said("<p>See <a class='nav-link' href='/'>link</a> here</p>") == "See link here"
+    assert said("<p>A <span class='share'>share</span> of it</p><p class='related-work'>Others have said so</p>") == "A share of it\n\nOthers have said so"
+    assert said("<pre>x = 1 <span class='comment'># one</span></pre>") == "x = 1 # one"
+    # what is an advert, a notice or furniture goes on going
+    assert said("<p>Text <span class='advert'>Buy</span></p><div><a class='share'>Share</a> <span class='social'>Like</span></div><p class='cookie-notice'>We use cookies</p><p class='breadcrumbs'><a href='/'>Home</a></p><div class='related'><p>More</p></div>") == "Text"
+
+
 def test_wrapper_is_induced(spark):
     menu = "<div><p>Latest offers from our shop</p></div><div><p>Call us now</p></div>"
     rows = [(i, f"http://h.example/{i}", f"<html><body>{menu}<div><h1>Title {i}</h1><p>Story number {i} of many</p></div></body></html>", 1) for i in range(8)]
