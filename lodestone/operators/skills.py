@@ -56,10 +56,12 @@ def merge_stats(previous: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("signature", "model").agg(F.sum("successes").alias("successes"), F.sum("total").alias("total"))
 
 
-def exemplars(obs: DataFrame, most: int = MAX_EXEMPLARS) -> DataFrame:
-    """The most recent successes with prompt and completion, by signature."""
+def exemplars(obs: DataFrame, most: int | None = MAX_EXEMPLARS) -> DataFrame:
+    """The most recent successes with prompt and completion, by signature; None: all of them."""
     w = Window.partitionBy("signature").orderBy(F.col("ord").desc(), F.col("model"))
     keep = F.col("success") & (F.coalesce("completion", F.lit("")) != "") & (F.coalesce("prompt", F.lit("")) != "")
+    if most is None:
+        return obs.where(keep)
     return obs.where(keep).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 

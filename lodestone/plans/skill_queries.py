@@ -50,7 +50,7 @@ def can_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY length(completion), ord, model) AS rank FROM obs WHERE success AND prompt <> '') SELECT signature, rank::INT AS rank, task_id, left(trim(completion), 700) AS completion FROM r WHERE rank <= 5")
 def topk_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.shortest(S.exemplars(S.observations(_coded(spark, sf_dir))), 5).select("signature", "rank", "task_id", "completion")
+    return S.shortest(S.exemplars(S.observations(_coded(spark, sf_dir)), most=None), 5).select("signature", "rank", "task_id", "completion")
 
 
 _WHEN = " ".join(f"WHEN '{k}' THEN $${w}$$" for k, (w, _) in S.SECTIONS.items())

@@ -230,3 +230,14 @@ def test_models(spark):
 def test_bounds_and_rewards(spark):
     df = spark.createDataFrame([(2048, 240, 500), (100, 0, 5)], "c int, x int, r int")
     assert [r[0] for r in df.select(T.bounded_tokens(F.col("c"), F.col("x"), F.col("r"))).collect()] == [240, None]
+
+
+def test_shortest_of_all_successes(spark, monkeypatch):
+    """topk_examples takes the shortest of all successes, not of the latest MAX_EXEMPLARS."""
+    from lodestone.plans import QUERIES
+
+    want = sorted(tuple(r) for r in QUERIES["topk_examples"](spark, "/root/testdata/sf0.001").collect())
+    kept = S.exemplars.__defaults__
+    monkeypatch.setattr(S.exemplars, "__defaults__", (7,))
+    assert sorted(tuple(r) for r in QUERIES["topk_examples"](spark, "/root/testdata/sf0.001").collect()) == want
+    assert kept == (S.MAX_EXEMPLARS,)
