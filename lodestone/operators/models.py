@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,14 @@ class TextRouter:
         words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\w\w+", gaps=False, toLowercase=True)
         return NGram(n=2, inputCol="words", outputCol="pairs").transform(words.transform(rows)).withColumn("terms", F.concat("words", "pairs")).drop("words", "pairs")
 
+    def _vocabulary(self, rows: DataFrame) -> list[Row]:
+        """term, n, docs of the ``most`` most frequent terms of enough rows (ties: by code point, so that all runs agree)."""
+        # each term of a sorted text beside the one before it: a text counts once a term
+        ordered = rows.select(F.sort_array("terms").alias("term")).withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "term"))
+        told = ordered.select(F.inline(F.arrays_zip("term", "before"))).where(F.col("term").isNotNull())
+        enough = told.groupBy("term").agg(F.count("*").alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs")).where(F.col("docs") >= self.min_docs)
+        return enough.orderBy(F.col("n").desc(), "term").limit(self.most).collect()
+
     def _weights(self, counts: str) -> tuple[Column, Column]:
         """Places and weights (not yet of unit length) of a count vector's entries."""
         held, idf = F.unwrap_udt(counts), _literal(self.idf)
@@ -136,18 +144,18 @@ class TextRouter:
             raise ValueError("the training rows hold one class only")
         spark, self.text = rows.sparkSession, text
         terms = self._terms(rows.select(text, label), text)
-        self.vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(self.min_docs), vocabSize=self.most).fit(terms)
+        known = self._vocabulary(terms)
+        self.vectorizer = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="counts")
         held = temporary_path(spark, "counts")
         self.vectorizer.transform(terms).select("counts", F.col(label).alias("label")).write.parquet(held)
         counted = spark.read.parquet(held)
-        seen = IDF(inputCol="counts", outputCol="unused").fit(counted)
-        self.idf = np.log((1 + seen.numDocs) / (1 + np.asarray(seen.docFreq))) + 1
+        self.idf = np.log((1 + counted.count()) / (1 + np.array([r["docs"] for r in known]))) + 1
         # vectors are structs of size, places and values; written as such they are read as vectors
         at, weights = self._weights("counts")
-        sized = counted.select("label", at.alias("at"), weights.alias("w")).withColumn("n", _length("w"))
-        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(self.idf)).alias("size"), F.col("at").alias("indices"), F.transform("w", lambda x: x / F.col("n")).alias("values"))
+        weighed = counted.select("label", at.alias("at"), weights.alias("w"))
+        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(self.idf)).alias("size"), F.col("at").alias("indices"), _unit(F.col("w")).alias("values"))
         path = temporary_path(spark, "features")
-        sized.select("label", vector.alias("features")).write.parquet(path)
+        weighed.select("label", vector.alias("features")).write.parquet(path)
         label_type = counted.schema["label"].dataType
         self.model = fit_logistic(spark.read.schema(T.StructType([T.StructField("label", label_type), T.StructField("features", VectorUDT())])).parquet(path))
         return self
@@ -161,7 +169,13 @@ class TextRouter:
         return found.select(*rows.columns, (1 / (1 + F.exp(-score))).alias(name))
 
 
-def _length(values: str) -> Column:
+def _unit(values: Column) -> Column:
+    """The array divided by its length, which is worked out once an array: a column of it would be merged into the step of each entry."""
+    held = F.array(F.struct(values.alias("v"), _length(values).alias("n")))
+    return F.transform(held, lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0]
+
+
+def _length(values: str | Column) -> Column:
     """The Euclidean length of an array; 1 for one without entries."""
     n = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
     return F.when(n > 0, n).otherwise(1.0)

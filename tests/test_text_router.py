@@ -48,3 +48,19 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "from_json" not in plan
     with pytest.raises(ValueError, match="one class"):
         models.TextRouter().fit(df.where("label = 1"))
+
+
+def test_long_texts_cost_no_more_than_their_words(spark):
+    """The length of a text's weights is worked out once, not anew for each of its entries."""
+    import time
+
+    def seconds(size):
+        words = [f"w{k}" for k in range(9000)]
+        texts = [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+        df = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts * 2)] + [("w1 w2", 0), ("w1 w2", 1)], "text string, label int")
+        begun = time.time()
+        models.TextRouter().fit(df)
+        return time.time() - begun
+
+    seconds(90)  # code is compiled
+    assert seconds(9000) < 2 * seconds(90) + 2
