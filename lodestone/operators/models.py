@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
@@ -251,27 +252,56 @@ def loss_mask(tokens: Column, start: list[int], end: int, trainable: Column) ->
     """1 inside trainable assistant spans, their end token included, the header not.
 
     tokens: array of ids; ``start``: the ids that open an assistant turn; the
-    k-th span follows the k-th mark.  A span without end, or spans that are not
-    as many as the marks, give null.
+    k-th span follows the k-th mark.  A span without end or with a null id, or
+    spans that are not as many as the marks, give null.
     """
-    first = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.slice(tokens, i, F.lit(len(start))) == F.array(*[F.lit(s) for s in start]))
-    marks = F.aggregate(
-        F.sequence(F.lit(1), F.size(tokens)),
-        F.struct(F.array().cast("array<int>").alias("mask"), F.lit(0).alias("k"), F.lit(0).alias("skip"), F.lit(False).alias("on"), F.lit(False).alias("inside")),
-        lambda a, i: _mask_step(a, i, F.get(first, i - 1), F.get(tokens, i - 1), len(start), end, trainable),
-    )
-    return F.when((marks["k"] == F.size(trainable)) & ~marks["inside"], marks["mask"])
-
-
-def _mask_step(a: Column, i: Column, opens: Column, token: Column, header: int, end: int, trainable: Column) -> Column:
-    opens = opens & ~a["inside"]
-    skip = F.when(opens, F.lit(header - 1)).otherwise(F.greatest(a["skip"] - 1, F.lit(0)))
-    in_header = opens | (a["skip"] > 0)
-    on = F.when(opens, F.coalesce(F.get(trainable, a["k"]), F.lit(False))).otherwise(a["on"])
-    inside = opens | a["inside"]
-    ends = inside & ~in_header & (token == end)
-    mark = (inside & ~in_header & on).cast("int")
-    return F.struct(F.concat(a["mask"], F.array(mark)).alias("mask"), (a["k"] + opens.cast("int")).alias("k"), skip.alias("skip"), (on & ~ends).alias("on"), (inside & ~ends).alias("inside"))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def masked(tokens: pa.Array, trainable: pa.Array) -> pa.Array:
+        return span_masks(tokens, start, end, trainable)
+
+    return masked(tokens.cast("array<bigint>"), trainable.cast("array<boolean>"))
+
+
+def span_masks(tokens: pa.Array, start: list[int], end: int, trainable: pa.Array) -> pa.Array:
+    """``loss_mask`` of a batch: one pass over its tokens, then the k-th spans of all rows together."""
+    known = ~(np.asarray(tokens.is_null()) | np.asarray(trainable.is_null()))
+    lengths = np.where(known, tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    ids, marks = tokens.filter(pa.array(known)).flatten(), trainable.filter(pa.array(known)).flatten()
+    value, valid = ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_valid())
+    n_marks = np.where(known, trainable.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    first, first_mark = np.cumsum(lengths) - lengths, np.cumsum(n_marks) - n_marks
+    stop, n = first + lengths, len(value)
+    marks = marks.fill_null(False).to_numpy(zero_copy_only=False).astype(np.int8)
+    # the next place at or after each at which the header begins, and at which a turn ends; n: none
+    opens = np.ones(n, bool)
+    for k, s in enumerate(start):
+        opens[: n - k] &= valid[k:] & (value[k:] == s)
+        opens[n - k :] = False
+    opens &= np.arange(n) + len(start) <= np.repeat(stop, lengths)
+    following = lambda hit: np.minimum.accumulate(np.append(np.where(hit, np.arange(n), n), n)[::-1])[::-1]
+    next_open, next_end = following(opens), following(valid & (value == end))
+    nulls = np.concatenate([[0], np.cumsum(~valid)])
+    steps, spans, ok = np.zeros(n + 1, np.int64), np.zeros(len(lengths), np.int64), known.copy()
+    row, at = np.flatnonzero(known), first[known]
+    while len(row):
+        at = next_open[at]
+        going = at < stop[row]
+        row, at = row[going], at[going]
+        last = next_end[np.minimum(at + len(start), n)]
+        closed = last < stop[row]
+        ok[row[~closed]] = False
+        row, at, last = row[closed], at[closed], last[closed]
+        ok[row[nulls[last + 1] > nulls[at]]] = False
+        may = (spans[row] < n_marks[row]) & (marks[np.minimum(first_mark[row] + spans[row], len(marks) - 1)] > 0 if len(marks) else False)
+        steps[at[may] + len(start)] += 1
+        steps[last[may] + 1] -= 1
+        spans[row] += 1
+        at = last + 1
+    ok &= spans == n_marks
+    mask = np.cumsum(steps[:n]).astype(np.int32)[np.repeat(ok, lengths)]
+    offsets = np.concatenate([[0], np.cumsum(np.where(ok, lengths, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(mask), mask=pa.array(~ok))
 
 
 def remapped_keys(keys: DataFrame, wanted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

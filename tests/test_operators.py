@@ -241,3 +241,11 @@ def test_shortest_of_all_successes(spark, monkeypatch):
     monkeypatch.setattr(S.exemplars, "__defaults__", (7,))
     assert sorted(tuple(r) for r in QUERIES["topk_examples"](spark, "/root/testdata/sf0.001").collect()) == want
     assert kept == (S.MAX_EXEMPLARS,)
+
+
+def test_loss_masks_of_long_and_odd_rows(spark):
+    rows = [([], []), ([], [True]), (None, [True]), ([1, 2, 3], None), ([1, 2, 1, 2, 3], [True]), ([1, 2, None, 3], [True]), ([None, 1, 2, 3], [None]), ([1, 2, 3, 1], [True]), ([1, 2, 4, 3] * 40_000, [True, False] * 20_000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, r struct<t: array<int>, a: array<boolean>>")
+    got = [r["m"] for r in df.select("k", models.loss_mask(F.col("r.t"), [1, 2], 3, F.col("r.a")).alias("m")).orderBy("k").collect()]
+    assert got[:-1] == [[], None, None, None, [0, 0, 1, 1, 1], None, [0, 0, 0, 0], [0, 0, 1, 0]]
+    assert got[-1] == [0, 0, 1, 1, 0, 0, 0, 0] * 20_000
