@@ -66,8 +66,10 @@ def first_user(messages: Column) -> Column:
 def drop_pre_user(messages: Column) -> Column:
     """Without assistant messages that come before the first user message."""
     at = F.array_position(F.transform(messages, lambda m: m["role"]), "user")
-    start = F.when(at > 0, at - 1).otherwise(F.size(messages))
-    return F.filter(messages, lambda m, i: (i >= start) | (m["role"] != "assistant"))
+    start = F.when(at > 0, at - 1).otherwise(F.size(messages)).cast("int")
+    # cut in two, as a start inside the filter's step would be looked for anew at each message
+    before = F.filter(F.slice(messages, F.lit(1), start), lambda m: m["role"] != "assistant")
+    return F.concat(before, F.slice(messages, start + 1, F.size(messages)))
 
 
 def merge_tool_runs(messages: Column, element: T.StructType = CLEAN) -> Column:

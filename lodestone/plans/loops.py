@@ -136,9 +136,11 @@ def curate(episodes: list[DataFrame]) -> DataFrame:
     for i, e in enumerate(episodes):
         e = e.withColumn("file_ord", F.lit(i))
         rows = e if rows is None else rows.unionByName(e)
-    kept = rows.where(F.col("passed") & F.col("complete")).withColumn("m", M.opd_mask(F.col("m"), F.col("branch"), F.col("opd_used")))
-    for step in (M.clean, M.drop_pre_user, M.merge_tool_runs):  # one after another: each reads its input more than once
-        kept = kept.withColumn("m", step(F.col("m")))
+    kept = rows.where(F.col("passed") & F.col("complete"))
+    mask = lambda m: M.opd_mask(m, F.col("branch"), F.col("opd_used"))
+    for step in (mask, M.clean, M.drop_pre_user, M.merge_tool_runs):
+        # an exploded row of one: as columns the steps would be merged into one another, and into the filter, and worked out anew for each message
+        kept = kept.withColumn("m", F.explode(F.array(step(F.col("m")))))
     kept = kept.where(M.has_target(F.col("m")))
     return C.balanced(C.first_wins(kept, ["domain", "task_id"], ["file_ord", "ord"]).drop("file_ord"))
 

@@ -104,3 +104,20 @@ def test_of_two_writers_one_is_told(spark, tmp_path, monkeypatch):
         versions.publish(spark.range(2), path)
     monkeypatch.undo()
     assert versions.read(spark, path).count() == 1 and len(list((tmp_path / "table").glob("data-*"))) == 1
+
+
+def test_long_episodes_cost_no_more_than_their_messages(spark):
+    """The steps of curation are worked out once an episode, not anew for each of its messages."""
+    import time
+
+    def seconds(size):
+        m = [message("user", "task"), *[message("assistant", "", "find"), message("tool", "ok")] * (size // 2)]
+        rows = [("a", str(k), m, True, True, 0, False, k) for k in range(4800 // size)]
+        kind = StructType().add("domain", "string").add("task_id", "string").add("m", ArrayType(M.MESSAGE)).add("passed", "boolean").add("complete", "boolean").add("branch", "integer").add("opd_used", "boolean").add("ord", "long")
+        df, begun = spark.createDataFrame(rows, kind), time.time()
+        shown = loops.curate([df]).collect()
+        assert len(shown) == len(rows) and all(len(r["m"]) == len(m) for r in shown)
+        return time.time() - begun
+
+    seconds(30)  # code is compiled
+    assert seconds(1200) < 2 * seconds(30) + 3
