@@ -270,6 +270,19 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert cut[25]["text"].split() == prose(8, 100)
 
 
+def test_edited_passages_of_holders_between_the_first_and_the_last(spark):
+    whole = prose(11, 120)
+    edited = list(whole)
+    edited[45], edited[85] = "changed", "altered"  # no 50 words in a row are equal
+    # the first and the last holder of all seeds have them in short pieces, in another order
+    pieces = [whole[i : i + 30] for i in range(0, 105, 15)][::-1]
+    scattered = lambda seed: sum((p + prose(seed + k, 40) for k, p in enumerate(pieces)), [])
+    rows = [(1, " ".join(scattered(200))), (4, " ".join(prose(21, 80) + whole)), (6, " ".join(edited + prose(22, 80))), (9, " ".join(scattered(300)))]
+    spans = [(r["doc_id"], r["start"], r["end"], r["ref_doc_id"], r["ref_start"], r["n_equal"]) for r in passages.repeated_passages(frame(spark, rows), every_holder=True).collect()]
+    assert spans == [(6, 0, 120, 4, 80, 118)]
+    assert {r["doc_id"]: r["text"].split() for r in passages.without_repeats(frame(spark, rows), every_holder=True).collect()}[6] == prose(22, 80)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 @pytest.mark.parametrize("turned", [False, True])
 def test_passages_of_rows_of_equal_id(spark, parts, turned):
