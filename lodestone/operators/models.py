@@ -21,6 +21,8 @@ from ..functions import ratio, row_index, running_before
 from ..sources.folders import temporary_path
 
 MAX_FEATURES, MIN_DOCS = 40_000, 2
+#: Examples that one task holds for a descent; more are dealt, none are left out.
+DESCENT_ROWS = 1_000_000
 
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -184,27 +186,69 @@ def _length(values: str | Column) -> Column:
 
 def fit_descent(x: np.ndarray, y: np.ndarray, epochs: int = 500, rate: float = 0.1, l2: float = 0.01) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent from zero weights and the smoothed log-odds; needs both labels."""
-    positives = float(y.sum())
-    if positives in (0.0, float(len(y))):
+    return _descend(lambda weights, bias: _slopes(x, y, weights, bias), x.shape[1], len(y), float(y.sum()), epochs, rate, l2)
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Sums over rows of each feature times the error, and of the error."""
+    error = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y
+    return np.append(x.T @ error, error.sum())
+
+
+def _descend(slopes: Callable[[np.ndarray, float], np.ndarray], size: int, n: int, positives: float, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
+    """The descent over ``n`` rows, given their sums at a step's weights."""
+    if positives in (0.0, float(n)):
         raise ValueError("both labels are needed")
-    weights, bias = np.zeros(x.shape[1]), float(np.log((positives + 1) / (len(y) - positives + 1)))
+    weights, bias = np.zeros(size), float(np.log((positives + 1) / (n - positives + 1)))
     for _ in range(epochs):
-        error = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y
-        step = x.T @ error / len(y) + l2 * weights
-        bias, weights = bias - rate * float(error.mean()), weights - rate * step
+        step = slopes(weights, bias) / n
+        bias, weights = bias - rate * float(step[-1]), weights - rate * (step[:-1] + l2 * weights)
     return weights, bias
 
 
-def fit_descent_on(rows: DataFrame, names: list[str], label: str = "label", key: str | None = None, bound: int = 1_000_000) -> DataFrame:
-    """name, weight rows of a router by descent, fitted in one task on at most ``bound`` rows (smallest hashes first)."""
-    order = F.xxhash64(*[F.col(n) for n in ([key] if key else names)])
-    few = rows.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(label).cast("double").alias("_y"), order.alias("_h")).orderBy("_h").limit(bound)
+def fit_descent_on(rows: DataFrame, names: list[str], label: str = "label", key: str | None = None, epochs: int = 500, rate: float = 0.1, l2: float = 0.01) -> DataFrame:
+    """name, weight rows of a router by descent on all rows.
+
+    One task goes through all steps with at most ``DESCENT_ROWS`` rows; more of
+    them are dealt by the key's hash, and each step is a job that sums over them.
+    """
+    spark, order = rows.sparkSession, F.xxhash64(*[F.col(n) for n in ([key] if key else names)])
+    path = temporary_path(spark, "examples")
+    told = rows.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(label).cast("double").alias("_y"), order.alias("_h"))
+    told.write.parquet(path)
+    told = spark.read.schema(told.schema).parquet(path)
+    found = told.agg(F.count("*").alias("n"), F.sum("_y").alias("positives")).first()
+    if found["n"] > DESCENT_ROWS:
+        weights, bias = _fit_in_parts(told, names, found["n"], found["positives"], epochs, rate, l2)
+        return spark.createDataFrame([(n, float(w)) for n, w in zip([*names, "bias"], [*weights, bias])], "name string, weight double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, b = fit_descent(pdf[names].to_numpy(), pdf["_y"].to_numpy())
+        pdf = pdf.sort_values("_h")
+        w, b = fit_descent(pdf[names].to_numpy(), pdf["_y"].to_numpy(), epochs, rate, l2)
         return pd.DataFrame({"name": [*names, "bias"], "weight": [*w, b]})
 
-    return few.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "name string, weight double")
+    return told.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "name string, weight double")
+
+
+def _fit_in_parts(told: DataFrame, names: list[str], n: int, positives: float, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
+    """``fit_descent`` on rows of many tasks, kept as blocks of numbers; the driver gets a part's sums."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+    def summed(blocks: Iterator[np.ndarray], weights: np.ndarray, bias: float) -> list[np.ndarray]:
+        return [sum((_slopes(b[:-1].T, b[-1], weights, bias) for b in blocks), np.zeros(len(names) + 1))]
+
+    parts = max(told.sparkSession.sparkContext.defaultParallelism, -(-n // DESCENT_ROWS))
+    dealt = told.repartition(parts, "_h").sortWithinPartitions("_h").select(*names, "_y")  # so that runs sum in one order
+    blocks = dealt.mapInArrow(packed, "block binary").rdd.map(lambda r: np.frombuffer(r["block"]).reshape(len(names) + 1, -1)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        slopes = lambda weights, bias: np.sum(blocks.mapPartitions(lambda b: summed(b, weights, bias)).collect(), axis=0)
+        return _descend(slopes, len(names), n, positives, epochs, rate, l2)
+    finally:
+        blocks.unpersist()
 
 
 def save_descent(path: str, names: list[str], weights: list[float], bias: float, threshold: float) -> None:

@@ -249,3 +249,24 @@ def test_loss_masks_of_long_and_odd_rows(spark):
     got = [r["m"] for r in df.select("k", models.loss_mask(F.col("r.t"), [1, 2], 3, F.col("r.a")).alias("m")).orderBy("k").collect()]
     assert got[:-1] == [[], None, None, None, [0, 0, 1, 1, 1], None, [0, 0, 0, 0], [0, 0, 1, 0]]
     assert got[-1] == [0, 0, 1, 1, 0, 0, 0, 0] * 20_000
+
+
+def test_descent_on_all_rows(spark, monkeypatch):
+    """The router is fitted on every example, be they in one task or in parts."""
+    rows = spark.range(0, 1000, 1, 3).select("id", (F.col("id") % 13 / 13).alias("a"), F.when(F.col("id") % 7 == 0, 1.0).otherwise(-0.5).alias("b"), (F.col("id") * 31 % 97 < 20 + F.col("id") % 13).cast("int").alias("label"))
+    pdf, fit = rows.toPandas(), lambda: {r["name"]: r["weight"] for r in models.fit_descent_on(rows, ["a", "b"], key="id", epochs=20).collect()}
+    w, b = models.fit_descent(pdf[["a", "b"]].to_numpy(), pdf["label"].to_numpy().astype(float), epochs=20)
+    want = pytest.approx({"a": w[0], "b": w[1], "bias": b}, abs=1e-12)
+    assert fit() == want
+    for bound in (999, 100):
+        monkeypatch.setattr(models, "DESCENT_ROWS", bound)
+        assert fit() == want
+    monkeypatch.undo()
+    assert models.fit_descent_on(rows.limit(0), ["a", "b"], key="id").collect() == []
+    # one more than a task holds, and that one alone says to hand over: the row of the largest hash
+    many = spark.range(models.DESCENT_ROWS + 1).select("id", F.lit(1.0).alias("a"))
+    last = many.agg(F.max_by("id", F.xxhash64("id"))).first()[0]
+    found = models.fit_descent_on(many.withColumn("label", (F.col("id") == last).cast("int")), ["a"], key="id", epochs=1)
+    p = 1 / (1 + np.exp(-np.log(2 / (models.DESCENT_ROWS + 1))))
+    slope = (p * (models.DESCENT_ROWS + 1) - 1) / (models.DESCENT_ROWS + 1)
+    assert {r["name"]: r["weight"] for r in found.collect()} == pytest.approx({"a": -0.1 * slope, "bias": np.log(2 / (models.DESCENT_ROWS + 1)) - 0.1 * slope})
